@@ -1,0 +1,15 @@
+"""Registered queries and the DuckDB SQL each must equal."""
+
+from __future__ import annotations
+
+from snapcat.registry import facts
+
+MODULES = (facts,)
+
+
+def all_queries() -> dict:
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
+
+
+def all_oracles() -> dict[str, str]:
+    return {name: sql for module in MODULES for name, sql in module.oracles().items()}
