@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from snapcat.registry import facts
+from snapcat.registry import facts, rows
 
-MODULES = (facts,)
+MODULES = (facts, rows)
 
 
 def all_queries() -> dict:
