@@ -84,9 +84,7 @@ def kind_of(data_type: T.DataType) -> str:
 
 def inline_list(values: Column, kind: str = "string") -> Column:
     """``[N]: a,b``; ``[0]:`` when empty."""
-    items = F.array_join(F.transform(values, lambda v: scalar_text(v, kind)), ",")
-    head = F.concat(F.lit("["), F.size(values).cast("string"), F.lit("]:"))
-    return F.when(F.size(values) > 0, F.concat(head, F.lit(" "), items)).otherwise(head)
+    return texts_list(F.transform(values, lambda v: scalar_text(v, kind)))
 
 
 @dataclass(frozen=True)
@@ -179,20 +177,36 @@ def dash_item(item: Column, fields: Sequence[Field], indent: int) -> Column:
     return F.when(body == "", F.concat(start, F.lit("{}"))).otherwise(F.concat(start, F.lit("\n"), body))
 
 
-def list_text(name: str, items: Column, fields: Sequence[Field], indent: int = 0) -> Column:
-    """A list of objects held in one array: table form when all have the same plain members."""
+class Members:
+    """Members of an object that are columns of a frame."""
+
+    def __getitem__(self, name: str) -> Column:
+        return F.col(name)
+
+
+def is_tabular(low: Column, high: Column, nested: Column) -> Column:
+    """Table form: every object has the same members, at least one, none a list."""
+    return (low == high) & (low > 0) & ~nested
+
+
+def list_head(name: Column, count: Column, tabular: Column, mask: Column, fields: Sequence[Field]) -> Column:
+    plain = F.concat(F.lit("["), count.cast("string"), F.lit("]:"))
+    return F.concat(name, F.lit(":"), F.when(tabular, table_head(count, mask, fields)).otherwise(plain))
+
+
+def list_text(name: str, items: Column, fields: Sequence[Field]) -> Column:
+    """A list of objects held in one array of bounded length."""
     masks = F.transform(items, lambda item: presence(item, fields))
     nested = F.exists(items, lambda item: holds_list(item, fields))
-    mask = F.array_min(masks)
-    tabular = (mask == F.array_max(masks)) & (mask > 0) & ~nested
-    pad = INDENT * (indent + 1)
-    rows = F.array_join(F.transform(items, lambda item: F.concat(F.lit(pad), table_row(item, fields))), "\n")
-    dashes = F.array_join(F.transform(items, lambda item: dash_item(item, fields, indent + 1)), "\n")
-    count = F.size(items)
-    open_count = F.concat(F.lit("["), count.cast("string"), F.lit("]:"))
-    body = (
-        F.when(count == 0, open_count)
-        .when(tabular, F.concat(table_head(count, mask, fields), F.lit("\n"), rows))
-        .otherwise(F.concat(open_count, F.lit("\n"), dashes))
-    )
-    return F.concat(F.lit(f"{INDENT * indent}{name}:"), body)
+    low = F.array_min(masks)
+    tabular = F.coalesce(is_tabular(low, F.array_max(masks), nested), F.lit(False))
+    rows = F.transform(items, lambda item: F.concat(F.lit("\n" + INDENT), table_row(item, fields)))
+    dashes = F.transform(items, lambda item: F.concat(F.lit("\n"), dash_item(item, fields, 1)))
+    body = F.array_join(F.when(tabular, rows).otherwise(dashes), "")
+    return F.concat(list_head(F.lit(name), F.size(items), tabular, low, fields), body)
+
+
+def texts_list(texts: Column) -> Column:
+    """``[N]: a,b`` of items that are in text form already."""
+    head = F.concat(F.lit("["), F.size(texts).cast("string"), F.lit("]:"))
+    return F.when(F.size(texts) > 0, F.concat(head, F.lit(" "), F.array_join(texts, ","))).otherwise(head)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapcat.operators import catalog as c
+from snapcat.sources.lazy import LazyFrames
 
 
 @dataclass(frozen=True)
@@ -22,54 +25,78 @@ class SnapshotConfig:
     generated_at: str = "1970-01-01T00:00:00Z"
 
 
-def snapshot(raw: dict[str, DataFrame], cfg: SnapshotConfig) -> dict[str, DataFrame]:
-    """Normalised frames; parts that are switched off are absent from the plan."""
-    classes = c.named_classes(raw["pg_class"], raw["pg_namespace"])
-    names = c.attribute_names(raw["pg_attribute"])
-    notes = raw["pg_description"]
-
-    listed = c.tables(raw["info_tables"], classes, notes, cfg.schemas)
-    tables = listed.join(c.row_estimates(classes, listed), c.KEY, "left")
-    scope = c.table_scope(listed, classes)
-    all_columns = c.columns(raw["info_columns"].where(F.col("table_schema").isin(*cfg.schemas)))
-    if cfg.redact_comments:
-        all_columns = all_columns.withColumn("comment", F.lit(None).cast("string"))
-    else:
-        all_columns = c.with_column_comments(all_columns, classes, raw["pg_attribute"], notes)
-    columns = all_columns.join(listed.select(*c.KEY), c.KEY, "left_semi")
-    fks = c.foreign_keys(raw["pg_constraint"], scope, classes, names)
-
-    enums = c.enums(raw["pg_type"], raw["pg_namespace"], notes, cfg.schemas, cfg.redact_comments)
-
-    out = {
-        "databases": c.databases(raw["pg_database"]),
-        "tables": tables,
-        "columns": columns,
-        "constraints": c.constraints(raw["pg_constraint"], scope, names),
-        "indexes": c.indexes(raw["pg_index"], scope, raw["pg_class"], raw["pg_am"], names),
-        "foreign_keys": c.with_fk_nullable(fks, columns),
-        "triggers": c.triggers(raw["pg_trigger"], scope, raw["pg_proc"], raw["pg_namespace"], cfg.redact_definitions),
-        "enums": enums.drop("oid"),
-        "enum_labels": c.enum_labels(enums, raw["pg_enum"]),
-        "sequences": c.sequences(
-            raw["pg_sequence"], classes, notes,
-            c.sequence_owners(raw["pg_depend"], raw["pg_attribute"], classes), cfg.schemas, cfg.redact_comments,
+def snapshot(raw: Mapping[str, DataFrame], cfg: SnapshotConfig) -> LazyFrames:
+    """Normalised frames, each planned when first asked for.
+
+    Parts that are switched off are absent.
+    """
+    @cache
+    def classes() -> DataFrame:
+        return c.named_classes(raw["pg_class"], raw["pg_namespace"])
+
+    @cache
+    def names() -> DataFrame:
+        return c.attribute_names(raw["pg_attribute"])
+
+    @cache
+    def listed() -> DataFrame:
+        return c.tables(raw["info_tables"], classes(), raw["pg_description"], cfg.schemas)
+
+    @cache
+    def scope() -> DataFrame:
+        return c.table_scope(listed(), classes())
+
+    @cache
+    def all_columns() -> DataFrame:
+        columns = c.columns(raw["info_columns"].where(F.col("table_schema").isin(*cfg.schemas)))
+        if cfg.redact_comments:
+            return columns.withColumn("comment", F.lit(None).cast("string"))
+        return c.with_column_comments(columns, classes(), raw["pg_attribute"], raw["pg_description"])
+
+    @cache
+    def enums() -> DataFrame:
+        return c.enums(raw["pg_type"], raw["pg_namespace"], raw["pg_description"], cfg.schemas, cfg.redact_comments)
+
+    def foreign_keys() -> DataFrame:
+        fks = c.foreign_keys(raw["pg_constraint"], scope(), classes(), names())
+        return c.with_fk_nullable(fks, out["columns"])
+
+    builders = {
+        "databases": lambda: c.databases(raw["pg_database"]),
+        "tables": lambda: listed().join(c.row_estimates(classes(), listed()), c.KEY, "left"),
+        "columns": lambda: all_columns().join(listed().select(*c.KEY), c.KEY, "left_semi"),
+        "constraints": lambda: c.constraints(raw["pg_constraint"], scope(), names()),
+        "indexes": lambda: c.indexes(raw["pg_index"], scope(), raw["pg_class"], raw["pg_am"], names()),
+        "foreign_keys": foreign_keys,
+        "triggers": lambda: c.triggers(
+            raw["pg_trigger"], scope(), raw["pg_proc"], raw["pg_namespace"], cfg.redact_definitions
+        ),
+        "enums": lambda: enums().drop("oid"),
+        "enum_labels": lambda: c.enum_labels(enums(), raw["pg_enum"]),
+        "sequences": lambda: c.sequences(
+            raw["pg_sequence"], classes(), raw["pg_description"],
+            c.sequence_owners(raw["pg_depend"], raw["pg_attribute"], classes()), cfg.schemas, cfg.redact_comments,
         ),
-        "types": c.types(
-            raw["pg_type"], raw["pg_namespace"], raw["pg_class"], notes,
+        "types": lambda: c.types(
+            raw["pg_type"], raw["pg_namespace"], raw["pg_class"], raw["pg_description"],
             c.type_attributes(raw["pg_attribute"], raw["pg_type"]),
             c.domain_info(raw["pg_type"], raw["pg_constraint"]), cfg.schemas, cfg.redact_comments,
         ),
     }
     if cfg.include_views:
-        out["views"] = c.views(raw["info_views"], classes, notes, cfg.schemas, cfg.redact_definitions, cfg.redact_comments)
-        out["view_columns"] = all_columns.join(out["views"].select(*c.KEY), c.KEY, "left_semi")
-        out["view_dependencies"] = c.view_dependencies(raw["pg_depend"], raw["pg_rewrite"], classes, out["views"])
+        builders["views"] = lambda: c.views(
+            raw["info_views"], classes(), raw["pg_description"], cfg.schemas, cfg.redact_definitions, cfg.redact_comments
+        )
+        builders["view_columns"] = lambda: all_columns().join(out["views"].select(*c.KEY), c.KEY, "left_semi")
+        builders["view_dependencies"] = lambda: c.view_dependencies(
+            raw["pg_depend"], raw["pg_rewrite"], classes(), out["views"]
+        )
     if cfg.include_routines:
-        out["routines"] = c.routines(
-            raw["pg_proc"], raw["pg_namespace"], raw["pg_language"], notes, cfg.schemas, cfg.redact_definitions
+        builders["routines"] = lambda: c.routines(
+            raw["pg_proc"], raw["pg_namespace"], raw["pg_language"], raw["pg_description"], cfg.schemas, cfg.redact_definitions
         )
     if cfg.include_stats:
-        out["column_stats"] = c.column_stats(raw["pg_stats"]).join(listed.select(*c.KEY), c.KEY, "left_semi")
-        out["stats"] = c.table_stats(tables, out["column_stats"], cfg.generated_at)
+        builders["column_stats"] = lambda: c.column_stats(raw["pg_stats"]).join(listed().select(*c.KEY), c.KEY, "left_semi")
+        builders["stats"] = lambda: c.table_stats(out["tables"], out["column_stats"], cfg.generated_at)
+    out = LazyFrames(builders)
     return out

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from snapcat.registry import facts, rows
+from snapcat.registry import catalog, docs, facts, rows
 
-MODULES = (facts, rows)
+MODULES = (catalog, facts, rows, docs)
 
 
 def all_queries() -> dict:

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from snapcat.sources.lazy import LazyFrames
 from snapcat.sources.relations import CATALOG_COLUMNS
 
 # Ord | schema.table | column:type[?] | primary key | unique | foreign keys.
@@ -514,11 +515,7 @@ def normal_relations() -> dict[str, Relation]:
         ],
         where=DROP_RULE,
     )
-    frames = {"tables": tables, "columns": columns, "constraints": constraints, "indexes": indexes,
-              "foreign_keys": foreign_keys}
-    for frame in frames.values():
-        frame.select = {**frame.select}
-    return frames
+    return {"tables": tables, "columns": columns, "constraints": constraints, "indexes": indexes, "foreign_keys": foreign_keys}
 
 
 NORMAL_DROP = {"tables": ("note",), "columns": ("note", "is_nullable", "column_default", "is_generated", "collation_name",
@@ -564,24 +561,26 @@ def fleet_databases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS db_id")
 
 
-def fleet_raw(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    databases = fleet_databases(spark, sf_dir)
-    return {name: _spark_frame(databases, name, relation) for name, relation in raw_relations().items()}
+def _frames(databases: DataFrame, relations: dict[str, Relation]) -> LazyFrames:
+    return LazyFrames(
+        {name: (lambda name=name, relation=relation: _spark_frame(databases, name, relation)) for name, relation in relations.items()}
+    )
+
 
+def fleet_raw(spark: SparkSession, sf_dir: str) -> LazyFrames:
+    return _frames(fleet_databases(spark, sf_dir), raw_relations())
 
-def fleet_normal(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    databases = fleet_databases(spark, sf_dir)
-    return {name: _spark_frame(databases, name, relation) for name, relation in normal_relations().items()}
 
+def fleet_normal(spark: SparkSession, sf_dir: str) -> LazyFrames:
+    return _frames(fleet_databases(spark, sf_dir), normal_relations())
 
-def template_frames(spark: SparkSession, db_id: int = 0) -> dict[str, DataFrame]:
+
+def template_frames(spark: SparkSession, db_id: int = 0) -> LazyFrames:
     """One database with no table dropped (unit tests)."""
-    databases = spark.range(db_id, db_id + 1).selectExpr("id AS db_id")
-    out = {}
-    for name, relation in normal_relations().items():
+    relations = normal_relations()
+    for relation in relations.values():
         relation.where = "true"
-        out[name] = _spark_frame(databases, name, relation)
-    return out
+    return _frames(spark.range(db_id, db_id + 1).selectExpr("id AS db_id"), relations)
 
 
 def duckdb_cte(*names: str) -> str:
