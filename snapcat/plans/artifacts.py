@@ -19,6 +19,8 @@ from snapcat.operators.catalog import KEY
 from snapcat.plans import fragments as fr
 from snapcat.plans.paths import database_path, object_path, with_safe_name
 from snapcat.plans.snapshot import SnapshotConfig
+from snapcat.session import ensure_checkpoint_dir
+from snapcat.sources.lazy import LazyFrames
 
 # Members of each object, in order.
 COLUMN = (
@@ -133,11 +135,22 @@ SEMANTIC_LISTS = ("status", "timestamp", "currency_amount", "id")
 
 
 class Model:
-    """Snapshot frames and the facts the documents draw on, each planned once."""
+    """Snapshot frames and the facts the documents draw on, each planned once.
 
-    def __init__(self, frames: Mapping[str, DataFrame], cfg: SnapshotConfig):
+    ``settled`` checkpoints the facts that several kinds of documents share, so
+    that a full run computes them once.
+    """
+
+    def __init__(self, frames: Mapping[str, DataFrame], cfg: SnapshotConfig, settled: bool = False):
         self.frames = frames
         self.cfg = cfg
+        self.settled = settled
+
+    def _shared(self, frame: DataFrame) -> DataFrame:
+        if not self.settled:
+            return frame
+        ensure_checkpoint_dir(frame.sparkSession)
+        return frame.checkpoint()
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.frames[name]
@@ -145,7 +158,8 @@ class Model:
     @cached_property
     def table_dirs(self) -> DataFrame:
         keys = self["tables"].select(*KEY)
-        return with_safe_name(keys, F.col("table_name"), F.col("table_name")).withColumnRenamed("safe", "dir")
+        named = with_safe_name(keys, F.col("table_name"), F.col("table_name")).withColumnRenamed("safe", "dir")
+        return self._shared(named)
 
     @cached_property
     def view_dirs(self) -> DataFrame:
@@ -158,11 +172,15 @@ class Model:
 
     @cached_property
     def junctions(self) -> DataFrame:
-        return relations.junctions(self["tables"], self["columns"], self["constraints"], self["foreign_keys"])
+        return self._shared(
+            relations.junctions(self["tables"], self["columns"], self["constraints"], self["foreign_keys"])
+        )
 
     @cached_property
     def flags(self) -> DataFrame:
-        return tags.tag_flags(tags.column_signs(self["tables"], self["columns"]), self.counts, self.junctions)
+        return self._shared(
+            tags.tag_flags(tags.column_signs(self["tables"], self["columns"]), self.counts, self.junctions)
+        )
 
     @cached_property
     def primary_keys(self) -> DataFrame:
@@ -635,7 +653,12 @@ KINDS = {
 }
 
 
-def snapshot_fragments(frames: Mapping[str, DataFrame], cfg: SnapshotConfig) -> dict[str, DataFrame]:
-    """Fragments of every kind of document the snapshot's frames allow."""
-    model = Model(frames, cfg)
-    return {kind: build(model) for kind, (build, needs) in KINDS.items() if all(n in frames for n in needs)}
+def snapshot_fragments(frames: Mapping[str, DataFrame], cfg: SnapshotConfig) -> LazyFrames:
+    """Fragments of every kind of document the snapshot's frames allow.
+
+    Give it written frames: most are read by several kinds.
+    """
+    model = Model(frames, cfg, settled=True)
+    return LazyFrames(
+        {kind: (lambda build=build: build(model)) for kind, (build, needs) in KINDS.items() if all(n in frames for n in needs)}
+    )

@@ -20,7 +20,9 @@ from snapcat.registry import catalog as cat
 from snapcat.registry import facts
 from snapcat.registry.facts import _sql
 from snapcat.registry.rows import _number, _quoted, read
+from snapcat.session import ensure_checkpoint_dir
 from snapcat.sources.fleet import SCHEMAS, fleet_normal, fleet_raw
+from snapcat.sources.lazy import LazyFrames
 
 COMPUTED_AT = cat.COMPUTED_AT
 COLS = ["db_id", "path", "section", "k1", "k2", "text"]
@@ -95,13 +97,23 @@ def event_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalog_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A full run from the raw relations: fragments and characters per database and kind."""
-    out = None
-    for kind, frame in snapshot_fragments(snapshot(fleet_raw(spark, sf_dir), cat.FULL), cat.FULL).items():
-        sizes = frame.groupBy("db_id").agg(F.count("*").alias("fragment_count"), F.sum(F.length("text")).alias("characters"))
-        rows = sizes.select("db_id", F.lit(kind).alias("kind"), "fragment_count", "characters")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """A full run from the raw relations: fragments and characters per database and kind.
+
+    Every frame is checkpointed, as ``sink.generate`` writes them, and the sizes
+    of each kind are settled on their own: one plan for all kinds would hold
+    hundreds of joins.
+    """
+    ensure_checkpoint_dir(spark)
+    planned = snapshot(fleet_raw(spark, sf_dir), cat.FULL)
+    frames = LazyFrames({name: (lambda name=name: planned[name].checkpoint()) for name in planned})
+    sizes = [
+        frame.groupBy("db_id")
+        .agg(F.count("*").alias("fragment_count"), F.sum(F.length("text")).alias("characters"))
+        .select("db_id", F.lit(kind).alias("kind"), "fragment_count", "characters")
+        .checkpoint()
+        for kind, frame in snapshot_fragments(frames, cat.FULL).items()
+    ]
+    return fr.union(sizes)
 
 
 QUERIES = {
