@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -177,6 +177,34 @@ def dash_item(item: Column, fields: Sequence[Field], indent: int) -> Column:
     return F.when(body == "", F.concat(start, F.lit("{}"))).otherwise(F.concat(start, F.lit("\n"), body))
 
 
+def with_texts(frame: DataFrame, fields: Sequence[Field], *keep: str) -> DataFrame:
+    """One text column per member (NULL when left out) next to the columns to keep.
+
+    The forms below use each text several times. Computing the texts in a
+    projection of their own keeps the generated code small and runs the quoting
+    once per value.
+    """
+    item = Members()
+    return frame.select(*keep, *(F.when(f.present(item), f.text(item)).alias(f"text_{i}") for i, f in enumerate(fields)))
+
+
+def shape_columns(fields: Sequence[Field], indent: int) -> list[Column]:
+    """Presence mask, list flag, comma row and dash item out of the text columns."""
+    texts = [F.col(f"text_{i}") for i in range(len(fields))]
+    mask, nested = F.lit(0), F.lit(False)
+    for bit, (field, text) in enumerate(zip(fields, texts, strict=True)):
+        mask = mask + F.when(text.isNotNull(), 1 << bit).otherwise(0)
+        if field.kind == "strings":
+            nested = nested | text.isNotNull()
+    row = F.concat_ws(",", *(t for f, t in zip(fields, texts, strict=True) if f.kind != "strings"))
+    pad = INDENT * (indent + 1)
+    members = F.concat_ws(
+        "", *(F.concat(F.lit(f"\n{pad}{f.name}{':' if f.kind == 'strings' else ': '}"), t) for f, t in zip(fields, texts, strict=True))
+    )
+    dash = F.concat(F.lit(INDENT * indent + "- "), F.when(mask == 0, "{}").otherwise(members))
+    return [mask.alias("mask"), nested.alias("nested"), row.alias("row_text"), dash.alias("dash_text")]
+
+
 class Members:
     """Members of an object that are columns of a frame."""
 

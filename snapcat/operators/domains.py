@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapcat.operators.relations import contains_any
+from snapcat.operators.names import contains_any
 
 # Keywords per domain, in the order they are tried.
 DOMAIN_WORDS = {

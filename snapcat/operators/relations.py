@@ -6,12 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapcat.operators.catalog import KEY
-from snapcat.session import ensure_checkpoint_dir
+from snapcat.operators.names import JUNCTION_NAMES, contains_any
+from snapcat.session import settle
 
-# Columns that do not count as payload of a junction table.
-METADATA_COLUMNS = ("created_at", "updated_at", "created_by", "updated_by", "deleted_at", "id", "uuid")
-# Parts of a name that suggest a junction table.
-JUNCTION_NAMES = ("_to_", "_x_", "_has_", "_rel_", "_link_", "_map_", "_assoc_")
 # The three reasons, in the order they are tried.
 REASON_KEY = "Primary key consists entirely of foreign key columns"
 REASON_FEW = "Table has multiple foreign keys with minimal additional columns"
@@ -21,14 +18,6 @@ FROM_KEY = ["db_id", "from_schema", "from_table"]
 TO_KEY = ["db_id", "to_schema", "to_table"]
 
 
-def contains_any(text: Column, parts: tuple[str, ...]) -> Column:
-    """Plain substring tests (``_`` would be a wildcard in LIKE)."""
-    found = F.lit(False)
-    for part in parts:
-        found = found | text.contains(part)
-    return found
-
-
 def keyed(frame: DataFrame, prefix: str) -> DataFrame:
     """Frame with the table key taken from its ``from_``/``to_`` columns."""
     return frame.withColumnsRenamed({f"{prefix}_schema": "schema_name", f"{prefix}_table": "table_name"})
@@ -66,42 +55,17 @@ def primary_keys(constraints: DataFrame) -> DataFrame:
     )
 
 
-def junctions(tables: DataFrame, columns: DataFrame, constraints: DataFrame, fks: DataFrame) -> DataFrame:
-    """``is_junction`` and the reason, for every table."""
-    # Distinct names of one table's columns: at most 1,600, the server's limit.
-    fk_side = (
-        keyed(fks, "from")
-        .select(*KEY, F.posexplode_outer("from_columns").alias("slot", "fk_column"))
-        .groupBy(*KEY)
-        .agg(
-            F.count_if(F.coalesce("slot", F.lit(0)) == 0).alias("fk_out"),
-            F.collect_set("fk_column").alias("fk_columns"),
-        )
-        .where("fk_out >= 2")
-    )
-    column_side = columns.groupBy(*KEY).agg(F.collect_list("column_name").alias("names"))
-    candidates = (
-        tables.select(*KEY)
-        .join(fk_side, KEY)
-        .join(column_side, KEY, "left")
-        .join(primary_keys(constraints), KEY, "left")
-    )
-    payload = F.filter(
-        "names",
-        lambda name: ~F.array_contains("fk_columns", name) & ~F.lower(name).isin(*METADATA_COLUMNS),
-    )
-    pk_is_fk = (F.size("pk_columns") > 0) & (F.size(F.array_except("pk_columns", "fk_columns")) == 0)
-    few_columns = (F.coalesce(F.size(payload), F.lit(0)) <= 2) & (F.coalesce(F.size("names"), F.lit(0)) <= 8)
+def junctions(facts: DataFrame) -> DataFrame:
+    """``is_junction`` and the reason, for every table of ``table_facts``."""
+    keyed_by_fks = (F.col("n_key_columns") > 0) & (F.col("n_own_key_columns") == 0)
+    few_columns = (F.col("n_payload") <= 2) & (F.col("n_columns") <= 8)
     reason = (
-        F.when(F.coalesce(pk_is_fk, F.lit(False)), REASON_KEY)
+        F.when(keyed_by_fks, REASON_KEY)
         .when(few_columns, REASON_FEW)
         .when(contains_any(F.lower("table_name"), JUNCTION_NAMES), REASON_NAME)
     )
-    reasons = candidates.select(*KEY, reason.alias("junction_reasoning")).where("junction_reasoning IS NOT NULL")
-    return (
-        tables.select(*KEY)
-        .join(reasons, KEY, "left")
-        .withColumn("is_junction", F.col("junction_reasoning").isNotNull())
+    return facts.withColumn("junction_reasoning", F.when(F.col("fk_out") >= 2, reason)).withColumn(
+        "is_junction", F.col("junction_reasoning").isNotNull()
     )
 
 
@@ -183,37 +147,33 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
 
     Colouring: every table takes the greatest table that can reach it, then the
     tables of a colour that reach its root backwards form one component.
-    Frames stay linear in the edges (no pair closure). Lineage is cut with
-    reliable checkpoints, so a lost executor costs one round at most. The loop
+    Frames stay linear in the edges (no pair closure). Each round is settled in
+    the shared folder, so a lost executor costs one round at most. The loop
     runs on the driver; only row counts come back.
     """
-    ensure_checkpoint_dir(edges.sparkSession)
-
     def end(side: str) -> Column:
         return F.struct(F.col(f"{side}_schema").alias("schema_name"), F.col(f"{side}_table").alias("table_name"))
 
-    live = edges.select("db_id", end("from").alias("src"), end("to").alias("dst")).where("src <> dst").distinct().checkpoint()
+    live = settle(edges.select("db_id", end("from").alias("src"), end("to").alias("dst")).where("src <> dst").distinct())
     found: list[DataFrame] = []
     while True:
         live = _trim(live)
         if live.isEmpty():
             break
         colours = _spread(live)
-        tinted = (
+        tinted = settle(
             live.join(colours.select("db_id", F.col("v").alias("src"), "colour"), ["db_id", "src"])
             .join(colours.select("db_id", F.col("v").alias("dst"), F.col("colour").alias("dst_colour")), ["db_id", "dst"])
             .where("colour = dst_colour")
             .select("db_id", "src", "dst", "colour")
-            .checkpoint()
         )
         members = _reach_back(tinted, colours.where("v = colour"))
         found.append(members)
         done = members.select("db_id", "v")
-        live = (
+        live = settle(
             tinted.select("db_id", "src", "dst")
             .join(done.withColumnRenamed("v", "src"), ["db_id", "src"], "left_anti")
             .join(done.withColumnRenamed("v", "dst"), ["db_id", "dst"], "left_anti")
-            .checkpoint()
         )
     if not found:
         empty = live.select("db_id", F.col("src").alias("v"), F.col("src").alias("colour"))
@@ -238,7 +198,7 @@ def _trim(live: DataFrame) -> DataFrame:
     while size:
         sources = live.select("db_id", F.col("src").alias("dst")).distinct()
         targets = live.select("db_id", F.col("dst").alias("src")).distinct()
-        live = live.join(sources, ["db_id", "dst"], "left_semi").join(targets, ["db_id", "src"], "left_semi").checkpoint()
+        live = settle(live.join(sources, ["db_id", "dst"], "left_semi").join(targets, ["db_id", "src"], "left_semi"))
         left = live.count()
         if left == size:
             break
@@ -248,11 +208,10 @@ def _trim(live: DataFrame) -> DataFrame:
 
 def _spread(live: DataFrame) -> DataFrame:
     """Greatest vertex that reaches each vertex, itself included."""
-    colours = (
+    colours = settle(
         live.select("db_id", F.explode(F.array("src", "dst")).alias("v"))
         .distinct()
         .withColumn("colour", F.col("v"))
-        .checkpoint()
     )
     while True:
         offers = (
@@ -260,12 +219,11 @@ def _spread(live: DataFrame) -> DataFrame:
             .groupBy("db_id", F.col("dst").alias("v"))
             .agg(F.max("colour").alias("offer"))
         )
-        step = (
+        step = settle(
             colours.join(offers, ["db_id", "v"], "left")
             .select("db_id", "v", F.greatest("colour", "offer").alias("next"), "colour")
             .withColumn("moved", F.col("next") != F.col("colour"))
             .select("db_id", "v", F.col("next").alias("colour"), "moved")
-            .checkpoint()
         )
         colours = step.drop("moved")
         if step.where("moved").isEmpty():
@@ -274,15 +232,14 @@ def _spread(live: DataFrame) -> DataFrame:
 
 def _reach_back(tinted: DataFrame, roots: DataFrame) -> DataFrame:
     """Vertices that reach the root of their colour inside the colour."""
-    members = roots.select("db_id", "v", "colour").checkpoint()
+    members = settle(roots.select("db_id", "v", "colour"))
     frontier = members
     while not frontier.isEmpty():
-        frontier = (
+        frontier = settle(
             tinted.join(frontier.withColumnRenamed("v", "dst"), ["db_id", "dst", "colour"], "left_semi")
             .select("db_id", F.col("src").alias("v"), "colour")
             .distinct()
             .join(members, ["db_id", "v", "colour"], "left_anti")
-            .checkpoint()
         )
-        members = members.unionByName(frontier).checkpoint()
+        members = members.unionByName(frontier)
     return members

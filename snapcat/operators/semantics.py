@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapcat.operators.catalog import KEY
-from snapcat.operators.relations import contains_any
+from snapcat.operators.names import contains_any
 
 # Names, endings and types of each class.
 ID_NAMES, ID_ENDINGS = ("id", "uuid"), ("_id", "_uuid")

@@ -6,45 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapcat.operators.catalog import KEY
-from snapcat.operators.relations import contains_any
+from snapcat.operators.names import AUDIT_NAMES, CONFIG_NAMES, LOG_NAMES, LOOKUP_NAMES, contains_any
 
 CORE_INCOMING = 3
 
-# Name parts and column names behind each tag.
-LOOKUP_NAMES = ("_type", "_types", "_status", "_statuses", "_category", "_categories", "_kind", "_kinds", "_code",
-                "_codes", "lookup_", "ref_")
-LOOKUP_COLUMNS = ("name", "code", "value", "label")
-AUDIT_NAMES = ("_audit", "_history", "_log", "_changelog", "audit_", "history_")
-AUDIT_COLUMNS = ("action", "old_value", "new_value", "changed_by", "changed_at", "revision")
-CONFIG_NAMES = ("config", "setting", "preference", "option")
-CONFIG_KEYS = ("key", "name", "setting_key")
-CONFIG_VALUES = ("value", "setting_value")
-LOG_NAMES = ("_log", "_logs", "_event", "_events", "log_", "event_")
-LOG_TIMES = ("logged_at", "event_time")
-LOG_KINDS = ("event_type", "log_type", "action")
-
-
-def column_signs(tables: DataFrame, columns: DataFrame) -> DataFrame:
-    """Per table, what its column names say; tables without columns are kept."""
-    name = F.lower("column_name")
-
-    def some(test: Column) -> Column:
-        return F.bool_or(test)
-
-    signs = columns.groupBy(*KEY).agg(
-        F.count("*").alias("n_columns"),
-        some(name.isin(*LOOKUP_COLUMNS)).alias("has_lookup_column"),
-        F.count_if(name.isin(*AUDIT_COLUMNS)).alias("n_audit_columns"),
-        some(name.isin(*CONFIG_KEYS)).alias("has_config_key"),
-        some(name.isin(*CONFIG_VALUES)).alias("has_config_value"),
-        some(name.contains("timestamp") | name.isin(*LOG_TIMES)).alias("has_log_time"),
-        some(name.isin(*LOG_KINDS)).alias("has_log_kind"),
-    )
-    joined = tables.select(*KEY).join(signs, KEY, "left")
-    return joined.fillna(0, ["n_columns", "n_audit_columns"]).fillna(
-        False, ["has_lookup_column", "has_config_key", "has_config_value", "has_log_time", "has_log_kind"]
-    )
-
 
 def is_lookup() -> Column:
     referenced_leaf = (F.col("n_columns") <= 5) & (F.col("fk_out") == 0) & (F.col("fk_in") > 0)
@@ -68,24 +33,20 @@ def is_log() -> Column:
     return contains_any(F.lower("table_name"), LOG_NAMES) | (F.col("has_log_time") & F.col("has_log_kind"))
 
 
-def tag_flags(signs: DataFrame, fk_counts: DataFrame, junctions: DataFrame) -> DataFrame:
-    """One boolean per tag for every table."""
-    return (
-        signs.join(fk_counts, KEY)
-        .join(junctions, KEY)
-        .select(
-            *KEY,
-            "fk_out",
-            "fk_in",
-            "is_junction",
-            "junction_reasoning",
-            (F.col("fk_in") >= CORE_INCOMING).alias("core"),
-            F.col("is_junction").alias("junction"),
-            is_lookup().alias("lookup"),
-            is_audit().alias("audit"),
-            is_config().alias("config"),
-            is_log().alias("log"),
-        )
+def tag_flags(junctions: DataFrame) -> DataFrame:
+    """One boolean per tag for every table; a projection of the junction facts."""
+    return junctions.select(
+        *KEY,
+        "fk_out",
+        "fk_in",
+        "is_junction",
+        "junction_reasoning",
+        (F.col("fk_in") >= CORE_INCOMING).alias("core"),
+        F.col("is_junction").alias("junction"),
+        is_lookup().alias("lookup"),
+        is_audit().alias("audit"),
+        is_config().alias("config"),
+        is_log().alias("log"),
     )
 
 

@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from snapcat.functions import toon
 from snapcat.functions.toon import Field
 from snapcat.operators import domains, overview, relations, semantics, tags
-from snapcat.operators.catalog import KEY
+from snapcat.operators.catalog import KEY, with_fk_nullable
+from snapcat.operators.facts import table_facts
 from snapcat.plans import fragments as fr
 from snapcat.plans.paths import database_path, object_path, with_safe_name
 from snapcat.plans.snapshot import SnapshotConfig
-from snapcat.session import ensure_checkpoint_dir
+from snapcat.session import settle
 from snapcat.sources.lazy import LazyFrames
 
 # Members of each object, in order.
@@ -137,8 +138,8 @@ SEMANTIC_LISTS = ("status", "timestamp", "currency_amount", "id")
 class Model:
     """Snapshot frames and the facts the documents draw on, each planned once.
 
-    ``settled`` checkpoints the facts that several kinds of documents share, so
-    that a full run computes them once.
+    Table facts feed several parts of one document and are settled.
+    ``settled`` does the same for the paths, which a full run uses in every kind.
     """
 
     def __init__(self, frames: Mapping[str, DataFrame], cfg: SnapshotConfig, settled: bool = False):
@@ -146,12 +147,6 @@ class Model:
         self.cfg = cfg
         self.settled = settled
 
-    def _shared(self, frame: DataFrame) -> DataFrame:
-        if not self.settled:
-            return frame
-        ensure_checkpoint_dir(frame.sparkSession)
-        return frame.checkpoint()
-
     def __getitem__(self, name: str) -> DataFrame:
         return self.frames[name]
 
@@ -159,28 +154,24 @@ class Model:
     def table_dirs(self) -> DataFrame:
         keys = self["tables"].select(*KEY)
         named = with_safe_name(keys, F.col("table_name"), F.col("table_name")).withColumnRenamed("safe", "dir")
-        return self._shared(named)
+        return settle(named) if self.settled else named
 
     @cached_property
     def view_dirs(self) -> DataFrame:
         keys = self["views"].select(*KEY)
         return with_safe_name(keys, F.col("table_name"), F.col("table_name")).withColumnRenamed("safe", "dir")
 
-    @cached_property
-    def counts(self) -> DataFrame:
-        return relations.fk_counts(self["foreign_keys"], self["tables"])
-
     @cached_property
     def junctions(self) -> DataFrame:
-        return self._shared(
-            relations.junctions(self["tables"], self["columns"], self["constraints"], self["foreign_keys"])
+        return settle(
+            relations.junctions(
+                table_facts(self["tables"], self["columns"], self["constraints"], self["foreign_keys"])
+            )
         )
 
     @cached_property
     def flags(self) -> DataFrame:
-        return self._shared(
-            tags.tag_flags(tags.column_signs(self["tables"], self["columns"]), self.counts, self.junctions)
-        )
+        return tags.tag_flags(self.junctions)
 
     @cached_property
     def primary_keys(self) -> DataFrame:
@@ -189,7 +180,10 @@ class Model:
     @cached_property
     def linked(self) -> DataFrame:
         """Foreign keys with nullability and cardinality."""
-        unique = relations.with_fk_unique(self["foreign_keys"], self["constraints"], self["indexes"])
+        fks = self["foreign_keys"]
+        if "nullable" not in fks.columns:
+            fks = with_fk_nullable(fks, self["columns"])
+        unique = relations.with_fk_unique(fks, self["constraints"], self["indexes"])
         return relations.with_cardinality(unique, self.junctions)
 
     def table_docs(self, kind: str) -> DataFrame:
@@ -231,13 +225,9 @@ def doc_structure(m: Model) -> DataFrame:
 
 def _columns_doc(docs: DataFrame, columns: DataFrame) -> DataFrame:
     """Column lists; a table holds at most 1,600 columns, so each is gathered in one row."""
-    listed = columns.select(
-        *KEY,
-        "ordinal_position",
-        toon.presence(ROW, COLUMN).alias("mask"),
-        F.concat(F.lit("\n" + toon.INDENT), toon.table_row(ROW, COLUMN)).alias("row_text"),
-        F.concat(F.lit("\n"), toon.dash_item(ROW, COLUMN, 1)).alias("dash_text"),
-    ).groupBy(*KEY).agg(
+    place = [*KEY, "ordinal_position"]
+    shaped = toon.with_texts(columns, COLUMN, *place).select(*place, *toon.shape_columns(COLUMN, 1))
+    listed = shaped.groupBy(*KEY).agg(
         F.count("*").alias("n"),
         F.min("mask").alias("low"),
         F.max("mask").alias("high"),
@@ -245,8 +235,10 @@ def _columns_doc(docs: DataFrame, columns: DataFrame) -> DataFrame:
     )
     tabular = F.coalesce(toon.is_tabular(F.col("low"), F.col("high"), F.lit(False)), F.lit(False))
     head = toon.list_head(F.lit("columns"), F.coalesce("n", F.lit(0).cast("bigint")), tabular, F.col("low"), COLUMN)
-    texts = F.when(tabular, F.col("items.row_text")).otherwise(F.col("items.dash_text"))
-    return fr.whole(docs.join(listed, KEY, "left"), F.concat(head, F.coalesce(F.array_join(texts, ""), F.lit(""))))
+    rows = F.concat(F.lit("\n" + toon.INDENT), F.array_join("items.row_text", "\n" + toon.INDENT))
+    dashes = F.concat(F.lit("\n"), F.array_join("items.dash_text", "\n"))
+    body = F.when(F.col("n").isNull(), "").when(tabular, rows).otherwise(dashes)
+    return fr.whole(docs.join(listed, KEY, "left"), F.concat(head, body))
 
 
 def doc_columns(m: Model) -> DataFrame:
@@ -496,7 +488,9 @@ def _database_docs(m: Model, name: str) -> DataFrame:
 def doc_index(m: Model) -> DataFrame:
     docs = _database_docs(m, "db.index.toon")
     entries = overview.db_index(m["tables"], tags.table_tags(m.flags), m.primary_keys, m.cfg.redact_comments)
-    rows = _placed(entries.withColumn("path", database_path("db.index.toon")), 0, "tables", k1=F.col("schema_name"), k2=F.col("table_name"))
+    # The list's shape and its rows both read the entries.
+    listed = settle(entries).withColumn("path", database_path("db.index.toon"))
+    rows = _placed(listed, 0, "tables", k1=F.col("schema_name"), k2=F.col("table_name"))
     # At most five start tables per database.
     starts = overview.start_tables(m.flags).groupBy("db_id").agg(
         F.sort_array(F.collect_list(F.struct("position", toon.quoted(F.col("table_name")).alias("t"))))["t"].alias("starts")
@@ -607,9 +601,9 @@ def doc_overview(m: Model) -> DataFrame:
         heading = heading.when(F.col("section") == 10 + i, title)
     parts.append(fr.run_of_values(bucketed, ", ", F.concat(F.lit("\n"), heading), F.lit("\n")))
 
-    related = overview.has_relationships(m.counts).where("has_relationships").withColumn("path", path)
+    related = overview.has_relationships(m.flags).where("has_relationships").withColumn("path", path)
     parts.append(fr.whole(related, F.lit("## Key Entry Points\n\nStart exploring from these highly-connected tables:\n"), 20))
-    points = overview.entry_points(m.counts).withColumn("path", path)
+    points = overview.entry_points(m.flags).withColumn("path", path)
     arrow = text("\n- `", F.col("table_name"), "` ← referenced by ", F.col("fk_in").cast("string"), " tables")
     parts.append(points.select(*fr.fragment(arrow, 21, order=F.col("position"))))
     parts.append(related.select(*fr.fragment(F.lit("\n"), 22)))

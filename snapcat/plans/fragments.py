@@ -68,19 +68,10 @@ def object_list(rows: DataFrame, fields: Sequence[Field], docs: DataFrame | None
     facts. Else they join one row per list, which adaptive execution splits
     when a list is huge.
     """
-    item = toon.Members()
     dashed = any(f.kind == "strings" and f.omit == "never" for f in fields)
     table = all(f.kind != "strings" and f.omit == "never" for f in fields)
-    shaped = rows.select(
-        *GROUP,
-        "k1",
-        "ord",
-        "k2",
-        toon.presence(item, fields).alias("mask"),
-        toon.holds_list(item, fields).alias("nested"),
-        toon.table_row(item, fields).alias("row_text"),
-        toon.dash_item(item, fields, 1).alias("dash_text"),
-    )
+    places = [*GROUP, "k1", "ord", "k2"]
+    shaped = toon.with_texts(rows, fields, *places).select(*places, *toon.shape_columns(fields, 1))
     facts = shaped.groupBy(*GROUP).agg(
         F.count("*").alias("n"), F.min("mask").alias("low"), F.max("mask").alias("high"), F.bool_or("nested").alias("any_list")
     )

@@ -20,7 +20,7 @@ from snapcat.registry import catalog as cat
 from snapcat.registry import facts
 from snapcat.registry.facts import _sql
 from snapcat.registry.rows import _number, _quoted, read
-from snapcat.session import ensure_checkpoint_dir
+from snapcat.session import settle
 from snapcat.sources.fleet import SCHEMAS, fleet_normal, fleet_raw
 from snapcat.sources.lazy import LazyFrames
 
@@ -30,10 +30,7 @@ COLS = ["db_id", "path", "section", "k1", "k2", "text"]
 
 def model(spark: SparkSession, sf_dir: str, cfg: SnapshotConfig = cat.FULL) -> Model:
     """Normalised tables of the fleet; the other frames come out of the raw relations."""
-    normal = dict(fleet_normal(spark, sf_dir))
-    # The stand-in has no nullability; derive it as the snapshot does.
-    normal["foreign_keys"] = cat.c.with_fk_nullable(normal["foreign_keys"], normal["columns"])
-    return Model(snapshot(fleet_raw(spark, sf_dir), cfg).replaced(**normal), cfg)
+    return Model(snapshot(fleet_raw(spark, sf_dir), cfg).replaced(**fleet_normal(spark, sf_dir)), cfg)
 
 
 def doc_query(kind: str):
@@ -99,18 +96,18 @@ def event_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 def catalog_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A full run from the raw relations: fragments and characters per database and kind.
 
-    Every frame is checkpointed, as ``sink.generate`` writes them, and the sizes
+    Every frame is settled, as ``sink.generate`` writes them, and the sizes
     of each kind are settled on their own: one plan for all kinds would hold
     hundreds of joins.
     """
-    ensure_checkpoint_dir(spark)
     planned = snapshot(fleet_raw(spark, sf_dir), cat.FULL)
-    frames = LazyFrames({name: (lambda name=name: planned[name].checkpoint()) for name in planned})
+    frames = LazyFrames({name: (lambda name=name: settle(planned[name])) for name in planned})
     sizes = [
-        frame.groupBy("db_id")
-        .agg(F.count("*").alias("fragment_count"), F.sum(F.length("text")).alias("characters"))
-        .select("db_id", F.lit(kind).alias("kind"), "fragment_count", "characters")
-        .checkpoint()
+        settle(
+            frame.groupBy("db_id")
+            .agg(F.count("*").alias("fragment_count"), F.sum(F.length("text")).alias("characters"))
+            .select("db_id", F.lit(kind).alias("kind"), "fragment_count", "characters")
+        )
         for kind, frame in snapshot_fragments(frames, cat.FULL).items()
     ]
     return fr.union(sizes)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapcat.functions.names import safe_name
-from snapcat.operators import catalog, domains, overview, relations, semantics, tags
+from snapcat.operators import catalog, domains, names, overview, relations, semantics, tags
+from snapcat.operators.facts import table_facts
 from snapcat.sources.fleet import duckdb_cte, fleet_normal
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,21 +24,36 @@ class Fleet:
     """Normalised frames and the facts built on them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        frames = fleet_normal(spark, sf_dir)
-        self.tables = frames["tables"]
-        self.columns = frames["columns"]
-        self.constraints = frames["constraints"]
-        self.indexes = frames["indexes"]
-        self.fks = frames["foreign_keys"]
+        self.frames = fleet_normal(spark, sf_dir)
+
+    @property
+    def tables(self) -> DataFrame:
+        return self.frames["tables"]
+
+    @property
+    def columns(self) -> DataFrame:
+        return self.frames["columns"]
+
+    @property
+    def constraints(self) -> DataFrame:
+        return self.frames["constraints"]
+
+    @property
+    def indexes(self) -> DataFrame:
+        return self.frames["indexes"]
+
+    @property
+    def fks(self) -> DataFrame:
+        return self.frames["foreign_keys"]
 
     def counts(self) -> DataFrame:
         return relations.fk_counts(self.fks, self.tables)
 
     def junctions(self) -> DataFrame:
-        return relations.junctions(self.tables, self.columns, self.constraints, self.fks)
+        return relations.junctions(table_facts(self.tables, self.columns, self.constraints, self.fks))
 
     def flags(self) -> DataFrame:
-        return tags.tag_flags(tags.column_signs(self.tables, self.columns), self.counts(), self.junctions())
+        return tags.tag_flags(self.junctions())
 
     def unique_fks(self) -> DataFrame:
         return relations.with_fk_unique(self.fks, self.constraints, self.indexes)
@@ -239,7 +255,7 @@ j_fk AS (SELECT db_id, from_schema AS schema_name, from_table AS table_name, cou
          FROM f_foreign_keys GROUP BY ALL),
 j_col AS (SELECT c.db_id, c.schema_name, c.table_name, count(*) AS n_columns,
                  count(*) FILTER (WHERE NOT list_contains(j.fk_columns, column_name)
-                                  AND lower(column_name) NOT IN {_in(relations.METADATA_COLUMNS)}) AS payload
+                                  AND lower(column_name) NOT IN {_in(names.METADATA_COLUMNS)}) AS payload
           FROM f_columns c JOIN j_fk j USING (db_id, schema_name, table_name) GROUP BY ALL),
 j_pk AS (SELECT db_id, schema_name, table_name, arg_min("columns", constraint_name) AS pk_columns, min(constraint_name) AS pk_name
          FROM f_constraints WHERE constraint_type = 'PRIMARY KEY' GROUP BY ALL),
@@ -247,7 +263,7 @@ j_reason AS (SELECT t.db_id, t.schema_name, t.table_name, CASE
     WHEN j.fk_out IS NULL OR j.fk_out < 2 THEN NULL
     WHEN len(p.pk_columns) > 0 AND list_has_all(j.fk_columns, p.pk_columns) THEN '{relations.REASON_KEY}'
     WHEN coalesce(payload, 0) <= 2 AND coalesce(n_columns, 0) <= 8 THEN '{relations.REASON_FEW}'
-    WHEN {_any("lower(t.table_name)", relations.JUNCTION_NAMES)} THEN '{relations.REASON_NAME}'
+    WHEN {_any("lower(t.table_name)", names.JUNCTION_NAMES)} THEN '{relations.REASON_NAME}'
   END AS junction_reasoning
   FROM f_tables t LEFT JOIN j_fk j USING (db_id, schema_name, table_name)
   LEFT JOIN j_col USING (db_id, schema_name, table_name) LEFT JOIN j_pk p USING (db_id, schema_name, table_name)),
@@ -270,20 +286,20 @@ cards AS (SELECT u.*, CASE WHEN j.is_junction THEN 'many-to-many' WHEN fk_unique
 
 FLAGS_CTE = f"""
 c_signs AS (SELECT db_id, schema_name, table_name, count(*) AS n,
-    bool_or(lower(column_name) IN {_in(tags.LOOKUP_COLUMNS)}) AS lookup_col,
-    count(*) FILTER (WHERE lower(column_name) IN {_in(tags.AUDIT_COLUMNS)}) AS audit_cols,
-    bool_or(lower(column_name) IN {_in(tags.CONFIG_KEYS)}) AS has_key,
-    bool_or(lower(column_name) IN {_in(tags.CONFIG_VALUES)}) AS has_value,
-    bool_or(contains(lower(column_name), 'timestamp') OR lower(column_name) IN {_in(tags.LOG_TIMES)}) AS has_time,
-    bool_or(lower(column_name) IN {_in(tags.LOG_KINDS)}) AS has_kind
+    bool_or(lower(column_name) IN {_in(names.LOOKUP_COLUMNS)}) AS lookup_col,
+    count(*) FILTER (WHERE lower(column_name) IN {_in(names.AUDIT_COLUMNS)}) AS audit_cols,
+    bool_or(lower(column_name) IN {_in(names.CONFIG_KEYS)}) AS has_key,
+    bool_or(lower(column_name) IN {_in(names.CONFIG_VALUES)}) AS has_value,
+    bool_or(contains(lower(column_name), 'timestamp') OR lower(column_name) IN {_in(names.LOG_TIMES)}) AS has_time,
+    bool_or(lower(column_name) IN {_in(names.LOG_KINDS)}) AS has_kind
   FROM f_columns GROUP BY ALL),
 flags AS (SELECT t.db_id, t.schema_name, t.table_name, fk_out, fk_in,
     fk_in >= 3 AS core, is_junction AS junction,
-    {_any("lower(table_name)", tags.LOOKUP_NAMES)} OR (coalesce(n, 0) <= 5 AND fk_out = 0 AND fk_in > 0)
+    {_any("lower(table_name)", names.LOOKUP_NAMES)} OR (coalesce(n, 0) <= 5 AND fk_out = 0 AND fk_in > 0)
       OR (coalesce(lookup_col, false) AND coalesce(n, 0) <= 4) AS lookup,
-    {_any("lower(table_name)", tags.AUDIT_NAMES)} OR coalesce(audit_cols, 0) >= 2 AS audit,
-    {_any("lower(table_name)", tags.CONFIG_NAMES)} OR (coalesce(n, 0) <= 4 AND coalesce(has_key AND has_value, false)) AS config,
-    {_any("lower(table_name)", tags.LOG_NAMES)} OR coalesce(has_time AND has_kind, false) AS log
+    {_any("lower(table_name)", names.AUDIT_NAMES)} OR coalesce(audit_cols, 0) >= 2 AS audit,
+    {_any("lower(table_name)", names.CONFIG_NAMES)} OR (coalesce(n, 0) <= 4 AND coalesce(has_key AND has_value, false)) AS config,
+    {_any("lower(table_name)", names.LOG_NAMES)} OR coalesce(has_time AND has_kind, false) AS log
   FROM f_tables t JOIN counts USING (db_id, schema_name, table_name) JOIN junctions USING (db_id, schema_name, table_name)
   LEFT JOIN c_signs USING (db_id, schema_name, table_name)),
 tagged AS (SELECT *, array_to_string(list_filter([CASE WHEN core THEN 'core' END, CASE WHEN junction THEN 'junction' END,
