@@ -40,7 +40,8 @@ def snapshot(raw: Mapping[str, DataFrame], cfg: SnapshotConfig) -> LazyFrames:
 
     @cache
     def listed() -> DataFrame:
-        return c.tables(raw["info_tables"], classes(), raw["pg_description"], cfg.schemas)
+        listed = c.tables(raw["info_tables"], classes(), raw["pg_description"], cfg.schemas)
+        return listed.withColumn("comment", F.lit("")) if cfg.redact_comments else listed
 
     @cache
     def scope() -> DataFrame:

@@ -16,6 +16,8 @@ def build_session(app: str = "snapcat", master: str | None = None, shuffle_parti
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # Split a skewed join side even where that costs another shuffle.
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+        # A full run holds several hundred stages; keep their compiled code.
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.showConsoleProgress", "false")
     )

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 
+from snapcat.sources.lazy import LazyFrames
 from snapcat.sources.relations import CATALOG_COLUMNS
 
 
@@ -13,15 +16,15 @@ def export_schema(relation: str) -> str:
     return ", ".join(["db_id bigint", *(f"{name} {kind}" for name, kind in columns.items())])
 
 
-def read_catalog(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """Lazy frames over ``root/<relation>``; the given schema spares the footer scan."""
-    return {
-        relation: spark.read.schema(export_schema(relation)).parquet(f"{root}/{relation}")
-        for relation in CATALOG_COLUMNS
-    }
+def read_catalog(spark: SparkSession, root: str) -> LazyFrames:
+    """Frames over ``root/<relation>``; the given schema spares the footer scan."""
+    def reader(relation: str):
+        return lambda: spark.read.schema(export_schema(relation)).parquet(f"{root}/{relation}")
+
+    return LazyFrames({relation: reader(relation) for relation in CATALOG_COLUMNS})
 
 
-def write_catalog(raw: dict[str, DataFrame], root: str) -> None:
+def write_catalog(raw: Mapping[str, DataFrame], root: str) -> None:
     """Write every relation as Parquet under ``root``."""
     for relation, frame in raw.items():
         frame.select("db_id", *CATALOG_COLUMNS[relation]).write.mode("overwrite").parquet(f"{root}/{relation}")

@@ -9,9 +9,11 @@ the oracle queries.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from snapcat.sources.lazy import LazyFrames
 from snapcat.sources.relations import CATALOG_COLUMNS
@@ -527,32 +529,30 @@ def _output(name: str, relation: Relation) -> dict[str, str]:
     return {k: v for k, v in relation.output().items() if k not in drop}
 
 
-def _literal(value, kind: str, types: dict[str, str] | None) -> str:
-    """One SQL literal; ``types`` maps the type names for DuckDB."""
-    sql_type = types[kind] if types else kind
+def _literal(value, kind: str) -> str:
+    """One DuckDB literal."""
+    sql_type = DUCKDB_TYPES[kind]
     if value is None:
         return f"CAST(NULL AS {sql_type})"
     if isinstance(value, list):
         inner = kind[len("array<"):-1]
-        items = ", ".join(_literal(v, inner, types) for v in value)
-        return f"CAST({f'[{items}]' if types else f'array({items})'} AS {sql_type})"
+        return f"CAST([{', '.join(_literal(v, inner) for v in value)}] AS {sql_type})"
     if isinstance(value, bool):
         return "true" if value else "false"
     if isinstance(value, (int, float)):
         return f"CAST({value} AS {sql_type})"
-    if types:
-        return "'" + value.replace("'", "''") + "'"
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+    return "'" + value.replace("'", "''") + "'"
 
 
 def _spark_frame(databases: DataFrame, name: str, relation: Relation) -> DataFrame:
-    structs = ", ".join(
-        "struct(" + ", ".join(
-            f"{_literal(v, k, None)} AS `{f}`" for v, (f, k) in zip(row, relation.fields.items(), strict=True)
-        ) + ")"
-        for row in relation.rows
-    )
-    exploded = databases.selectExpr("db_id", f"inline(array({structs}))").where(relation.where)
+    """Every database row exploded into the template rows.
+
+    The template is one JSON literal, which the optimizer folds into an array
+    constant; thousands of SQL literals would take longer to parse than to run.
+    """
+    rows = json.dumps([dict(zip(relation.fields, row, strict=True)) for row in relation.rows])
+    schema = "array<struct<" + ",".join(f"`{f}`:{kind}" for f, kind in relation.fields.items()) + ">>"
+    exploded = databases.select("db_id", F.inline(F.from_json(F.lit(rows), schema))).where(relation.where)
     return exploded.selectExpr("db_id", *(f"{expr} AS `{out}`" for out, expr in _output(name, relation).items()))
 
 
@@ -597,7 +597,7 @@ def duckdb_cte(*names: str) -> str:
         key = name.removeprefix("f_")
         relation = normal[key] if name.startswith("f_") else raw[key]
         values = ", ".join(
-            "(" + ", ".join(_literal(v, k, DUCKDB_TYPES) for v, k in zip(row, relation.fields.values(), strict=True)) + ")"
+            "(" + ", ".join(_literal(v, k) for v, k in zip(row, relation.fields.values(), strict=True)) + ")"
             for row in relation.rows
         )
         quoted = ", ".join(f'"{f}"' for f in relation.fields)
