@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,3 +26,15 @@ def runs(sizes: list[int], most: int = WORK_BYTES) -> Iterator[range]:
         held += size
     if start < len(sizes):
         yield range(start, len(sizes))
+
+
+def word_blocks(raw: bytes, keep: int, most: int = 1 << 18) -> Iterator[list[bytes]]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 text, at most about ``most`` at a time; each block but the first begins
+    with the last ``keep`` words of the one before. At least one block, without words if there are none."""
+    if len(raw) <= 16 * most:
+        yield raw.split()
+        return
+    found, held = (m[0] for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)), []
+    while more := list(itertools.islice(found, most)):
+        yield held + more
+        held = (held + more)[-keep:] if keep else []

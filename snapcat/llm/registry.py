@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from snapcat.llm import bpe
+from snapcat.llm import bpe, simhash
 
-MODULES = (bpe,)
+MODULES = (bpe, simhash)
 
 
 def all_queries() -> dict:
