@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from snapcat.llm import bpe, simhash
+from snapcat.llm import bpe, decontaminate, simhash
 
-MODULES = (bpe, simhash)
+MODULES = (bpe, decontaminate, simhash)
 
 
 def all_queries() -> dict:
