@@ -6,7 +6,8 @@ import itertools
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker holds as words at a time.
 WORK_BYTES = 4 << 20
@@ -38,3 +39,9 @@ def word_blocks(raw: bytes, keep: int, most: int = 1 << 18) -> Iterator[list[byt
     while more := list(itertools.islice(found, most)):
         yield held + more
         held = (held + more)[-keep:] if keep else []
+
+
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """128 bits of id and text that name a row; rows with the same key are equal in both."""
+    id_, text = F.col(id_col), F.col(text_col)
+    return [F.xxhash64(F.isnull(id_), id_, F.isnull(text), text).alias("row_key_1"), F.xxhash64(F.lit(1), text, F.isnull(text), id_, F.isnull(id_)).alias("row_key_2")]

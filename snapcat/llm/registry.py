@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from snapcat.llm import bpe, decontaminate, simhash
+from snapcat.llm import bpe, decontaminate, simhash, substring
 
-MODULES = (bpe, decontaminate, simhash)
+MODULES = (bpe, decontaminate, simhash, substring)
 
 
 def all_queries() -> dict:

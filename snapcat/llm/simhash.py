@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapcat.llm.common import documents, word_blocks
+from snapcat.llm.common import documents, row_key, word_blocks
 from snapcat.llm.components import components, forest
 from snapcat.session import settle
 
@@ -190,12 +190,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return printed.join(named, "point").select("doc_id", "row_key_1", "row_key_2", F.col("point").alias("fingerprint"), "root", "component_id")
 
 
-def row_key(id_col: str, text_col: str) -> list:
-    """128 bits of id and text that name a row; rows with the same key are equal in both."""
-    id_, text = F.col(id_col), F.col(text_col)
-    return [F.xxhash64(F.isnull(id_), id_, F.isnull(text), text).alias("row_key_1"), F.xxhash64(F.lit(1), text, F.isnull(text), id_, F.isnull(id_)).alias("row_key_2")]
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, most_bits: int = MOST_BITS) -> DataFrame:
     """The rows of ``docs`` less near duplicates: of each component the row with the smallest id stays, and one of equal rows."""
     found = near_duplicates(docs, id_col, text_col, width, most_bits)
