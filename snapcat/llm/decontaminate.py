@@ -281,7 +281,7 @@ WITH spelled AS (
 ), hit AS (
     SELECT p.r, p.k, p.n, win.item_id FROM place AS p JOIN win ON p.n = win.n AND p.run = win.run
 ), hit_count AS (
-    SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(k, k + n)) AS at FROM hit) GROUP BY r
+    SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(k, k + n)) AS pos FROM hit) GROUP BY r
 ), named AS (
     SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
     FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM hit WHERE item_id IS NOT NULL) GROUP BY r
