@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from snapcat.llm import bpe, decontaminate, sharding, simhash, substring
+from snapcat.llm import bpe, decontaminate, langid, sharding, simhash, substring
 
-MODULES = (sharding, bpe, decontaminate, simhash, substring)
+MODULES = (sharding, langid, bpe, decontaminate, simhash, substring)
 
 
 def all_queries() -> dict:
