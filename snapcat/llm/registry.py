@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from snapcat.llm import bpe, decontaminate, langid, sharding, simhash, substring
+from snapcat.llm import bpe, decontaminate, langid, quality, sharding, simhash, substring
 
-MODULES = (sharding, langid, bpe, decontaminate, simhash, substring)
+MODULES = (sharding, langid, quality, bpe, decontaminate, substring, simhash)
 
 
 def all_queries() -> dict:
