@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
+import re
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -32,8 +33,8 @@ from snapcat.llm.common import documents, runs
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens of more bytes have a tree of their own.
 SHORT = 64
-#: Pre-tokens whose ids a worker keeps.
-KEPT = 400_000
+#: Pre-tokens, and as many chunks, whose ids a worker keeps.
+KEPT = 300_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -71,6 +72,7 @@ class Vocabulary:
         order = np.argsort(pairs, kind="stable")
         self.pairs, self.ranks = pairs[order], order.astype(np.int32)
         self.merged = np.array([tokens[a + b] for a, b in merges], np.int32)
+        self.byte_ranks = self.rank(*np.broadcast_arrays(self.of_byte[:, None], self.of_byte)).astype(np.int32)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of ids, or NONE."""
@@ -85,64 +87,75 @@ def read_vocabulary(path: str) -> Vocabulary:
         return Vocabulary(file.read())
 
 
-def merge_short(vocabulary: Vocabulary, words: list[bytes], leaves: int) -> list[np.ndarray]:
-    """Ids of words of 2 to ``leaves`` + 1 bytes; ``leaves`` is a power of two."""
-    n = len(words)
-    lengths = np.fromiter(map(len, words), np.int32, n)
-    rows = np.arange(n)
-    flat = np.frombuffer(b"".join(words), np.uint8)
-    column = np.arange(leaves + 1, dtype=np.int32)
+def merge_short(vocabulary: Vocabulary, words: list[bytes], leaves: int) -> list[bytes]:
+    """Ids, four bytes each, of words of 2 to ``leaves`` + 1 bytes; ``leaves`` is a power of two."""
+    n, slots = len(words), leaves + 1
+    lengths = np.fromiter(map(len, words), np.int64, n)
+    column = np.arange(slots)
     alive = column < lengths[:, None]
-    ids = np.zeros((n, leaves + 1), np.int32)
+    flat = np.frombuffer(b"".join(words), np.uint8)
+    ids = np.zeros((n, slots), np.int32)
     ids[alive] = vocabulary.of_byte[flat]
-    after = np.tile(column + 1, (n, 1))
-    before = np.tile(column - 1, (n, 1))
     tree = np.full((n, 2 * leaves), NONE, np.int32)
-
-    def keys(left, right, position):
-        rank = vocabulary.rank(left, right)
-        return np.where(rank == NONE, NONE, rank * leaves + position)
-
     real = column[:-1] < lengths[:, None] - 1
-    tree[:, leaves:][real] = keys(ids[:, :-1][real], ids[:, 1:][real], np.nonzero(real)[1])
+    left = np.zeros((n, slots), np.uint8)
+    left[alive] = flat
+    rank = vocabulary.byte_ranks[left[:, :-1][real], left[:, 1:][real]]
+    tree[:, leaves:][real] = np.where(rank == NONE, NONE, rank * leaves + np.nonzero(real)[1])
     k = leaves // 2
     while k:
         np.minimum(tree[:, 2 * k : 4 * k : 2], tree[:, 2 * k + 1 : 4 * k : 2], out=tree[:, k : 2 * k])
         k //= 2
+    # From here on all arrays are flat; a row's cells begin at row * slots, its tree at row * 2 * leaves.
+    ids, tree, living = ids.ravel(), tree.ravel(), alive.ravel()
+    after, before = np.tile(column + 1, n), np.tile(column - 1, n)
 
-    def put(rows, leaf, value):
+    def put(top: np.ndarray, leaf: np.ndarray, value: np.ndarray) -> None:
         node = leaf + leaves
-        tree[rows, node] = value
-        while leaves > 1 and node[0] > 1:
-            node = node // 2
-            tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
+        tree[top + node] = value
+        for _ in range(leaves.bit_length() - 1):
+            node = node >> 1
+            child = top + 2 * node
+            tree[top + node] = np.minimum(tree[child], tree[child + 1])
 
-    while len(rows := rows[tree[rows, 1] != NONE]):
-        root = tree[rows, 1]
+    rows = np.arange(n)
+    while True:
+        root = tree[rows * (2 * leaves) + 1]
+        open_ = root != NONE
+        rows, root = rows[open_], root[open_].astype(np.int64)
+        if not len(rows):
+            break
+        cell, top = rows * slots, rows * (2 * leaves)
         at = root % leaves
-        gone = after[rows, at]
-        follows = after[rows, gone]
-        ids[rows, at] = vocabulary.merged[root // leaves]
-        alive[rows, gone] = False
-        after[rows, at] = follows
-        inside = follows < lengths[rows]
-        before[rows[inside], follows[inside]] = at[inside]
-        has_leaf = gone < leaves
-        if has_leaf.any():
-            put(rows[has_leaf], gone[has_leaf], NONE)
-        value = np.full(len(rows), NONE, np.int32)
-        value[inside] = keys(ids[rows[inside], at[inside]], ids[rows[inside], follows[inside]], at[inside])
-        put(rows, at, value)
-        led = before[rows, at] >= 0
-        if led.any():
-            r, a = rows[led], at[led]
-            p = before[r, a]
-            put(r, p, keys(ids[r, p], ids[r, a], p))
-    return np.split(ids[alive], np.cumsum(alive.sum(1))[:-1])
-
-
-def merge_long(vocabulary: Vocabulary, word: bytes) -> np.ndarray:
-    """Ids of one word of any length, with a tree of (rank, position) numbers in a list."""
+        gone = after[cell + at]
+        follows = after[cell + gone]
+        ids[cell + at] = vocabulary.merged[root // leaves]
+        living[cell + gone] = False
+        after[cell + at] = follows
+        led = before[cell + at]
+        right, left = np.flatnonzero(follows < lengths[rows]), np.flatnonzero(led >= 0)
+        before[cell[right] + follows[right]] = at[right]
+        pair_cells = [(cell[right], at[right], follows[right]), (cell[left], led[left], at[left])]
+        first, second = (np.concatenate([ids[c + x[k]] for c, *x in pair_cells]) for k in (0, 1))
+        place = np.concatenate([at[right], led[left]])
+        rank = vocabulary.rank(first, second)
+        found = np.where(rank == NONE, NONE, rank * leaves + place)
+        new = np.full(len(rows), NONE, np.int32)
+        new[right] = found[: len(right)]
+        shut = np.flatnonzero(gone < leaves)
+        # Paths that meet write the same minimum, so the three leaves of a merge go up together.
+        put(
+            np.concatenate([top[shut], top, top[left]]),
+            np.concatenate([gone[shut], at, led[left]]),
+            np.concatenate([np.full(len(shut), NONE, np.int32), new, found[len(right) :]]),
+        )
+    ends = np.cumsum(4 * alive.sum(1)).tolist()
+    raw = ids[living].tobytes()
+    return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def merge_long(vocabulary: Vocabulary, word: bytes) -> bytes:
+    """Ids, four bytes each, of one word of any length, with a tree of (rank, position) numbers in a list."""
     ids = vocabulary.of_byte[np.frombuffer(word, np.uint8)]
     size = 1 << max(1, (len(ids) - 1).bit_length())
     none = sys.maxsize
@@ -177,76 +190,100 @@ def merge_long(vocabulary: Vocabulary, word: bytes) -> np.ndarray:
         put(at)
         if before[at] >= 0:
             put(before[at])
-    return np.array([i for i in ids if i >= 0], np.int32)
+    return np.array([i for i in ids if i >= 0], np.int32).tobytes()
 
 
 class Encoder:
-    """Encodes texts in a worker; the ids of recent pre-tokens are kept."""
+    """Encodes texts in a worker; the ids of recent pre-tokens, and of recent chunks between spaces, are kept."""
 
     def __init__(self, vocabulary: Vocabulary):
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.vocabulary = vocabulary
         self.kept: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.wide = re.compile(r"\s\s")
         self.split = regex.compile(PATTERN)
         self.special = regex.compile("|".join(map(regex.escape, sorted(vocabulary.specials, key=len, reverse=True)))) if vocabulary.specials else None
-        # Unicode versions differ only in code points that an older one does not assign: these go to the library's own split.
+        # Unicode versions differ only in code points that an older one does not assign: texts with such, or with
+        # any beyond 16 bits (which would make the search slow), go to the library's own split.
         self.library = ByteLevel(add_prefix_space=False, use_regex=True)
-        open_points = (c for c in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn")
+        open_points = (c for c in range(0x80, 0x10000) if unicodedata.category(chr(c)) == "Cn")
         spans = [[c for _, c in group] for _, group in itertools.groupby(enumerate(open_points), lambda x: x[1] - x[0])]
-        self.odd = regex.compile("[" + "".join(f"\\U{s[0]:08x}-\\U{s[-1]:08x}" for s in spans) + "]")
+        self.odd = re.compile("[" + "".join(f"\\u{s[0]:04x}-\\u{s[-1]:04x}" for s in spans) + "\U00010000-\U0010ffff]")
 
     def pieces(self, text: str) -> Iterator[str]:
         if not text.isascii() and self.odd.search(text):
             return (text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text))
         return (m[0] for m in self.split.finditer(text)) if len(text) > 1 << 20 else iter(self.split.findall(text))
 
-    def learn(self, words: set[str]) -> None:
-        """Merges words that are not kept yet."""
-        if len(self.kept) + len(words) > KEPT:
-            self.kept.clear()
-        vocabulary, groups = self.vocabulary, {}
-        for word in words:
-            n = len(raw := word.encode())
-            groups.setdefault(1 if n == 1 else n if n > SHORT else 1 << (n - 2).bit_length() if n > 2 else 2, []).append((word, raw))
-        for leaves, group in groups.items():
-            raws = [raw for _, raw in group]
-            if leaves == 1:
-                found = [vocabulary.of_byte[[raw[0]]] for raw in raws]
-            elif leaves <= SHORT and len(raws[0]) <= SHORT:
-                found = merge_short(vocabulary, raws, leaves)
-            else:
-                found = [merge_long(vocabulary, raw) for raw in raws]
-            self.kept.update((word, ids.tobytes()) for (word, _), ids in zip(group, found, strict=True))
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, four bytes each; words of about the same length are merged together."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(lengths, kind="stable")
+        ends = np.searchsorted(lengths[order], [1, 3, 5, 9, 17, 33, SHORT + 1], "right").tolist()
+        found: list[bytes] = [b""] * len(words)
+        start = 0
+        for most, end in zip((1, 3, 5, 9, 17, 33, SHORT + 1), ends, strict=True):
+            group = order[start:end].tolist()
+            own = [words[i] for i in group]
+            ids = ([self.vocabulary.of_byte[w[0]].tobytes() for w in own] if most == 1 else merge_short(self.vocabulary, own, most - 1)) if own else []
+            for i, x in zip(group, ids, strict=True):
+                found[i] = x
+            start = end
+        for i in order[start:].tolist():
+            found[i] = merge_long(self.vocabulary, words[i])
+        return found
 
     def ids_of(self, pieces: list[str]) -> bytes:
         """Ids of some pre-tokens one after the other, four bytes each."""
-        if missing := set(pieces).difference(self.kept):
-            self.learn(missing if len(self.kept) + len(missing) <= KEPT else set(pieces))
+        words = set(pieces)
+        self.learn(words, self.kept, lambda new: self.merge([w.encode() for w in new]))
         return b"".join(map(self.kept.__getitem__, pieces))
 
+    @staticmethod
+    def learn(wanted: set[str], kept: dict[str, bytes], merge) -> None:
+        """Adds what is wanted to what is kept; if that were too much, only what is wanted stays."""
+        missing = wanted.difference(kept)
+        if len(kept) + len(missing) > KEPT:
+            old = {w: kept[w] for w in wanted if w in kept}
+            kept.clear()
+            kept.update(old)
+        if missing:
+            new = list(missing)
+            kept.update(zip(new, merge(new), strict=True))
+
+    def merge_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks that follow a space. Only those that are not all letters have several pre-tokens."""
+        split = [None if c.isalpha() else self.split.findall(" " + c) for c in chunks]
+        ids = iter(self.merge([b" " + c.encode() for c, own in zip(chunks, split, strict=True) if own is None]))
+        self.learn(set(itertools.chain.from_iterable(filter(None, split))), self.kept, lambda new: self.merge([w.encode() for w in new]))
+        get = self.kept.__getitem__
+        return [next(ids) if own is None else b"".join(map(get, own)) for own in split]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, four bytes each. The pre-tokens of all texts are learnt together."""
-        parts: list[list[str | bytes]] = []
-        for text in texts:
-            own: list[str | bytes] = []
-            cuts = [(m.start(), m.end()) for m in self.special.finditer(text)] if self.special else []
-            for a, b in zip([0, *(c[1] for c in cuts)], [*(c[0] for c in cuts), len(text)], strict=True):
-                own.append(text[a:b])
-                if b < len(text):
-                    own.append(np.int32(self.vocabulary.specials[text[b : next(c[1] for c in cuts if c[0] == b)]]).tobytes())
-            parts.append(own)
-        plain = [[list(itertools.islice(self.pieces(x), 1 << 20)) if isinstance(x, str) and len(x) <= 1 << 20 else x for x in own] for own in parts]
-        if missing := set().union(*(x for own in plain for x in own if isinstance(x, list))).difference(self.kept):
-            self.learn(missing)
-        return [b"".join(x if isinstance(x, bytes) else self.ids_of(x) if isinstance(x, list) else self.long(x) for x in own) for own in plain]
-
-    def long(self, text: str) -> bytes:
-        """As ids_of, for a long text: a bounded number of pre-tokens at a time."""
-        pieces, ids = self.pieces(text), []
-        while some := list(itertools.islice(pieces, 1 << 18)):
-            ids.append(self.ids_of(some))
-        return b"".join(ids)
+        """Ids of each text, four bytes each. The chunks of all texts are learnt together.
+
+        Unless white space stands beside white space, no pre-token reaches over the place before a space, so a
+        text is cut at its spaces and the ids of a chunk that follows a space are the same anywhere.
+        """
+        plain = [len(t) <= 1 << 20 and not any(s in t for s in self.vocabulary.specials) and not self.wide.search(t) and (t.isascii() or not self.odd.search(t)) for t in texts]
+        cut = [t.split(" ") if p else None for t, p in zip(texts, plain, strict=True)]
+        self.learn(set().union(*(c[1:] for c in cut if c)), self.chunks, self.merge_chunks)
+        get = self.chunks.__getitem__
+        return [self.ids_of(self.split.findall(c[0])) + b"".join(map(get, c[1:])) if c else self.other(t) for t, c in zip(texts, cut, strict=True)]
+
+    def other(self, text: str) -> bytes:
+        """As encode, for any text: cut at special tokens, a bounded number of pre-tokens at a time."""
+        out, done = [], 0
+        for m in [*(self.special.finditer(text) if self.special else ()), None]:
+            pieces = self.pieces(text[done : m.start() if m else len(text)])
+            while some := list(itertools.islice(pieces, 1 << 18)):
+                out.append(self.ids_of(some))
+            if m:
+                out.append(np.int32(self.vocabulary.specials[m[0]]).tobytes())
+                done = m.end()
+        return b"".join(out)
 
 
 ENCODERS: dict[str, Encoder] = {}

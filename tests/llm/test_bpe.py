@@ -35,6 +35,12 @@ def test_any_text(vocabulary, library, text):
     assert ids(vocabulary, text) == library.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=" \n\tab'sé1!\xa0\x1c"))
+def test_white_space(vocabulary, library, text):
+    assert ids(vocabulary, text) == library.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("text", [
     "", " ", "  a  b \n\n c", "it's we'll 12 34é", "<|endoftext|>", "a<|endoftext|><|endoftext|> b", "՘࢏ x y",
     "ab" * 40, "x" * 5000, "🙂" * 30, "Donaudampfschifffahrtsgesellschaft" * 5, "\x1c\x85  　z", "a" * 64, "a" * 65, "a" * 33,
@@ -53,8 +59,9 @@ def test_long_text_in_portions(vocabulary, library):
 def test_kept_words_stay_bounded(vocabulary, monkeypatch):
     monkeypatch.setattr(bpe, "KEPT", 50)
     tool = bpe.Encoder(vocabulary)
-    texts = [f"word{i} other{i}" for i in range(40)]
-    assert [len(x) for x in tool.encode(texts)] == [len(bpe.Encoder(vocabulary).encode([t])[0]) for t in texts]
+    texts = [f"word{i} other{i} 's{i}" for i in range(40)]
+    for some in (texts[:9], texts, texts[5:]):
+        assert tool.encode(some) == [bpe.encoder(vocabulary).encode([t])[0] for t in some]
 
 
 def test_frame(spark, sf_dir, vocabulary, library):
