@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from snapcat.llm import bpe, decontaminate, langid, quality, sharding, simhash, substring
+from snapcat.llm import bpe, decontaminate, langid, quality, sharding, simhash, substring, tokencount
 
-MODULES = (sharding, langid, quality, bpe, decontaminate, substring, simhash)
+MODULES = (sharding, langid, tokencount, quality, bpe, decontaminate, substring, simhash)
 
 
 def all_queries() -> dict:
