@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from snapcat.llm import bpe, decontaminate, langid, licenses, quality, sharding, simhash, substring, tokencount
+from snapcat.llm import bpe, decontaminate, langid, licenses, quality, secrets, sharding, simhash, substring, tokencount
 
-MODULES = (sharding, langid, tokencount, quality, bpe, licenses, decontaminate, substring, simhash)
+MODULES = (sharding, langid, secrets, tokencount, quality, bpe, licenses, decontaminate, substring, simhash)
 
 
 def all_queries() -> dict:
