@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Texts that need quotes, keys that need none, indent width.
-NEEDS_QUOTES = r'^$|^(true|false|null)$|^[-0-9 ]| $|[:"\\\[\]{},\x00-\x1f]'
-BARE_KEY = r"^[A-Za-z_][A-Za-z0-9_.]*$"
+# ``\z`` is the end of the text; ``$`` would also match before a final line break.
+NEEDS_QUOTES = r'^\z|^(true|false|null)\z|^[-0-9 ]| \z|[:"\\\[\]{},\x00-\x1f]'
+BARE_KEY = r"^[A-Za-z_][A-Za-z0-9_.]*\z"
 ESCAPES = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t"}
 INDENT = "  "
 NULL = "null"
@@ -56,12 +57,27 @@ def number_text(x: Column) -> Column:
     )
 
 
+def float_text(x: Column) -> Column:
+    """As number_text for a float: the digits are those of the float, not of the double next to it."""
+    return number_text(x.cast("float").cast("string").cast("double"))
+
+
+def decimal_text(x: Column, scale: int) -> Column:
+    """Plain form of an exact decimal, without trailing zeros."""
+    text = F.replace(F.format_number(x, scale), F.lit(","), F.lit(""))
+    return F.when(x.isNotNull(), F.rtrim(F.rtrim(text, F.lit("0")), F.lit(".")) if scale else text)
+
+
 def scalar_text(value: Column, kind: str) -> Column:
-    """Text of a column of the given kind: string, bool, integer or double."""
+    """Text of a column of the given kind: string, bool, integer, double, float or decimal:SCALE."""
     if kind == "string":
         text = quoted(value)
     elif kind == "double":
         text = number_text(value)
+    elif kind == "float":
+        text = float_text(value)
+    elif kind.startswith("decimal:"):
+        text = decimal_text(value, int(kind.removeprefix("decimal:")))
     elif kind in ("bool", "integer"):
         text = value.cast("string")
     else:
@@ -75,7 +91,11 @@ def kind_of(data_type: T.DataType) -> str:
         return "bool"
     if isinstance(data_type, T.IntegralType):
         return "integer"
-    if isinstance(data_type, (T.FractionalType, T.DecimalType)):
+    if isinstance(data_type, T.DecimalType):
+        return f"decimal:{data_type.scale}"
+    if isinstance(data_type, T.FloatType):
+        return "float"
+    if isinstance(data_type, T.DoubleType):
         return "double"
     if isinstance(data_type, (T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)):
         return "string"

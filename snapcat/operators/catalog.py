@@ -367,13 +367,13 @@ def types(
 
 def routines(
     pg_proc: DataFrame, pg_namespace: DataFrame, pg_language: DataFrame, pg_description: DataFrame,
-    schemas: Sequence[str], redact_definitions: bool = False,
+    schemas: Sequence[str], redact_definitions: bool = False, redact_comments: bool = False,
 ) -> DataFrame:
     """Functions and procedures with zipped arguments."""
     languages = pg_language.select("db_id", F.col("oid").alias("prolang"), F.col("lanname").alias("language"))
     named = _in_schemas(pg_proc.where(F.col("prokind").isin("f", "p")), "pronamespace", pg_namespace, schemas)
     definition = F.lit(None).cast("string") if redact_definitions else F.col("definition")
-    return _with_comment(named.join(languages, ["db_id", "prolang"]), pg_description, "pg_proc", False).select(
+    return _with_comment(named.join(languages, ["db_id", "prolang"]), pg_description, "pg_proc", redact_comments).select(
         "db_id",
         "schema_name",
         F.col("proname").alias("routine_name"),

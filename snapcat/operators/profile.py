@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from snapcat.functions.toon import number_text
+from snapcat.functions.toon import float_text, number_text
 
 
 def _is_fractional(data_type: T.DataType) -> bool:
@@ -25,18 +25,29 @@ def _group_text(field: T.StructField) -> Column:
     if _is_nested(field.dataType):
         return F.to_json(value)
     if _is_fractional(field.dataType):
-        return (value + F.lit(0.0)).cast("string")  # 0.0 and -0.0 are one value
+        return (value + F.lit(0.0).cast(field.dataType)).cast("string")  # 0.0 and -0.0 are one value
     if isinstance(field.dataType, T.BinaryType):
         return F.hex(value)
+    if isinstance(field.dataType, T.TimestampType):
+        return F.unix_micros(value).cast("string")  # the local time of two instants can be the same
     return value.cast("string")
 
 
+def _shown(value: Column, data_type: T.DataType) -> Column:
+    """A value of ``_group_text`` as it is shown."""
+    if _is_fractional(data_type):
+        return number_text(value.try_cast("double"))
+    if isinstance(data_type, T.TimestampType):
+        return F.timestamp_micros(value.try_cast("bigint")).cast("string")
+    return value
+
+
 def canonical_text(value: Column, data_type: T.DataType) -> Column:
     """How a value is shown: plain decimals for doubles, the cast text otherwise."""
     if _is_nested(data_type):
         return F.to_json(value)
     if _is_fractional(data_type):
-        return F.when(value.isNotNull(), number_text(value))
+        return F.when(value.isNotNull(), float_text(value) if isinstance(data_type, T.FloatType) else number_text(value))
     if isinstance(data_type, T.BinaryType):
         return F.hex(value)
     return value.cast("string")
@@ -107,10 +118,10 @@ def top_values(df: DataFrame, cols: Sequence[str], k: int) -> DataFrame:
     The ranking keeps k rows per column in each task before its shuffle
     (WindowGroupLimit), so the last step sees k rows per column and task.
     """
-    doubles = [f.name for f in _fields(df, cols) if _is_fractional(f.dataType)]
     value = F.col("value")
-    if doubles:
-        value = F.when(F.col("column_name").isin(*doubles), number_text(value.try_cast("double"))).otherwise(value)
+    for kind in {f.dataType for f in _fields(df, cols) if _is_fractional(f.dataType) or isinstance(f.dataType, T.TimestampType)}:
+        names = [f.name for f in _fields(df, cols) if f.dataType == kind]
+        value = F.when(F.col("column_name").isin(*names), _shown(F.col("value"), kind)).otherwise(value)
     order = Window.partitionBy("column_name").orderBy(F.col("n").desc(), "value")
     return (
         value_counts(df, cols)
@@ -217,19 +228,35 @@ def key_density(df: DataFrame, col: str) -> DataFrame:
     )
 
 
+def common_type(a: T.DataType, b: T.DataType) -> T.DataType:
+    """The type two columns are compared in; text where nothing closer fits both."""
+    if a == b:
+        return a
+    exact = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 19}
+    digits = [(t.precision - t.scale, t.scale) if isinstance(t, T.DecimalType) else (exact[type(t)], 0) if type(t) in exact else None for t in (a, b)]
+    if all(digits):
+        (whole_a, scale_a), (whole_b, scale_b) = digits
+        scale = max(scale_a, scale_b)
+        return T.DecimalType(min(38, max(whole_a, whole_b) + scale), scale)
+    if isinstance(a, T.NumericType) and isinstance(b, T.NumericType):
+        return T.DoubleType()
+    days = (T.DateType, T.TimestampType, T.TimestampNTZType)
+    return T.TimestampType() if isinstance(a, days) and isinstance(b, days) else T.StringType()
+
+
 def inclusion(child: DataFrame, parent: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """How much of each child column's values a parent column holds, for the given pairs.
 
-    One scan per side whatever the number of pairs; values meet in one
-    grouping, so nothing is joined.
+    The two columns of a pair are compared in their common type. One scan per
+    side whatever the number of pairs; values meet in one grouping, so nothing
+    is joined. A pair without any value has a row too.
     """
+    common = [common_type(child.schema[c].dataType, parent.schema[p].dataType) for c, p in pairs]
+
     def cells(df: DataFrame, side: int) -> DataFrame:
-        entries = F.array(
-            *(
-                F.struct(F.lit(i).alias("pair"), _group_text(df.schema[pair[side]]).alias("value"))
-                for i, pair in enumerate(pairs)
-            )
-        )
+        typed = df.select(*(F.col(f"`{pair[side]}`").cast(common[i]).alias(f"v{i}") for i, pair in enumerate(pairs)))
+        entries = F.array(*(F.struct(F.lit(i).alias("pair"), _group_text(f).alias("value")) for i, f in enumerate(typed.schema.fields)))
+        df = typed
         return (
             df.select(F.inline(entries))
             .where("value IS NOT NULL")
@@ -245,10 +272,11 @@ def inclusion(child: DataFrame, parent: DataFrame, pairs: Sequence[tuple[str, st
     counted = seen.groupBy("pair").agg(
         F.count_if("in_child").alias("child_values"), F.count_if(F.col("in_child") & F.col("in_parent")).alias("included_values")
     )
-    labels = F.array(*(F.struct(F.lit(c).alias("child_column"), F.lit(p).alias("parent_column")) for c, p in pairs))
-    return counted.select(
-        F.get(labels, F.col("pair"))["child_column"].alias("child_column"),
-        F.get(labels, F.col("pair"))["parent_column"].alias("parent_column"),
+    spark, zero = child.sparkSession, F.lit(0).cast("bigint")
+    labels = spark.createDataFrame([(i, c, p) for i, (c, p) in enumerate(pairs)], "pair int, child_column string, parent_column string")
+    return labels.join(counted, "pair", "left").withColumns({c: F.coalesce(c, zero) for c in ("child_values", "included_values")}).select(
+        "child_column",
+        "parent_column",
         "child_values",
         "included_values",
         F.when(F.col("child_values") > 0, F.col("included_values") / F.col("child_values")).alias("inclusion_ratio"),

@@ -80,6 +80,7 @@ def with_fk_unique(fks: DataFrame, constraints: DataFrame, indexes: DataFrame) -
         constraints.where(F.col("constraint_type").isin("PRIMARY KEY", "UNIQUE"))
         .select(*KEY, "columns")
         .unionByName(indexes.where("is_unique").select(*KEY, "columns"))
+        .where(F.size("columns") > 0)  # an index over expressions names no column and makes none unique
         .select(
             F.col("db_id"),
             F.col("schema_name").alias("from_schema"),

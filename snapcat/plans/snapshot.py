@@ -94,7 +94,8 @@ def snapshot(raw: Mapping[str, DataFrame], cfg: SnapshotConfig) -> LazyFrames:
         )
     if cfg.include_routines:
         builders["routines"] = lambda: c.routines(
-            raw["pg_proc"], raw["pg_namespace"], raw["pg_language"], raw["pg_description"], cfg.schemas, cfg.redact_definitions
+            raw["pg_proc"], raw["pg_namespace"], raw["pg_language"], raw["pg_description"], cfg.schemas, cfg.redact_definitions,
+            cfg.redact_comments,
         )
     if cfg.include_stats:
         builders["column_stats"] = lambda: c.column_stats(raw["pg_stats"]).join(listed().select(*c.KEY), c.KEY, "left_semi")

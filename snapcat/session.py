@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +15,9 @@ def build_session(app: str = "snapcat", master: str | None = None, shuffle_parti
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # Split a skewed join side even where that costs another shuffle.
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+        # Sizes before execution are guesses, and far too low after an explode: broadcast by measured size only.
+        .config("spark.sql.autoBroadcastJoinThreshold", "-1")
+        .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "10MB")
         # A full run holds several hundred stages; keep their compiled code.
         .config("spark.sql.codegen.cache.maxEntries", "2000")
         .config("spark.sql.session.timeZone", "UTC")
@@ -31,29 +33,21 @@ def build_session(app: str = "snapcat", master: str | None = None, shuffle_parti
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only a local master may fall back to a temporary folder: on a cluster a
-    machine-local folder is lost together with its executor.
-    """
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="snapcat-shared-")
-        sc.setCheckpointDir(folder)
-        folder = sc.getCheckpointDir()
-    return folder
+    """The folder the cluster names in ``spark.checkpoint.dir``; where it names none, one in the warehouse, which is shared too."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_settled"
 
 
 def settle(frame: DataFrame) -> DataFrame:
     """Write the frame to the shared folder and read it back.
 
     Cuts the lineage like a checkpoint and survives lost executors, but computes
-    the frame once, and later reads take only the columns they need.
+    the frame once, and later reads take only the columns they need. The files
+    go when the application ends.
     """
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
     frame.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(frame.schema).parquet(path)

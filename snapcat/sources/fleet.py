@@ -557,14 +557,15 @@ def _spark_frame(databases: DataFrame, name: str, relation: Relation) -> DataFra
 
 
 def fleet_databases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per database, spread over all cores.
+    """One row per database, dealt out in turn.
 
     Every row is about to become a hundred, and a customer file of one row
-    group would be one task. The key is unique, so hashing it is even, and the
-    relations of one database stay together for the grouping that follows.
+    group would be one task. Rows are dealt without regard to a key, so that
+    later groupings shuffle as they would on the relations of a real export,
+    where the rows of one database lie anywhere.
     """
     databases = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS db_id")
-    return databases.repartition(spark.sparkContext.defaultParallelism, "db_id")
+    return databases.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def _frames(databases: DataFrame, relations: dict[str, Relation]) -> LazyFrames:
@@ -603,7 +604,7 @@ def duckdb_cte(*names: str) -> str:
         quoted = ", ".join(f'"{f}"' for f in relation.fields)
         output = ", ".join(f'{expr} AS "{out}"' for out, expr in _output(key, relation).items())
         parts.append(
-            f"{name} AS (SELECT db_id, {output} FROM (SELECT c_custkey AS db_id FROM customer) "
+            f"{name} AS MATERIALIZED (SELECT db_id, {output} FROM (SELECT c_custkey AS db_id FROM customer) "
             f"CROSS JOIN (VALUES {values}) AS t({quoted}) WHERE {relation.where})"
         )
     return ",\n".join(parts)
