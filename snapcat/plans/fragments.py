@@ -4,24 +4,26 @@ A document is the concatenation of its fragments in the order of ``ORDER``,
 less the first line break (every fragment that starts a line begins with one).
 No step gathers a document: an index of a database that holds a third of all
 tables is as many rows as any other third of the fleet. ``assemble`` turns
-fragments into text, in several parts where a document is too long for one row.
+fragments into text, in parts of a fixed number of fragments.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapcat.functions import toon
 from snapcat.functions.toon import INDENT, Field
+from snapcat.session import settle
 
 DOC = ["db_id", "path"]
 ORDER = ["section", "k1", "ord", "k2"]
 FRAGMENT = [*DOC, *ORDER, "text"]
 FIRST, LAST = float("-inf"), float("inf")
-PART_FRAGMENTS = 20_000
+#: Fragments of one row of assembled text.
+PART_FRAGMENTS = 1000
 
 
 def fragment(
@@ -131,40 +133,29 @@ def _unbroken(text: Column) -> Column:
     return F.when(text.startswith("\n"), F.substr(text, F.lit(2))).otherwise(text)
 
 
-def _joined(keys: Sequence[str], fragments: DataFrame) -> DataFrame:
-    pieces = F.sort_array(F.collect_list(F.struct(*ORDER, "text")))
-    return fragments.groupBy(*keys).agg(F.array_join(pieces["text"], "").alias("joined"), F.min(F.struct(*ORDER)).alias("start"))
+def with_positions(fragments: DataFrame) -> DataFrame:
+    """Adds ``position``: 1, 2, ... in document order, whatever the size of the document and of the cluster.
+
+    Fragments are sorted into ranges, which split long documents; ranks within
+    a range and the counts of the ranges before give the position. The ranges
+    themselves are sampled and leave no trace in it.
+    """
+    order = [*ORDER, "text"]
+    ranged = settle(fragments.select(*FRAGMENT).repartitionByRange(*DOC, *order).withColumn("range", F.spark_partition_id()))
+    counts = ranged.groupBy(*DOC, "range").agg(F.count("*").alias("own"))
+    # One row a range that a document reaches into.
+    before = counts.select(*DOC, "range", (F.sum("own").over(Window.partitionBy(*DOC).orderBy("range")) - F.col("own")).alias("before"))
+    rank = F.row_number().over(Window.partitionBy(*DOC, "range").orderBy(*order))
+    return ranged.withColumn("rank", rank).join(before, [*DOC, "range"]).select(*FRAGMENT, (F.col("before") + F.col("rank")).alias("position"))
 
 
-def assemble(fragments: DataFrame, part_fragments: int = PART_FRAGMENTS) -> DataFrame:
-    """Text of each document as ``(db_id, path, part, doc)``; parts in order give the whole.
+def assemble(fragments: DataFrame) -> DataFrame:
+    """Text of each document as ``(db_id, path, part, doc)``; parts 0, 1, ... in order give the whole.
 
-    Give it a written fragment table: it reads the fragments more than once.
-    Documents of up to ``part_fragments`` fragments have the single part 0.
-    Longer ones are cut by range partitioning on the fragment order, so no
-    task holds more than one part's share of them; the part number is the
-    range's, rising but not dense.
+    A part is ``PART_FRAGMENTS`` consecutive fragments, the last one what is
+    left; short documents have part 0 alone.
     """
-    sizes = fragments.groupBy(*DOC).agg(F.count("*").alias("pieces"))
-    long_docs = sizes.where(F.col("pieces") > part_fragments)
-    long_total = long_docs.agg(F.sum("pieces")).first()[0]
-    if not long_total:
-        return _joined(DOC, fragments).select(*DOC, F.lit(0).alias("part"), _unbroken(F.col("joined")).alias("doc"))
-
-    small = _joined(DOC, fragments.join(long_docs, DOC, "left_anti")).select(
-        *DOC, F.lit(0).alias("part"), _unbroken(F.col("joined")).alias("doc")
-    )
-    ranges = max(2, -(-int(long_total) // part_fragments))
-    ranged = (
-        fragments.join(long_docs.select(*DOC), DOC, "left_semi")
-        .repartitionByRange(ranges, *DOC, *ORDER)
-        .withColumn("part", F.spark_partition_id())
-    )
-    parts = _joined([*DOC, "part"], ranged)
-    starts = fragments.join(long_docs.select(*DOC), DOC, "left_semi").groupBy(*DOC).agg(F.min(F.struct(*ORDER)).alias("doc_start"))
-    big = parts.join(starts, DOC).select(
-        *DOC,
-        "part",
-        F.when(F.col("start") == F.col("doc_start"), _unbroken(F.col("joined"))).otherwise(F.col("joined")).alias("doc"),
-    )
-    return small.unionByName(big)
+    part = F.floor((F.col("position") - 1) / PART_FRAGMENTS).cast("int").alias("part")
+    pieces = F.sort_array(F.collect_list(F.struct("position", "text")))
+    parts = with_positions(fragments).groupBy(*DOC, part).agg(F.array_join(pieces["text"], "").alias("joined"))
+    return parts.select(*DOC, "part", F.when(F.col("part") == 0, _unbroken(F.col("joined"))).otherwise(F.col("joined")).alias("doc"))

@@ -27,9 +27,9 @@ def read_fragments(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(root)
 
 
-def write_docs(spark: SparkSession, fragment_root: str, root: str, part_fragments: int = fr.PART_FRAGMENTS) -> None:
+def write_docs(spark: SparkSession, fragment_root: str, root: str) -> None:
     """Assembled documents as Parquet rows ``(db_id, path, part, doc)``."""
-    docs = fr.assemble(read_fragments(spark, fragment_root), part_fragments)
+    docs = fr.assemble(read_fragments(spark, fragment_root))
     docs.write.mode("overwrite").parquet(root)
 
 

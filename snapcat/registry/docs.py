@@ -7,6 +7,8 @@ relations.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,13 +16,14 @@ from snapcat.functions import toon
 from snapcat.operators import overview
 from snapcat.plans import artifacts as art
 from snapcat.plans import fragments as fr
+from snapcat.plans import sink
 from snapcat.plans.artifacts import Model, snapshot_fragments
 from snapcat.plans.snapshot import SnapshotConfig, snapshot
 from snapcat.registry import catalog as cat
 from snapcat.registry import facts
 from snapcat.registry.facts import _sql
 from snapcat.registry.rows import _number, _quoted, read
-from snapcat.session import settle
+from snapcat.session import settle, shared_folder
 from snapcat.sources.fleet import SCHEMAS, fleet_normal, fleet_raw
 from snapcat.sources.lazy import LazyFrames
 
@@ -93,6 +96,25 @@ def event_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fr.object_list(rows, EVENT).select(*COLS)
 
 
+def docs_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document per type of event: fragments written, assembled to text, written, and read back whole."""
+    rows = read(spark, sf_dir, "events").select(
+        F.lit(0).cast("bigint").alias("db_id"),
+        F.concat(F.lit("type/"), F.col("event_type")).alias("path"),
+        F.lit(0).alias("section"),
+        F.lit("events").alias("list_name"),
+        F.lit("").alias("k1"),
+        F.col("event_id").cast("double").alias("ord"),
+        F.col("event_id").cast("string").alias("k2"),
+        "event_type",
+        *(F.expr(e).alias(n) for n, e in EVENT_LISTS.items()),
+    )
+    root = f"{shared_folder(spark)}/docs-{uuid.uuid4().hex}"
+    sink.write_fragments({"events": fr.object_list(rows, EVENT)}, f"{root}/fragments")
+    sink.write_docs(spark, f"{root}/fragments", f"{root}/docs")
+    return spark.read.parquet(f"{root}/docs")
+
+
 def catalog_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A full run from the raw relations: fragments and characters per database and kind.
 
@@ -120,6 +142,7 @@ QUERIES = {
     "schema_list": schema_lists,
     "toon_object": number_objects,
     "toon_table": event_lists,
+    "docs_text": docs_text,
     "catalog_docs": catalog_docs,
 }
 
@@ -516,6 +539,13 @@ def oracles() -> dict[str, str]:
     out["toon_table"] = "SELECT * FROM " + _list_sql(
         f"""SELECT user_id AS db_id, 'user/' || user_id AS path, {_place(0, 'events', chr(39) * 2, 'CAST(event_id AS VARCHAR)')}, event_type,
         {', '.join(f'{e} AS {n}' for n, e in EVENT_LISTS.items())} FROM events""", EVENT)
+    by_type = _list_sql(
+        f"""SELECT CAST(0 AS BIGINT) AS db_id, 'type/' || event_type AS path, {_place(0, 'events', chr(39) * 2, 'CAST(event_id AS VARCHAR)')}, event_type,
+        {', '.join(f'{e} AS {n}' for n, e in EVENT_LISTS.items())} FROM events""", EVENT)
+    out["docs_text"] = f"""SELECT db_id, path, CAST(part AS INTEGER) AS part, CASE WHEN part = 0 THEN substr(joined, 2) ELSE joined END AS doc FROM (
+        SELECT db_id, path, (position - 1) // 1000 AS part, string_agg(text, '' ORDER BY position) AS joined FROM (
+            SELECT *, row_number() OVER (PARTITION BY path ORDER BY CASE WHEN k2 = '' THEN -1 ELSE CAST(k2 AS BIGINT) END) AS position FROM {by_type})
+        GROUP BY ALL)"""
     ctes: list[str] = []
     for _, needs in parts.values():
         ctes += [n for n in needs if n not in ctes]

@@ -17,7 +17,7 @@ fk_incoming fk_counts fk_cardinality fk_scc junction_tables table_tags db_domain
 column_semantics safe_name
 profile_lineitem profile_nulls_events top_values_events enum_like_orders key_check_lineitem_line fk_check_orders_in_lineitem
 check_eval_lineitem key_density_lineitem infer_fk_orders_customer
-toon_quote toon_number toon_key toon_rows_part toon_table doc_columns doc_enums doc_domains
+toon_quote toon_number toon_key toon_rows_part toon_table doc_columns doc_enums doc_domains docs_text
 """.split()
 NAMES = list(all_queries()) if os.environ.get("SNAPCAT_ALL") else DEFAULT
 
