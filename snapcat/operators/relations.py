@@ -146,29 +146,34 @@ def graph_candidates(junctions: DataFrame) -> DataFrame:
 def strongly_connected(edges: DataFrame) -> DataFrame:
     """Groups of two or more tables that reach each other through foreign keys.
 
-    Colouring: every table takes the greatest table that can reach it, then the
-    tables of a colour that reach its root backwards form one component.
-    Frames stay linear in the edges (no pair closure). Each round is settled in
-    the shared folder, so a lost executor costs one round at most. The loop
-    runs on the driver; only row counts come back.
+    Colouring: every table takes the greatest table that reaches it; of the
+    tables of a colour those that reach its root in turn form one component,
+    and the edges of the rest go on. Greatest is by hash, so that chains fall
+    apart in few rounds whatever their names. Frames stay linear in the edges
+    (no pair closure) and each round is settled in the shared folder, so a lost
+    executor costs one round at most. Only row counts come to the driver.
     """
     def end(side: str) -> Column:
-        return F.struct(F.col(f"{side}_schema").alias("schema_name"), F.col(f"{side}_table").alias("table_name"))
+        schema, table = F.col(f"{side}_schema"), F.col(f"{side}_table")
+        return F.struct(F.xxhash64(schema, table).alias("rank"), schema.alias("schema_name"), table.alias("table_name"))
 
     live = settle(edges.select("db_id", end("from").alias("src"), end("to").alias("dst")).where("src <> dst").distinct())
-    found: list[DataFrame] = []
-    while True:
-        live = _trim(live)
-        if live.isEmpty():
-            break
-        colours = _spread(live)
+    found: list[DataFrame] = [live.limit(0).select("db_id", F.col("src").alias("v"), F.col("src").alias("colour"))]
+    while not live.isEmpty():
+        # An edge lies on a cycle only if something leads to it and away from it.
+        inner = live.join(live.select("db_id", F.col("dst").alias("src")).distinct(), ["db_id", "src"], "left_semi").join(
+            live.select("db_id", F.col("src").alias("dst")).distinct(), ["db_id", "dst"], "left_semi"
+        )
+        colours = _spread(settle(inner))
         tinted = settle(
-            live.join(colours.select("db_id", F.col("v").alias("src"), "colour"), ["db_id", "src"])
+            inner.join(colours.select("db_id", F.col("v").alias("src"), "colour"), ["db_id", "src"])
             .join(colours.select("db_id", F.col("v").alias("dst"), F.col("colour").alias("dst_colour")), ["db_id", "dst"])
             .where("colour = dst_colour")
             .select("db_id", "src", "dst", "colour")
         )
-        members = _reach_back(tinted, colours.where("v = colour"))
+        # Backwards inside a colour its root is the greatest that can be reached.
+        reached = _spread(tinted.select("db_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
+        members = reached.join(colours.withColumnRenamed("colour", "own"), ["db_id", "v"]).where("colour = own").select("db_id", "v", "colour")
         found.append(members)
         done = members.select("db_id", "v")
         live = settle(
@@ -176,39 +181,27 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
             .join(done.withColumnRenamed("v", "src"), ["db_id", "src"], "left_anti")
             .join(done.withColumnRenamed("v", "dst"), ["db_id", "dst"], "left_anti")
         )
-    if not found:
-        empty = live.select("db_id", F.col("src").alias("v"), F.col("src").alias("colour"))
-        found = [empty]
     members = found[0]
     for more in found[1:]:
         members = members.unionByName(more)
-    sizes = members.groupBy("db_id", "colour").agg(F.count("*").alias("component_size")).where("component_size >= 2")
+    name = F.max(F.struct("v.schema_name", "v.table_name")).alias("name")
+    sizes = members.groupBy("db_id", "colour").agg(F.count("*").alias("component_size"), name).where("component_size >= 2")
     return members.join(sizes, ["db_id", "colour"]).select(
         "db_id",
-        F.col("colour.schema_name").alias("component_schema"),
-        F.col("colour.table_name").alias("component_table"),
+        F.col("name.schema_name").alias("component_schema"),
+        F.col("name.table_name").alias("component_table"),
         F.col("v.schema_name").alias("schema_name"),
         F.col("v.table_name").alias("table_name"),
         "component_size",
     )
 
 
-def _trim(live: DataFrame) -> DataFrame:
-    """Drop edges that cannot lie on a cycle, until none is left to drop."""
-    size = live.count()
-    while size:
-        sources = live.select("db_id", F.col("src").alias("dst")).distinct()
-        targets = live.select("db_id", F.col("dst").alias("src")).distinct()
-        live = settle(live.join(sources, ["db_id", "dst"], "left_semi").join(targets, ["db_id", "src"], "left_semi"))
-        left = live.count()
-        if left == size:
-            break
-        size = left
-    return live
-
-
 def _spread(live: DataFrame) -> DataFrame:
-    """Greatest vertex that reaches each vertex, itself included."""
+    """Greatest vertex that reaches each vertex, itself included.
+
+    Each round takes the colours of neighbours and then the colour of the own
+    colour, which reaches whatever its bearer reaches.
+    """
     colours = settle(
         live.select("db_id", F.explode(F.array("src", "dst")).alias("v"))
         .distinct()
@@ -220,27 +213,13 @@ def _spread(live: DataFrame) -> DataFrame:
             .groupBy("db_id", F.col("dst").alias("v"))
             .agg(F.max("colour").alias("offer"))
         )
+        near = settle(colours.join(offers, ["db_id", "v"], "left").select("db_id", "v", "colour", F.greatest("colour", "offer").alias("near")))
+        jumps = near.select("db_id", F.col("v").alias("near"), F.col("near").alias("far"))
         step = settle(
-            colours.join(offers, ["db_id", "v"], "left")
-            .select("db_id", "v", F.greatest("colour", "offer").alias("next"), "colour")
-            .withColumn("moved", F.col("next") != F.col("colour"))
-            .select("db_id", "v", F.col("next").alias("colour"), "moved")
+            near.join(jumps, ["db_id", "near"], "left")
+            .select("db_id", "v", "colour", F.greatest("near", "far").alias("next"))
+            .select("db_id", "v", F.col("next").alias("colour"), (F.col("next") != F.col("colour")).alias("moved"))
         )
         colours = step.drop("moved")
         if step.where("moved").isEmpty():
             return colours
-
-
-def _reach_back(tinted: DataFrame, roots: DataFrame) -> DataFrame:
-    """Vertices that reach the root of their colour inside the colour."""
-    members = settle(roots.select("db_id", "v", "colour"))
-    frontier = members
-    while not frontier.isEmpty():
-        frontier = settle(
-            tinted.join(frontier.withColumnRenamed("v", "dst"), ["db_id", "dst", "colour"], "left_semi")
-            .select("db_id", F.col("src").alias("v"), "colour")
-            .distinct()
-            .join(members, ["db_id", "v", "colour"], "left_anti")
-        )
-        members = members.unionByName(frontier)
-    return members

@@ -85,3 +85,19 @@ def test_redaction_reaches_every_frame(spark, sf_dir):
         for column in {"comment", "definition"} & set(plain[name].columns):
             filled = lambda frames: frames[name].where(F.coalesce(F.col(column), F.lit("")) != "").count()  # noqa: B023, E731
             assert filled(hidden) == 0, (name, column)
+
+
+def test_components_of_long_chains_and_rings_take_few_rounds(spark, monkeypatch):
+    from snapcat.operators import relations
+
+    rounds, settle = [], relations.settle
+    monkeypatch.setattr(relations, "settle", lambda frame: rounds.append(1) or settle(frame))
+    name = lambda i: f"t{i:04d}"
+    pairs = [(1, name(i), name(i + 1)) for i in range(24)] + [(1, name(i + 1), name(i)) for i in range(60, 84)]
+    pairs += [(2, name(i), name((i + 1) % 40)) for i in range(40)] + [(2, "x", "x"), (2, name(5), "y"), (3, "a", "b"), (3, "b", "a"), (3, "b", "c")]
+    edges = spark.createDataFrame([(d, "s", a, "s", b) for d, a, b in pairs], "db_id long, from_schema string, from_table string, to_schema string, to_table string")
+    found = relations.strongly_connected(edges).collect()
+    assert {(r.db_id, r.table_name) for r in found} == {(2, name(i)) for i in range(40)} | {(3, "a"), (3, "b")}
+    assert {(r.db_id, r.component_table, r.component_size) for r in found} == {(2, name(39), 40), (3, "b", 2)}
+    print(len(rounds))
+    assert len(rounds) < 160
