@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 from collections import defaultdict
 
 import pyarrow as pa
@@ -40,7 +39,6 @@ UNKNOWN = "und"
 
 #: ASCII letters in lower case and all other characters stay, the rest of ASCII turns to spaces.
 LETTERS = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
-A_LETTER = re.compile(r"[^\W\d_]")
 FOUND = "struct<lang:string,score:double,margin:double,rejected:boolean>"
 FOUND_ARROW = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("margin", pa.float64()), ("rejected", pa.bool_())])
 
@@ -101,7 +99,7 @@ def compressors(model: Model) -> dict[str, zstandard.ZstdCompressor]:
 
 
 def classify(text: str | None, tools: dict[str, zstandard.ZstdCompressor]) -> dict:
-    if text is None or not tools or not A_LETTER.search(text):
+    if text is None or not tools or not any(map(str.isalpha, text)):
         return {"lang": UNKNOWN, "score": 0.0, "margin": 0.0, "rejected": True}
     raw = letters(text)
     if len(raw) < SHORT:

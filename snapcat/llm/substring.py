@@ -22,6 +22,7 @@ texts of any length are taken whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -110,8 +111,15 @@ class Windows:
         self.valid = np.ones(n, bool)
         for end in (self.starts + self.lengths).tolist()[:-1]:
             self.valid[max(0, end - window + 1) : end] = False
-        self.pieces = run_hashes(self.words, self.part, BASES[0])
-        self.anchor = sliding(self.pieces, window - self.part + 1) if n else np.zeros(0, U64)
+
+    @cached_property
+    def pieces(self) -> np.ndarray:
+        """Hashes of the shorter runs that anchors are chosen from."""
+        return run_hashes(self.words, self.part, BASES[0])
+
+    @cached_property
+    def anchor(self) -> np.ndarray:
+        return sliding(self.pieces, self.window - self.part + 1) if len(self.valid) else np.zeros(0, U64)
 
     def places(self) -> np.ndarray:
         """The anchor hash at each place that is some window's anchor; ties are all places."""

@@ -36,7 +36,7 @@ def test_sizes_against_plain_compression():
 
 
 def test_nulls_repeats_ties_clashes_and_empty_tables(spark):
-    rows = [(1, None, "en"), (2, "", "en"), (3, "12 ?! ...", None), (4, "the cat and the dog", "en"), (4, "the cat and the dog", "en"), (None, "der Hund und die Katze", "de"), (5, "x", "fr"), (6, "the dog " * 9000, None)]
+    rows = [(1, None, "en"), (2, "", "en"), (3, "12 ?! ... ²½Ⅷ", None), (4, "the cat and the dog", "en"), (4, "the cat and the dog", "en"), (None, "der Hund und die Katze", "de"), (5, "x", "fr"), (6, "the dog " * 9000, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("hash", F.lit(1)).withColumn("rank", F.lit(2))
     found = m.identify(docs, m.fit(docs)).collect()
     assert [r.language.lang for r in found][:6] == ["und", "und", "und", "en", "en", "de"]
