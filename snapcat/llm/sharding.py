@@ -179,5 +179,58 @@ def op1_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(documents(spark, sf_dir))
 
 
+#: The same over one list of all boundaries: search steps, the earliest and latest cuts, the cuts, CRC-32 by nibbles.
+OP1 = """
+WITH RECURSIVE doc AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, CAST(octet_length(encode(coalesce(text, ''))) + 16 AS BIGINT) AS size,
+        sha256(coalesce(text, '')) AS digest FROM documents
+), bound AS MATERIALIZED (
+    SELECT digest, bytes, CAST(sum(bytes) OVER (ORDER BY digest) AS BIGINT) AS upto FROM (SELECT digest, CAST(sum(size) AS BIGINT) AS bytes FROM doc GROUP BY digest)
+), b AS MATERIALIZED (
+    SELECT list(upto ORDER BY upto) AS bounds, max(upto) AS total, max(bytes) AS largest FROM bound
+), search(low, high, reach, j) AS (
+    SELECT greatest(largest, -(-total // 40)), greatest(largest, -(-total // 40)) + largest, CAST(0 AS BIGINT), 0 FROM b WHERE total IS NOT NULL
+    UNION ALL
+    SELECT CASE WHEN upto < total AND j = 39 THEN mid + 1 ELSE low END, CASE WHEN upto = total THEN mid ELSE high END,
+        CASE WHEN upto = total OR j = 39 THEN 0 ELSE upto END, CASE WHEN upto = total OR j = 39 THEN 0 ELSE j + 1 END
+    FROM (SELECT low, high, j, total, (low + high) // 2 AS mid,
+            greatest(reach, coalesce(list_max(list_filter(bounds, lambda x: x <= reach + (low + high) // 2)), 0)) AS upto
+        FROM search, b WHERE low < high)
+), capacity AS MATERIALIZED (
+    SELECT min(high) AS c FROM search WHERE low = high
+), latest(j, place) AS (
+    SELECT 0, CAST(0 AS BIGINT)
+    UNION ALL
+    SELECT j + 1, greatest(place, coalesce(list_max(list_filter(bounds, lambda x: x <= place + c)), 0)) FROM latest, b, capacity WHERE j < 40
+), earliest(j, place) AS (
+    SELECT 40, total FROM b
+    UNION ALL
+    SELECT j - 1, CASE WHEN place > c THEN least(place, list_min(list_filter(bounds, lambda x: x >= place - c))) ELSE 0 END FROM earliest, b, capacity WHERE j > 1
+), frame AS MATERIALIZED (
+    SELECT j, e.place AS low, l.place AS high FROM earliest AS e JOIN latest AS l USING (j)
+), cut(j, place) AS (
+    SELECT 0, CAST(0 AS BIGINT)
+    UNION ALL
+    SELECT cut.j + 1, list_min(list_transform(
+            list_filter(list_concat([place, low], bounds), lambda x: x >= greatest(low, place) AND x <= least(high, place + c)),
+            lambda x: {'d': abs(x - (place + (total - place) / (40 - cut.j))), 'x': x})).x
+    FROM cut JOIN frame ON frame.j = cut.j + 1, b, capacity WHERE cut.j < 39
+), step AS MATERIALIZED (
+    SELECT list(list_reduce(range(4), lambda crc, i: CASE WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END, CAST(n AS BIGINT)) ORDER BY n) AS s
+    FROM range(16) AS x(n)
+), sum32 AS (
+    SELECT r, xor(list_reduce(regexp_extract_all(hex(encode(t)), '..'), lambda crc, byte:
+            xor(xor(xor(crc, CAST(('0x' || byte) AS BIGINT)) >> 4, s[(xor(crc, CAST(('0x' || byte) AS BIGINT)) & 15) + 1]) >> 4,
+                s[(xor(xor(crc, CAST(('0x' || byte) AS BIGINT)) >> 4, s[(xor(crc, CAST(('0x' || byte) AS BIGINT)) & 15) + 1]) & 15) + 1]),
+            CAST(4294967295 AS BIGINT)), 4294967295) AS crc FROM doc, step
+), placed AS (
+    SELECT doc.*, (SELECT count(*) FROM cut WHERE cut.j > 0 AND cut.place < bound.upto) AS shard FROM doc JOIN bound USING (digest)
+)
+SELECT doc_id, size, coalesce(crc, 0) AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard,
+    row_number() OVER (PARTITION BY shard ORDER BY substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 3), doc_id NULLS FIRST, digest) - 1 AS slot,
+    CAST(NULL AS INTEGER) AS grown_shard
+FROM placed JOIN sum32 USING (r)
+"""
+
 QUERIES = {"op1_minimax_shards": op1_minimax_shards}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_minimax_shards": OP1}

@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import defaultdict
 
+import parity
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,11 @@ def test_whole_table(spark, sf_dir):
     assert len(size) == 40
 
 
+def test_query(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    assert parity.compare(spark, parity.connect(sf_dir), sf_dir, s.op1_minimax_shards, s.OP1) == ""
+
+
 def test_query_has_no_python(spark, sf_dir):
     plan = s.op1_minimax_shards(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
