@@ -11,6 +11,10 @@ from pyspark.sql import types as T
 from snapcat.functions.toon import float_text, number_text
 
 
+#: Characters of a value from which its digest is shuffled in its place.
+LONG = 64
+
+
 def _is_fractional(data_type: T.DataType) -> bool:
     return isinstance(data_type, (T.DoubleType, T.FloatType))
 
@@ -42,6 +46,12 @@ def _shown(value: Column, data_type: T.DataType) -> Column:
     return value
 
 
+def _short(text: Column) -> Column:
+    """Text that stands for a value where only its identity counts: long values by digest and length."""
+    digest = F.concat(F.lit("#"), F.sha2(text, 256), F.lit(":"), F.length(text).cast("string"))
+    return F.when(F.length(text) <= LONG, F.concat(F.lit("="), text)).otherwise(F.when(text.isNotNull(), digest))
+
+
 def canonical_text(value: Column, data_type: T.DataType) -> Column:
     """How a value is shown: plain decimals for doubles, the cast text otherwise."""
     if _is_nested(data_type):
@@ -57,14 +67,17 @@ def _fields(df: DataFrame, cols: Sequence[str] | None) -> list[T.StructField]:
     return [df.schema[name] for name in (cols or df.columns)]
 
 
-def value_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Rows per (column, value), NULLs left out.
+def value_counts(df: DataFrame, cols: Sequence[str] | None = None, short: bool = False) -> DataFrame:
+    """Rows per (column, value), NULLs left out; ``short`` values tell each other apart without being shown.
 
     One scan and one shuffle for all columns. Counts combine on the map side,
     so a value that fills a third of the table is one row per task.
     """
     cells = F.array(
-        *(F.struct(F.lit(f.name).alias("column_name"), _group_text(f).alias("value")) for f in _fields(df, cols))
+        *(
+            F.struct(F.lit(f.name).alias("column_name"), (_short(_group_text(f)) if short else _group_text(f)).alias("value"))
+            for f in _fields(df, cols)
+        )
     )
     return (
         df.select(F.inline(cells)).where("value IS NOT NULL").groupBy("column_name", "value").agg(F.count("*").alias("n"))
@@ -106,7 +119,7 @@ def profile_columns(df: DataFrame, cols: Sequence[str] | None = None, exact: boo
     entries = one_row.select(F.inline(F.array(*(entry(i, f) for i, f in enumerate(fields)))))
     if not exact:
         return entries
-    distinct = value_counts(df, cols).groupBy("column_name").agg(F.count("*").alias("distinct_count"))
+    distinct = value_counts(df, cols, short=True).groupBy("column_name").agg(F.count("*").alias("distinct_count"))
     return entries.join(distinct, "column_name", "left").withColumn(
         "distinct_count", F.coalesce("distinct_count", F.lit(0).cast("bigint"))
     )
@@ -159,7 +172,8 @@ def _all_present(cols: Sequence[str]) -> Column:
 def check_key(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Whether a column list is a key: rows, distinct keys, duplicate groups, rows with a NULL in the key."""
     complete = _all_present(cols)
-    groups = df.groupBy(*cols).agg(F.count("*").alias("n"))
+    keys = [_short(F.col(c)).alias(c) if isinstance(df.schema[c].dataType, T.StringType) else F.col(c) for c in cols]
+    groups = df.select(*keys).groupBy(*cols).agg(F.count("*").alias("n"))
     zero = F.lit(0).cast("bigint")
     return groups.agg(
         F.coalesce(F.sum("n"), zero).alias("row_count"),

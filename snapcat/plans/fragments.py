@@ -74,7 +74,10 @@ def object_list(rows: DataFrame, fields: Sequence[Field], docs: DataFrame | None
     table = all(f.kind != "strings" and f.omit == "never" for f in fields)
     places = [*GROUP, "k1", "ord", "k2"]
     shaped = toon.with_texts(rows, fields, *places).select(*places, *toon.shape_columns(fields, 1))
-    facts = shaped.groupBy(*GROUP).agg(
+    # Which members are present needs no text, so the facts render nothing.
+    item = toon.Members()
+    present = rows.select(*GROUP, toon.presence(item, fields).alias("mask"), toon.holds_list(item, fields).alias("nested"))
+    facts = present.groupBy(*GROUP).agg(
         F.count("*").alias("n"), F.min("mask").alias("low"), F.max("mask").alias("high"), F.bool_or("nested").alias("any_list")
     )
     tabular = F.lit(table) if table or dashed else toon.is_tabular(F.col("low"), F.col("high"), F.col("any_list"))
