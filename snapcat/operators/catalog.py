@@ -16,6 +16,7 @@ from snapcat.functions import codes
 
 KEY = ["db_id", "schema_name", "table_name"]
 DEFAULT_SCHEMAS = ("public",)
+# Fixed value: the note under statistics.
 STATS_NOTE = "Values are estimates from PostgreSQL statistics. Run ANALYZE for more accurate statistics."
 
 

@@ -24,17 +24,25 @@ def toon_rows(df: DataFrame, key: str, rows_per_doc: int, cols: Sequence[str] |
     """Documents of the rows whose key falls in one range of ``rows_per_doc`` values.
 
     ``key`` must be a unique integer column (``check_key`` tells), which bounds
-    a document by ``rows_per_doc`` rows. For other keys use the fragment form
-    in ``plans.fragments``, which gathers nothing.
+    a document by ``rows_per_doc`` rows; a range with more rows fails the job.
+    For other keys use the fragment form in ``plans.fragments``, which gathers
+    nothing.
     """
     cols = list(cols or df.columns)
     head = "]{" + ",".join(cols) + "}:"
     chunk = F.floor(F.col(key) / F.lit(rows_per_doc)).cast("bigint")
     lines = F.sort_array(F.collect_list(F.struct(F.col("row_key"), F.col("line"))))
+    refused = F.raise_error(F.lit(f"{key} is not unique"))
     body = F.array_join(F.transform(lines, lambda r: F.concat(F.lit("\n" + INDENT), r["line"])), "")
     return (
         df.select(chunk.alias("chunk"), F.col(key).alias("row_key"), row_line(df, cols).alias("line"))
         .groupBy("chunk")
         .agg(F.count("*").alias("row_count"), body.alias("body"))
-        .select("chunk", "row_count", F.concat(F.lit("["), F.col("row_count").cast("string"), F.lit(head), "body").alias("doc"))
+        .select(
+            "chunk",
+            "row_count",
+            F.when(F.col("row_count") > rows_per_doc, refused.cast("string"))
+            .otherwise(F.concat(F.lit("["), F.col("row_count").cast("string"), F.lit(head), "body"))
+            .alias("doc"),
+        )
     )

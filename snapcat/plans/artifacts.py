@@ -562,7 +562,7 @@ BUCKETS = (
 
 
 def doc_overview(m: Model) -> DataFrame:
-    """The plain-text guide to one database."""
+    """The plain-text guide to one database. Its sentences and headings are fixed values."""
     path = database_path("llms.txt")
     counts = database_counts(m).withColumn("path", path)
     schemas = F.array(*(F.lit(s) for s in m.cfg.schemas)).cast("array<string>")

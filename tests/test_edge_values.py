@@ -101,3 +101,11 @@ def test_components_of_long_chains_and_rings_take_few_rounds(spark, monkeypatch)
     assert {(r.db_id, r.component_table, r.component_size) for r in found} == {(2, name(39), 40), (3, "b", 2)}
     print(len(rounds))
     assert len(rounds) < 160
+
+
+def test_rows_of_a_repeated_key_are_refused(spark):
+    from snapcat.operators.toon_rows import toon_rows
+
+    assert toon_rows(spark.range(10), "id", 5).count() == 2
+    with pytest.raises(Exception, match="not unique"):
+        toon_rows(spark.range(10).selectExpr("id % 2 AS id"), "id", 5).collect()
