@@ -27,14 +27,16 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapcat.llm.common import documents, runs
+from snapcat.llm.common import documents, portions
 
 #: The split of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens of more bytes have a tree of their own.
 SHORT = 64
-#: Pre-tokens, and as many chunks, whose ids a worker keeps.
-KEPT = 300_000
+#: Pre-tokens, and as many chunks, whose ids a task keeps.
+KEPT = 120_000
+#: Words whose trees stand side by side.
+TOGETHER = 1 << 14
 NONE = np.int32(2**31 - 1)
 
 
@@ -212,6 +214,14 @@ class Encoder:
         spans = [[c for _, c in group] for _, group in itertools.groupby(enumerate(open_points), lambda x: x[1] - x[0])]
         self.odd = re.compile("[" + "".join(f"\\u{s[0]:04x}-\\u{s[-1]:04x}" for s in spans) + "\U00010000-\U0010ffff]")
 
+    def __enter__(self) -> Encoder:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.kept.clear()
+        self.chunks.clear()
+        pa.default_memory_pool().release_unused()
+
     def pieces(self, text: str) -> Iterator[str]:
         if not text.isascii() and self.odd.search(text):
             return (text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text))
@@ -225,11 +235,12 @@ class Encoder:
         found: list[bytes] = [b""] * len(words)
         start = 0
         for most, end in zip((1, 3, 5, 9, 17, 33, SHORT + 1), ends, strict=True):
-            group = order[start:end].tolist()
-            own = [words[i] for i in group]
-            ids = ([self.vocabulary.of_byte[w[0]].tobytes() for w in own] if most == 1 else merge_short(self.vocabulary, own, most - 1)) if own else []
-            for i, x in zip(group, ids, strict=True):
-                found[i] = x
+            for first in range(start, end, TOGETHER):
+                group = order[first : min(end, first + TOGETHER)].tolist()
+                own = [words[i] for i in group]
+                ids = [self.vocabulary.of_byte[w[0]].tobytes() for w in own] if most == 1 else merge_short(self.vocabulary, own, most - 1)
+                for i, x in zip(group, ids, strict=True):
+                    found[i] = x
             start = end
         for i in order[start:].tolist():
             found[i] = merge_long(self.vocabulary, words[i])
@@ -290,7 +301,7 @@ ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(vocabulary: Vocabulary) -> Encoder:
-    """This worker's encoder, kept between its tasks."""
+    """This worker's encoder, kept between its tasks; ``with`` lets go of what it learnt when a task ends."""
     if vocabulary.digest not in ENCODERS:
         ENCODERS[vocabulary.digest] = Encoder(vocabulary)
     return ENCODERS[vocabulary.digest]
@@ -300,12 +311,15 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_
     """Adds the token ids of the whole text as ``array<int>``; null and empty texts get an empty array."""
 
     @F.arrow_udf("array<int>")
-    def ids(texts: pa.Array) -> pa.Array:
-        tool = encoder(vocabulary)
-        texts = [t or "" for t in texts.to_pylist()]
-        found = [x for run in runs([len(t) for t in texts]) for x in tool.encode([texts[i] for i in run])]
-        ends = np.cumsum([0, *(len(x) // 4 for x in found)])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        with encoder(vocabulary) as tool:
+            for texts in batches:
+                parts = [pa.array([], pa.list_(pa.int32()))]
+                for some in portions(texts):
+                    found = tool.encode([t or "" for t in some])
+                    ends = np.cumsum([0, *(len(x) // 4 for x in found)])
+                    parts.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32))))
+                yield pa.concat_arrays(parts)
 
     return docs.withColumn(ids_col, ids(F.col(text_col)))
 

@@ -6,11 +6,12 @@ import itertools
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker holds as words at a time.
-WORK_BYTES = 4 << 20
+WORK_BYTES = 2 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +30,13 @@ def runs(sizes: list[int], most: int = WORK_BYTES) -> Iterator[range]:
         yield range(start, len(sizes))
 
 
+def portions(texts: pa.Array) -> Iterator[list[str | None]]:
+    """The texts of an Arrow batch, about ``WORK_BYTES`` at a time."""
+    sizes = [len(t) if (t := x.as_buffer()) is not None else 0 for x in texts]
+    for run in runs(sizes):
+        yield texts.slice(run.start, len(run)).to_pylist()
+
+
 def word_blocks(raw: bytes, keep: int, most: int = 1 << 18) -> Iterator[list[bytes]]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 text, at most about ``most`` at a time; each block but the first begins
     with the last ``keep`` words of the one before. At least one block, without words if there are none."""

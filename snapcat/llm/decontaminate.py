@@ -194,7 +194,8 @@ def scanner(items: list[tuple[str | None, list[bytes]]], window: int):
             rows.append({"n_words": len(words), "longest": longest, "spans": [{"first": a, "last": b} for a, b in spans], "items": sorted(names)})
         return pa.array(rows, FOUND_ARROW)
 
-    return scan
+    # So that a filter on the findings does not scan a second time to be applied earlier.
+    return scan.asNondeterministic()
 
 
 def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

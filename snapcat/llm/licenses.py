@@ -184,7 +184,8 @@ def scan_licences(docs: DataFrame, text_col: str = "text", to: str = "licences",
         table = Sentences(known)
         return pa.array([match(table.recognise(t), ordered) if (t := x.as_py()) else [] for x in texts], FINDING_ARROW)
 
-    return docs.withColumn(to, licences(F.col(text_col)))
+    # So that the findings are not looked for a second time to pass over rows without any.
+    return docs.withColumn(to, licences.asNondeterministic()(F.col(text_col)))
 
 
 def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

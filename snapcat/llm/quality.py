@@ -27,8 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from snapcat.llm.common import documents, row_key
-from snapcat.llm.substring import Windows, portions
+from snapcat.llm.common import documents, portions, row_key
+from snapcat.llm.substring import Windows
 from snapcat.session import settle
 
 WINDOW = 8

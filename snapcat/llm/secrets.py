@@ -109,7 +109,8 @@ def candidates(docs: DataFrame, words: frozenset[str], text_col: str = "text", p
         return pa.array(rows, FINDING_ARROW)
 
     path = F.col(path_col).cast("string") if path_col else F.lit("")
-    return docs.withColumn(to, find(F.col(text_col), path))
+    # So that the findings are not looked for a second time to pass over rows without any.
+    return docs.withColumn(to, find.asNondeterministic()(F.col(text_col), path))
 
 
 def label_findings(found: DataFrame) -> DataFrame:

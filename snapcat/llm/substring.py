@@ -30,17 +30,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapcat.llm.common import documents, row_key, runs, word_blocks
+from snapcat.llm.common import documents, portions, row_key, word_blocks
 
 WINDOW = 35
 #: Both rows of the merged sketch together, in bytes, at most; every Python worker holds it.
 MOST_SKETCH = 256 << 20
 #: Blocks of a sketch row that are merged apart; places and candidates a task holds before it sends them.
-BLOCKS, HELD_PLACES, HELD_WINDOWS = 256, 4 << 20, 1 << 20
+BLOCKS, HELD_PLACES, HELD_WINDOWS = 256, 2 << 20, 1 << 19
 #: Bytes of text for each bucket of the exact count, so that a bucket fits a task however much passes the sketch.
 BUCKET_BYTES = 4 << 20
 #: Words whose hashes a worker keeps.
-KEPT = 500_000
+KEPT = 200_000
 
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 ROWS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -180,12 +180,6 @@ def sketcher(window: int, bits: int):
     return sketch
 
 
-def portions(texts: pa.Array) -> Iterator[list[str | None]]:
-    sizes = [len(t) if (t := x.as_buffer()) is not None else 0 for x in texts]
-    for run in runs(sizes):
-        yield texts.slice(run.start, len(run)).to_pylist()
-
-
 def merger(bits: int):
     size = 1 << max(0, bits - BLOCKS.bit_length() + 1)
 

@@ -15,13 +15,14 @@ task. Repeated rows give equal results.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapcat.llm.bpe import Encoder, Vocabulary, default_vocabulary, encoder
-from snapcat.llm.common import documents, runs
+from snapcat.llm.common import documents, portions
 
 #: Chunks in a leaf at first; an edited leaf may have more.
 LEAF = 64
@@ -140,17 +141,18 @@ def count_edited(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text"
     """Adds ``to``: tokens before and after the edits, the number of edits, and the characters encoded again for them."""
 
     @F.arrow_udf(FOUND)
-    def count(texts: pa.Array, edits: pa.Array) -> pa.Array:
-        tool, rows = encoder(vocabulary), []
-        texts = [t or "" for t in texts.to_pylist()]
-        for run in runs([len(t) for t in texts]):
-            for i, (chunks, tokens) in zip(run, counted(tool, [texts[i] for i in run]), strict=True):
-                own = CountedText(tool, chunks, tokens)
-                before, todo = own.n_tokens, edits[i].as_py() or []
-                for e in todo:
-                    own.edit(e["at"] or 0, e["remove"] or 0, e["put"] or "")
-                rows.append({"n_before": before, "n_after": own.n_tokens, "n_edits": len(todo), "n_encoded": own.encoded})
-        return pa.array(rows, FOUND_ARROW)
+    def count(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        with encoder(vocabulary) as tool:
+            for texts, edits in batches:
+                rows = []
+                for some in portions(texts):
+                    for chunks, tokens in counted(tool, [t or "" for t in some]):
+                        own = CountedText(tool, chunks, tokens)
+                        before, todo = own.n_tokens, edits[len(rows)].as_py() or []
+                        for e in todo:
+                            own.edit(e["at"] or 0, e["remove"] or 0, e["put"] or "")
+                        rows.append({"n_before": before, "n_after": own.n_tokens, "n_edits": len(todo), "n_encoded": own.encoded})
+                yield pa.array(rows, FOUND_ARROW)
 
     return docs.withColumn(to, count(F.col(text_col), F.col(edits_col)))
 
