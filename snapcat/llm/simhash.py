@@ -192,7 +192,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, most_bits: int = MOST_BITS) -> DataFrame:
     """The rows of ``docs`` less near duplicates: of each component the row with the smallest id stays, and one of equal rows."""
-    found = near_duplicates(docs, id_col, text_col, width, most_bits)
+    return first_of_each(docs, near_duplicates(docs, id_col, text_col, width, most_bits), id_col, text_col)
+
+
+def first_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with the smallest id of each ``root`` in ``found``, and one of equal rows."""
     stays = found.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "row_key_1", "row_key_2")).alias("row")).select("row.row_key_1", "row.row_key_2")
     names = ["row_key_1", "row_key_2"]
     if clash := [c for c in docs.columns if c.lower() in names]:
