@@ -1,6 +1,8 @@
 """Secrets in texts: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of at least ``LEAST`` characters that keys, tokens and digests are spelled with. Its
+A candidate is a run of at least ``LEAST`` characters that keys, tokens and digests are spelled with, less a name and
+'=' before it; or a value of any length and any characters that is assigned to a credential's name, in quotes or up to
+white space; or the password, or else the user, of a URL. Of values inside each other the inner one is taken. Its
 features are its length, the transitions between kinds of characters, how much of it dictionary words cover
 (the most frequent words of all documents), its path, and the words beside it. The forest is trained on
 labelled findings, a bounded sample of them: for each label those with the ``SAMPLE`` smallest hashes.
@@ -37,12 +39,22 @@ SURE = 0.5
 MASK = "[SECRET]"
 
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=\-]{{{LEAST},}}")
+#: What may end a name that a value is assigned to; the name before it; credentials in URLs, and the text before a password there.
+SEPARATOR = re.compile(r":=|=>|={1,3}|:(?!//)")
+NAME = re.compile(r"([A-Za-z_][\w.-]*)[\"'`]?\s*$")
+USERINFO = re.compile(r"://([^\s/@:\"'`<>]*:)?([^\s/\"'`<>]+)@")
+PASSWORD_NEXT = re.compile(r"://[^\s/@:]*:$")
+#: What an unquoted value ends before, and what does not belong to it at its end.
+SPACE, PARAMETER, CLOSING = re.compile(r"\s"), re.compile(r"&[\w.-]+="), ",;:.)]}>\"'`"
 #: Names of credentials, words of placeholders, parts of paths that hold no real ones.
 CREDENTIAL = ("token", "secret", "password", "passwd", "pwd", "apikey", "api", "key", "auth", "bearer", "credential", "access", "private")
+#: Those that other words contain ("author", "monkey") and that count as whole words only.
+SHORT = ("api", "key", "auth", "bearer", "access", "private")
 PLACEHOLDER = ("example", "sample", "test", "dummy", "your", "placeholder", "changeme", "xxxx")
 KINDS = "uld+"
-ASSIGNED = re.compile(r"([A-Za-z_][\w.-]*)[\"']?\s*(?::=|=>|=|:)\s*[\"']?$")
+ASSIGNED = re.compile(r"([A-Za-z_][\w.-]*)[\"'`]?\s*(?::=|=>|={1,3}|:)\s*[\"'`]?$")
 WORDS = re.compile(r"[^\W\d_]+")
+PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 #: Characters before and after a candidate in which neighbours are looked for.
 BESIDE = 48
 FEATURES = ["length", "upper", "lower", "digit", "other", *(f"{a}{b}" for a in KINDS for b in KINDS), "hex", "entropy", "covered", "assigned", "quoted", "credential", "credential_near", "placeholder", "path_depth", "path_test"]
@@ -55,6 +67,78 @@ def kind(c: str) -> int:
     return 0 if "A" <= c <= "Z" else 1 if "a" <= c <= "z" else 2 if "0" <= c <= "9" else 3
 
 
+def words_in(text: str) -> set[str]:
+    """Runs of letters, and the words in them where the case tells."""
+    return {w.lower() for w in (*WORDS.findall(text), *PARTS.findall(text))}
+
+
+def names_credential(name: str) -> bool:
+    own = words_in(name)
+    return any(c in own if c in SHORT else c in name.lower() for c in CREDENTIAL)
+
+
+def is_placeholder(words: set[str]) -> bool:
+    return any(w in PLACEHOLDER or len(w) >= 4 and set(w) == {"x"} for w in words)
+
+
+def assigned_values(text: str) -> list[tuple[int, int]]:
+    """Places (first, end) of the values assigned to credentials' names. Time is linear: ends are looked for once."""
+    ends: dict[str, int] = {}
+
+    def following(what: str, find, at: int) -> int:
+        if ends.get(what, -1) < at:
+            found = find(at)
+            ends[what] = found if found >= 0 else len(text)
+        return ends[what]
+
+    def first(pattern: re.Pattern):
+        return lambda at: m.start() if (m := pattern.search(text, at)) else -1
+
+    out = []
+    for m in SEPARATOR.finditer(text):
+        name = NAME.search(text[max(0, m.start() - BESIDE) : m.start()])
+        if not name or not names_credential(name[1]):
+            continue
+        a = m.end()
+        while text[a : a + 1] in (" ", "\t"):
+            a += 1
+        if (quote := text[a : a + 1]) in ("'", '"', "`"):
+            a += 1
+            b = following(quote, lambda at, q=quote: text.find(q, at), a)
+            while b < len(text) and (len(text[a:b]) - len(text[a:b].rstrip("\\"))) % 2:
+                b = following(quote, lambda at, q=quote: text.find(q, at), b + 1)
+            if b < len(text) and b <= following("line", lambda at: text.find("\n", at), a):
+                if b > a:
+                    out.append((a, b))
+                continue
+        b = min(following("space", first(SPACE), a), following("parameter", first(PARAMETER), a))
+        while b > a and text[b - 1] in CLOSING:
+            b -= 1
+        if b > a:
+            out.append((a, b))
+    return out
+
+
+def places(text: str) -> list[tuple[int, int]]:
+    """Places (first, end) of all candidates, in order; none overlaps another."""
+    sure: list[tuple[int, int]] = []
+    for own in sorted({*assigned_values(text), *(m.span(2) for m in USERINFO.finditer(text))}):
+        while sure and sure[-1][1] > own[0]:
+            sure.pop()
+        sure.append(own)
+    out, k = [], 0
+    for m in CANDIDATE.finditer(text):
+        a, b = m.span()
+        # '=' inside a run ends a name; at its end it is part of the value.
+        cut = text.rfind("=", a, a + len(m[0].rstrip("=")))
+        a = max(a, cut + 1)
+        while k < len(sure) and sure[k][1] <= a:
+            k += 1
+        if b - a >= LEAST and (k == len(sure) or sure[k][0] >= b):
+            out.append((a, b))
+    return sorted(out + sure)
+
+
 def covered(value: str, words: frozenset[str]) -> float:
     """Share of the characters that dictionary words of three letters or more cover, longest first from each place."""
     value, i, hit = value.lower(), 0, 0
@@ -77,12 +161,12 @@ def describe(value: str, before: str, after: str, path: str, words: frozenset[st
     near = [w.lower() for w in WORDS.findall(before)[-4:] + WORDS.findall(after)[:2]]
     counts = [value.count(c) / n for c in set(value)]
     features = [
-        n, *(kinds.count(k) / n for k in range(4)), *(p / (n - 1) for p in pairs),
+        n, *(kinds.count(k) / n for k in range(4)), *(p / max(1, n - 1) for p in pairs),
         sum(c in "0123456789abcdefABCDEF" for c in value) / n, -sum(p * math.log2(p) for p in counts), covered(value, words),
-        bool(name), before[-1:] in ("'", '"') and after[:1] == before[-1:],
-        any(c in name.lower() for c in CREDENTIAL), any(w in CREDENTIAL for w in near),
-        any(p in w for p in PLACEHOLDER for w in (*near, value.lower())),
-        path.count("/"), any(p in path.lower() for p in PLACEHOLDER),
+        bool(name), before[-1:] in ("'", '"', "`") and after[:1] == before[-1:],
+        names_credential(name) or bool(PASSWORD_NEXT.search(before)), any(w in CREDENTIAL for w in near),
+        is_placeholder({*near, *words_in(value)}),
+        path.count("/"), is_placeholder(words_in(path)),
     ]
     return name, [float(f) for f in features]
 
@@ -101,10 +185,9 @@ def candidates(docs: DataFrame, words: frozenset[str], text_col: str = "text", p
         rows = []
         for text, path in zip(texts, paths, strict=True):
             text, path, own = text.as_py() or "", path.as_py() or "", []
-            for m in CANDIDATE.finditer(text):
-                a, b = m.span()
-                name, features = describe(m[0], text[max(0, a - BESIDE) : a], text[b : b + BESIDE], path, words)
-                own.append({"first": a, "length": b - a, "value": m[0], "name": name, "features": features})
+            for a, b in places(text):
+                name, features = describe(text[a:b], text[max(0, a - BESIDE) : a], text[b : b + BESIDE], path, words)
+                own.append({"first": a, "length": b - a, "value": text[a:b], "name": name, "features": features})
             rows.append(own)
         return pa.array(rows, FINDING_ARROW)
 

@@ -21,6 +21,43 @@ def test_features():
     assert s.covered("thethethe", frozenset(["the"])) == 1 and s.covered("xthey", frozenset(["the", "they"])) == 0.8
 
 
+@pytest.mark.parametrize("text, values", [
+    ('password = "hunter2!x"', ["hunter2!x"]),
+    ('db_password: "Tr0ub4dor&3", pwd=\'x9Kd82mQpL\'', ["Tr0ub4dor&3", "x9Kd82mQpL"]),
+    ("postgres://u:S3cretPw9@h/db https://ghp_x9@host ftp://a:p@ss@h", ["S3cretPw9", "ghp_x9", "p@ss"]),
+    ("AWS_SECRET_ACCESS_KEY=abcd1234EFGH5678ijkl== SOME_LONG_SETTING=abcd1234EFGH5678", ["abcd1234EFGH5678ijkl==", "abcd1234EFGH5678"]),
+    ("PASSWD=a+b/c;d! https://h/?token=q1&user=7", ["a+b/c;d!", "q1"]),
+    ('"api_key": "a\\"b c"} author: jsmith1990 monkey=1 http://h:80/x', ['a\\"b c']),
+    ("SECRET_URL=postgres://u:S3cretPw9@h/db pwd=", ["S3cretPw9"]),
+    ('password = "open', ["open"]),
+    ("abcd1234EFGH5678== password=\npwd: ''", ["abcd1234EFGH5678=="]),
+])
+def test_candidates(text, values):
+    assert [text[a:b] for a, b in s.places(text)] == values
+    assert all(len(s.describe(v, "", "", "", frozenset())[1]) == len(s.FEATURES) for v in values)
+
+
+def test_placeholders_are_whole_words():
+    placeholder = lambda value, before="", path="": [s.describe(value, before, "", path, frozenset())[1][s.FEATURES.index(c)] for c in ("placeholder", "path_test")]
+    assert placeholder("q7", "the latest key for yourself is ", "latest/x") == [0, 0]
+    assert placeholder("your-token-here") == placeholder("myTestKey1") == placeholder("changeme1") == placeholder("xxxxxxxx") == [1, 0]
+    assert placeholder("q7", "an example: ", "a/test_b/c") == [1, 1]
+
+
+def test_time_is_linear():
+    for text in ("key=" * 100_000, "key='" * 100_000, "a:" * 200_000, "x" * 400_000, "://a:" * 80_000, 'key="' + "\\" * 200_000):
+        s.places(text)
+
+
+def test_short_secrets_are_masked(spark):
+    """Passwords of any form among the given documents, whose own secrets are 40 hex characters."""
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source")
+    texts = ['x password = "hunter2!x" y', 'db_password: "Tr0ub4dor&3"', "pwd='x9Kd82mQpL'", "at postgres://u:S3cretPw9@h/db now", "DB_PASSWORD=k3Jx8fQz2m!"]
+    clean = ['x password = "[SECRET]" y', 'db_password: "[SECRET]"', "pwd='[SECRET]'", "at postgres://u:[SECRET]@h/db now", "DB_PASSWORD=[SECRET]"]
+    own = spark.createDataFrame([(10**6 + k, t, "s") for k, t in enumerate(texts)], given.schema)
+    assert [r.text for r in s.redact(given.unionByName(own)).where("doc_id >= 1000000").orderBy("doc_id").collect()] == clean
+
+
 def test_planted_tokens_and_nothing_else(spark):
     sf_dir = "/root/testdata/sf0.01"
     docs = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
