@@ -10,6 +10,9 @@ its anchor stands somewhere. There are about ten times fewer anchor places than
 2. The other windows are counted exactly, by 128 bits of two independent hashes of all their words. A task
    sends a window once however often it has it: with the address of its only place, or as known repeated.
    The counting task sends the places of repeated windows back to their documents.
+   Windows go to counting tasks by their anchor, which keeps runs of places together. The windows around a phrase
+   of many documents share anchors and differ themselves; those of anchors that a task of the first step met
+   ``HOT`` times or more, and of all in the same cell, go by their own hash.
 
 The sketch grows with the input up to ``MOST_SKETCH`` bytes, which is what a broadcast may hold; beyond, it
 lets more windows pass to the exact count, and loses none. Windows are judged on the input.
@@ -39,6 +42,8 @@ MOST_SKETCH = 256 << 20
 BLOCKS, HELD_PLACES, HELD_WINDOWS = 256, 2 << 20, 1 << 19
 #: Bytes of text for each bucket of the exact count, so that a bucket fits a task however much passes the sketch.
 BUCKET_BYTES = 4 << 20
+#: Places of one sketch cell among those that a task holds, from which its windows are dealt out by their own hash.
+HOT = 256
 #: Words whose hashes a worker keeps.
 KEPT = 200_000
 
@@ -145,12 +150,12 @@ def sketch_bits(text_bytes: int) -> int:
     return min(max(12, (text_bytes // 8).bit_length()), (MOST_SKETCH * 8 // len(ROWS)).bit_length() - 1)
 
 
-SKETCH = "part int, block int, once array<int>, more array<int>"
-SKETCH_ARROW = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("once", pa.list_(pa.int32())), ("more", pa.list_(pa.int32()))])
+SKETCH = "part int, block int, once array<int>, more array<int>, hot array<int>"
+SKETCH_ARROW = pa.schema([("part", pa.int32()), ("block", pa.int32()), *((c, pa.list_(pa.int32())) for c in ("once", "more", "hot"))])
 
 
 def sketcher(window: int, bits: int):
-    """Partition sketches: of each row and block the cells counted once and more often."""
+    """Partition sketches: of each row and block the cells counted once and more often; those of them, in the first row, that are hot."""
     shift = max(0, bits - BLOCKS.bit_length() + 1)
 
     def emit(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +167,7 @@ def sketcher(window: int, bits: int):
             cuts = np.flatnonzero(np.diff(block, prepend=-1, append=-1)).tolist()
             for a, b in zip(cuts, cuts[1:], strict=False):
                 single = count[a:b] == 1
-                out.append((row, int(block[a]), offset[a:b][single], offset[a:b][~single]))
+                out.append((row, int(block[a]), offset[a:b][single], offset[a:b][~single], offset[a:b][(count[a:b] >= HOT) & (row == 0)]))
         yield pa.RecordBatch.from_pylist([dict(zip(SKETCH_ARROW.names, r, strict=True)) for r in out], SKETCH_ARROW)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,30 +185,36 @@ def sketcher(window: int, bits: int):
     return sketch
 
 
+MERGED = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("bits", pa.binary()), ("hot", pa.list_(pa.int32()))])
+
+
 def merger(bits: int):
     size = 1 << max(0, bits - BLOCKS.bit_length() + 1)
 
     def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(size, np.uint8)
+        counts, hot = np.zeros(size, np.uint8), np.zeros(size, bool)
         for batch in batches:
             for name, n in (("once", 1), ("more", 2)):
                 for own in batch.column(name):
                     at = own.values.to_numpy(zero_copy_only=False)
                     counts[at] = np.minimum(counts[at] + n, 2)
-        yield pa.RecordBatch.from_pylist([{"part": key[0].as_py(), "block": key[1].as_py(), "bits": np.packbits(counts == 2, bitorder="little").tobytes()}], pa.schema([("part", pa.int32()), ("block", pa.int32()), ("bits", pa.binary())]))
+            hot[batch.column("hot").flatten().to_numpy(zero_copy_only=False)] = True
+        yield pa.RecordBatch.from_pylist([{"part": key[0].as_py(), "block": key[1].as_py(), "bits": np.packbits(counts == 2, bitorder="little").tobytes(), "hot": np.flatnonzero(hot)}], MERGED)
 
     return merge
 
 
-def merged_sketch(docs: DataFrame, window: int, bits: int) -> list[bytes]:
-    """For each row one bit a cell: whether the cell holds two or more."""
+def merged_sketch(docs: DataFrame, window: int, bits: int) -> tuple[list[bytes], np.ndarray]:
+    """For each row one bit a cell: whether the cell holds two or more. The hot cells of the first row, in order."""
     rows = docs.select("text").mapInArrow(sketcher(window, bits), SKETCH)
-    blocks = rows.groupBy("part", "block").applyInArrow(merger(bits), "part int, block int, bits binary")
+    blocks = rows.groupBy("part", "block").applyInArrow(merger(bits), "part int, block int, bits binary, hot array<int>")
     size = max(1, (1 << max(0, bits - BLOCKS.bit_length() + 1)) // 8)
-    whole = [bytearray(size * BLOCKS) for _ in ROWS]
+    shift = max(0, bits - BLOCKS.bit_length() + 1)
+    whole, hot = [bytearray(size * BLOCKS) for _ in ROWS], [np.zeros(0, U64)]
     for r in blocks.toLocalIterator():
         whole[r.part][r.block * size : r.block * size + len(r.bits)] = r.bits
-    return [bytes(w) for w in whole]
+        hot.append(np.array(r.hot, U64) | U64(r.block << shift))
+    return [bytes(w) for w in whole], np.sort(np.concatenate(hot))
 
 
 FOUND = "bucket int, known boolean, row_key_1 array<long>, row_key_2 array<long>, first array<int>, last array<int>, a array<long>, b array<long>"
@@ -231,6 +242,11 @@ def repeats(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> tuple[np.ndarra
     return found, order[new]
 
 
+def buckets_of(anchor: np.ndarray, a: np.ndarray, bits: int, hot: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each window, the same for equal ones: by the anchor, or by the window where the anchor's cell is hot."""
+    return (mixed(np.where(np.isin(cells(anchor, 0, bits), hot), a.view(U64), anchor)) % U64(buckets)).astype(np.int64)
+
+
 def finder(window: int, bits: int, sketch, buckets: int):
     """Windows that the sketch takes for repeated: runs of places that this task knows to be repeated, and for
     each bucket of the exact count every distinct window once, with its place (first) if that is the only one here."""
@@ -242,7 +258,7 @@ def finder(window: int, bits: int, sketch, buckets: int):
             ok &= (held[cell >> U64(3)] >> (cell & U64(7)).astype(np.uint8) & 1).astype(bool)
         return ok
 
-    def emit(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def emit(held: list[tuple], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
         anchor, a, b, key_1, key_2, start = (np.concatenate(x) for x in zip(*held, strict=True))
         here, one = repeats(a, b, np.ones(len(a)))
         out = []
@@ -251,7 +267,7 @@ def finder(window: int, bits: int, sketch, buckets: int):
             k1, k2, first, last = spans(*known)
             for group in np.array_split(np.arange(len(k1)), max(1, len(k1) // 4096)):
                 out.append((int(k1[group[0]] % buckets), True, k1[group], k2[group], first[group], last[group], [], []))
-        bucket = (mixed(anchor[one]) % U64(buckets)).astype(np.int64)
+        bucket = buckets_of(anchor[one], a[one], bits, hot, buckets)
         order = np.lexsort((one, bucket))
         one, bucket = one[order], bucket[order]
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)).tolist()
@@ -263,7 +279,7 @@ def finder(window: int, bits: int, sketch, buckets: int):
             yield pa.RecordBatch.from_pylist([dict(zip(FOUND_ARROW.names, r, strict=True)) for r in out[k : k + 512]], FOUND_ARROW)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [np.frombuffer(r, np.uint8) for r in sketch.value]
+        rows, hot = [np.frombuffer(r, np.uint8) for r in sketch.value[0]], sketch.value[1]
         held, n = [], 0
         for batch in batches:
             keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("row_key_1", "row_key_2")]
@@ -280,10 +296,10 @@ def finder(window: int, bits: int, sketch, buckets: int):
                     n += len(at)
                 done += len(texts)
                 if n >= HELD_WINDOWS:
-                    yield from emit(held)
+                    yield from emit(held, hot)
                     held, n = [], 0
         if n:
-            yield from emit(held)
+            yield from emit(held, hot)
 
     return find
 

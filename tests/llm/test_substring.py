@@ -63,6 +63,24 @@ def test_sketch_passes_all_repeated(spark, monkeypatch):
     assert [(r.n_words, r.n_removed, r.kept) for r in rows] == plain(texts, 4)
 
 
+def test_windows_around_a_hot_phrase_are_dealt_out(spark):
+    """Windows of different documents share the anchor in the phrase; no bucket has more than a few times its share."""
+    rng = random.Random(8)
+    phrase = " ".join(f"p{k}" for k in range(25))
+    spell = lambda: " ".join(str(rng.randrange(10**9)) for _ in range(40))
+    texts = [f"{spell()} {phrase} {spell()}" for _ in range(4000)]
+    texts += texts[:1]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    rows = sorted(s.remove_repeated(docs).collect())
+    assert [(r.n_words, r.n_removed, r.kept) for r in rows] == plain(texts, 35)
+    keyed = docs.select(F.col("doc_id").alias("row_key_1"), F.lit(0).cast("long").alias("row_key_2"), "text")
+    bits = s.sketch_bits(sum(map(len, texts)))
+    sketch = spark.sparkContext.broadcast(s.merged_sketch(keyed, 35, bits))
+    sent = keyed.mapInArrow(s.finder(35, bits, sketch, 256), s.FOUND).where("not known")
+    sizes = [r.n for r in sent.groupBy("bucket").agg(F.sum(F.size("a")).alias("n")).collect()]
+    assert sum(sizes) > 4000 and max(sizes) < sum(sizes) / 10, (max(sizes), sum(sizes))
+
+
 def test_long_text_in_portions(spark):
     rng = random.Random(1)
     text = " ".join(str(rng.randrange(10**9)) for _ in range(600_000))
