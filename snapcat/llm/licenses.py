@@ -7,6 +7,11 @@ of a text is matched from its start against ordered rules, sequences of identifi
 at each place the first rule that fits is taken, so longer and stricter rules come first. Identifiers of one
 rule may have a few other units between them (copyright lines, numbered clauses), ``MOST_APART`` at most.
 
+Besides, SPDX lines and short notices ("This project is licensed under the ...", with a licence's name, several names,
+and what follows like "see LICENSE") are read by pattern, over ``MOST_UNITS`` units at most, where no known sentence
+starts; a line with several licences gives a finding for each. A whole unit must fit, so a licence that is only
+talked about is not found, nor one whose name ``NAMES`` does not have.
+
 Defined results: null and empty texts have no units and no findings. A sentence that stands twice is found
 twice. Equal rows get equal findings. An identifier that no rule begins with at its place is passed over.
 """
@@ -98,6 +103,88 @@ RULES = [
     ("Proprietary", "all-rights", ["all-rights"]),
 ]
 
+#: Grants of the GNU licences by name and version, titles of whole licence texts; sentence, licence, rule.
+GNU = [("GPL", "General Public License", "2"), ("GPL", "General Public License", "3"), ("LGPL", "Lesser General Public License", "2.1"),
+       ("LGPL", "Lesser General Public License", "3"), ("LGPL", "Library General Public License", "2"), ("AGPL", "Affero General Public License", "3")]
+MORE = [
+    *((f"This {it} is free software; you can redistribute it and/or modify it under the terms of the GNU {title} as published by the Free Software "
+       f"Foundation{either} version {v} of the License{later}.", f"{name}-{v if '.' in v else v + '.0'}-{which}", "gnu-grant")
+      for name, title, v in GNU for it in ("program", "library", "file", "software")
+      for either, later, which in (("; either", ", or (at your option) any later version", "or-later"), (",", "", "only"), (";", "", "only"), ("; only", "", "only"))),
+    ("Apache License Version 2.0, January 2004", "Apache-2.0", "text-title"),
+    ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "GPL-3.0-only", "text-title"),
+    ("GNU GENERAL PUBLIC LICENSE Version 2, June 1991", "GPL-2.0-only", "text-title"),
+    ("GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "LGPL-3.0-only", "text-title"),
+    ("GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", "LGPL-2.1-only", "text-title"),
+    ("GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", "AGPL-3.0-only", "text-title"),
+    ("Mozilla Public License Version 2.0", "MPL-2.0", "text-title"),
+    ("Eclipse Public License - v 2.0", "EPL-2.0", "text-title"),
+    ("Eclipse Public License - v 1.0", "EPL-1.0", "text-title"),
+    ("Boost Software License - Version 1.0 - August 17th, 2003", "BSL-1.0", "text-title"),
+]
+
+V, L = r"(?: licen[cs]e)?(?: \w?gpl| mpl| epl)?(?: version| v)? ?v?", r"(?: licen[cs]e)?"
+#: Names of licences as they are normalised, by pattern.
+NAMES = [
+    (r"(?:mit|expat|mit x11)" + L, "MIT"), (r"isc" + L, "ISC"), (r"zlib" + L, "Zlib"), (r"wtfpl" + L, "WTFPL"), (r"(?:the )?unlicense", "Unlicense"),
+    (r"(?:apache(?: software)?|asl)" + V + r"2(?: 0)?" + L, "Apache-2.0"),
+    (r"(?:bsd 2 clause|(?:2|two) clause bsd|simplified bsd)" + L, "BSD-2-Clause"),
+    (r"(?:bsd 3 clause|(?:3|three) clause bsd|(?:new|modified|revised) bsd)" + L, "BSD-3-Clause"), (r"0bsd|bsd zero clause" + L, "0BSD"),
+    *((rf"(?:gnu )?(?:{short}|{long} public)" + V + v.replace(".", " ") + (r"(?: 0)?" if "." not in v else "") + r"(?: of the licen[cs]e)?" + L + late, f"{name}-{v if '.' in v else v + '.0'}-{which}")
+      for name, short, long in (("AGPL", "agpl", "affero general"), ("LGPL", "lgpl", "(?:lesser|library) general"), ("GPL", "gpl", "general"))
+      for v in ("2.1", "2", "3") if (v == "3" or name != "AGPL") and (v != "2.1" or name == "LGPL")
+      for late, which in ((r"(?: or (?:any )?later(?: versions?)?| or at your option any later version)", "or-later"), (r"(?: only)?", "only"))),
+    (r"(?:mozilla public|mpl)" + V + r"2(?: 0)?" + L, "MPL-2.0"), (r"(?:mozilla public|mpl)" + V + r"1 1" + L, "MPL-1.1"),
+    (r"(?:eclipse public|epl)" + V + r"2(?: 0)?" + L, "EPL-2.0"), (r"(?:eclipse public|epl)" + V + r"1(?: 0)?" + L, "EPL-1.0"),
+    (r"(?:european union public|eupl)" + V + r"1 2" + L, "EUPL-1.2"), (r"(?:common development and distribution|cddl)" + V + r"1 0" + L, "CDDL-1.0"),
+    (r"(?:boost software" + V + r"(?:1 0)?|bsl 1 0)" + L, "BSL-1.0"), (r"(?:business source" + V + r"1 1|busl 1 1)" + L, "BUSL-1.1"),
+    (r"artistic" + V + r"2(?: 0)?" + L, "Artistic-2.0"), (r"(?:creative commons zero|cc0)" + V + r"(?:1 0)?(?: universal)?" + L, "CC0-1.0"),
+    *((rf"(?:creative commons|cc)(?: {a}| {b})(?: cc {a})?(?: licen[cs]e)?(?: version| v)? ?v?{v[0]} {v[2]}(?: international| unported| generic)?(?: public)?" + L, f"CC-{a.replace(' ', '-').upper()}-{v}")
+      for a, b in (("by nc nd", "attribution non ?commercial no ?deriv(?:ative)?s"), ("by nc sa", "attribution non ?commercial share ?alike"), ("by nc", "attribution non ?commercial"),
+                   ("by nd", "attribution no ?deriv(?:ative)?s"), ("by sa", "attribution share ?alike"), ("by", "attribution"))
+      for v in ("4.0", "3.0", "2.5", "2.0")),
+]
+NAMED = [(re.compile(rf"(?:the |an? )?(?:{pattern})(?= |$)"), licence) for pattern, licence in NAMES]
+THING = r"project|software|program|library|package|code|work|files?|repository|document|documentation|module|plugin|tool|app|application|content|contents|product|component|framework|book|text|article|dataset|data|material|site|website|crate|gem"
+SPDX = re.compile(r"spdx licen[cs]e identifier ")
+NOTICE = re.compile(
+    rf"(?:(?:(?:this|the|all|our|its|any) )?(?:\w+ ){{0,4}}?(?:{THING}) (?:is|are) (?:free software |open source |also |hereby |dual |both |and )*)?"
+    r"(?:made )?(?:licen[cs]ed|released|distributed|available|published|provided|offered|covered|governed) (?:under|by) (?:(?:the )?terms(?: and conditions)? of )?(?:either |both )?")
+#: What may follow the names of a notice.
+FOLLOWS = re.compile(r"(?: (?:see|for|as|which|that|please|found|included|in|with|copyright|c|a copy|https?|at your option|unless)(?: .*)?)?$")
+#: Cheap test for texts and units that may have a notice.
+HINT = re.compile(r"spdx|(?:licen[cs]ed|released|distributed|available|published|provided|offered|covered|governed)\s+(?:\W*\s)?(?:under|by)\s", re.IGNORECASE)
+NOTICE_OPENS = re.compile(rf"^(?:licen[cs]ed|released|distributed|available)|(?:^| )(?:{THING})(?: is| are|$)")
+#: Units, and characters, that a notice runs over at most.
+MOST_UNITS, MOST_NOTICE = 4, 600
+
+
+def noticed(words: str) -> list[str]:
+    """Identifiers of the licences that an SPDX line or a notice in normalised words names; none if it is neither."""
+    spdx = SPDX.match(words)
+    if not (head := spdx or NOTICE.match(words)):
+        return []
+    at, found = head.end(), []
+    while True:
+        # The longest name that stands here.
+        own = max(((m.end(), licence) for p, licence in NAMED if (m := p.match(words, at))), key=lambda x: x[0], default=None)
+        if own is None:
+            return []
+        at = own[0]
+        found.append(f"{'spdx' if spdx else 'notice'} {own[1]}")
+        more = re.compile(r" (?:or|and)(?: under)? ").match(words, at)
+        if more is None:
+            return found if FOLLOWS.match(words, at) else []
+        at = more.end()
+
+
+#: Sentences above keep their identifiers and rules.
+KNOWN = {" ".join(re.findall(r"[^\W_]+", x.lower())) for x in SENTENCES.values()}
+MORE = [x for x in MORE if " ".join(re.findall(r"[^\W_]+", x[0].lower())) not in KNOWN]
+SENTENCES |= {text: text for text, _, _ in MORE}
+RULES += [(licence, rule, [text]) for text, licence, rule in MORE]
+RULES += [(licence, kind, [f"{kind} {licence}"]) for licence in sorted({x for _, x in NAMES}) for kind in ("spdx", "notice")]
+
 #: Units end at line ends, and after a sentence mark before white space.
 UNIT = re.compile(r"\n+|(?<=[.!?;:])\s+")
 WORD = re.compile(r"[^\W_]+")
@@ -125,6 +212,7 @@ class Sentences:
         """(identifier, first unit, last unit) in order. The longest sentence that starts with a unit is taken."""
         units, found, i = UNIT.split(text), [], 0
         spelled: dict[int, str] = {}
+        hinted = bool(HINT.search(text))
 
         def words(k: int) -> str:
             if k not in spelled:
@@ -149,6 +237,17 @@ class Sentences:
             if best:
                 found.append(best)
                 i = best[2]
+            elif hinted and head and ("spdx" in words(i) or " under" in words(i) + " " or " by" in words(i) + " " or NOTICE_OPENS.search(words(i))):
+                joined, last = "", None
+                for k in range(i, min(i + MOST_UNITS, len(units))):
+                    joined = f"{joined} {words(k)}".strip()
+                    if len(joined) > MOST_NOTICE:
+                        break
+                    if words(k) and (own := noticed(joined)):
+                        last = own, k
+                if last:
+                    found.extend((x, i, last[1]) for x in last[0])
+                    i = last[1]
             i += 1
         return found
 

@@ -40,6 +40,26 @@ def test_order_distance_and_repeats():
     assert names("We are released under the MIT License.") == []
 
 
+def test_notices_and_spdx_lines():
+    of = lambda text: [x for x, _ in names(text)]
+    assert of("This project is licensed under the MIT License.") == of("Licensed under the MIT License (see LICENSE)") == ["MIT"]
+    assert of("This project is licensed under the MIT License - see the LICENSE file for details.") == ["MIT"]
+    assert of("// SPDX-License-Identifier: GPL-2.0-or-later\nint x;") == ["GPL-2.0-or-later"]
+    assert of("# SPDX-License-Identifier: MIT OR Apache-2.0") == ["MIT", "Apache-2.0"]
+    assert of("SPDX-License-Identifier: LGPL-2.1-only") == ["LGPL-2.1-only"]
+    assert of("The software is released under the terms of the GNU Affero General Public License, version 3.") == ["AGPL-3.0-only"]
+    assert of("Licensed under GPLv2 or later.") == ["GPL-2.0-or-later"]
+    assert of("This program is licensed under the GNU General Public License version 2 only.") == ["GPL-2.0-only"]
+    assert of("Distributed under the Boost Software License, Version 1.0.") == ["BSL-1.0"]
+    assert of("This code is made available under\nthe Eclipse Public License v2.0.") == ["EPL-2.0"]
+    assert of("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.") == ["CC-BY-ND-4.0"]
+    assert of("Licensed under CC BY-ND 4.0.") == ["CC-BY-ND-4.0"]
+    grant = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    assert of(wrapped(grant)) == ["LGPL-2.1-or-later"]
+    assert of("                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989") == ["GPL-2.0-only"]
+    assert of("This project is not licensed under the MIT License.") == of("Released under the moon.") == of("We talk of MIT.") == []
+
+
 def test_recognition_against_all_spans():
     """The longest run of units that spells a sentence, from left to right."""
     rng = random.Random(3)
