@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from snapcat.llm import bpe, decontaminate, filteraudit, importance, langid, licenses, quality, secrets, sharding, simhash, substring, tokencount
+from snapcat.llm import bpe, decontaminate, filteraudit, importance, langid, licenses, puquality, quality, secrets, sharding, simhash, substring, tokencount
 
-MODULES = (sharding, langid, secrets, tokencount, quality, bpe, licenses, decontaminate, substring, simhash, filteraudit, importance)
+MODULES = (sharding, langid, secrets, tokencount, quality, bpe, licenses, decontaminate, substring, simhash, puquality, filteraudit, importance)
 
 
 def all_queries() -> dict:
