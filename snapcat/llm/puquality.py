@@ -5,14 +5,16 @@ With p as the share of good texts in it, what the positives cost as negatives is
 
     p * mean over P of l(z)  +  max(0,  mean over U of l(-z)  -  p * mean over P of l(-z))
 
-with the logistic loss l(z) = log(1 + exp(-z)). The second term, the risk on bad texts, cannot be negative; where it
-comes out below zero, a step makes it larger instead of fitting on. For a score z that is linear in its weights the risk without
-the maximum is convex, so Newton steps find its minimum in a few passes over all rows: every step is a sum over rows
-of the loss, its gradient and curvature, ``WIDTH`` * ``WIDTH`` numbers a task, added up by row of the matrix. Nothing is sampled.
+with the logistic loss l(z) = log(1 + exp(-z)). The second term, the risk on bad texts, cannot be negative; the maximum keeps it
+from being fitted below zero. For a score z that is linear in its weights l(z) - l(-z) = -z, so the whole is the larger of two convex
+functions. The maximum is smoothed over ``SMOOTH``, and Newton steps, halved where they go too far, find the one minimum in a
+few passes over all rows. Every pass is a sum over rows of the losses, gradients and curvatures: 2 * ``WIDTH`` ** 2 numbers a task, added up
+by row of the matrices. Nothing is sampled.
 
 The share p is estimated by best bin estimation: above any threshold of the score the share of U is at least p
 times the share of P, and where no bad text scores as high the two are equal. The threshold with the least upper bound of
-their ratio gives p. Estimating p and fitting take turns ``ROUNDS`` times.
+their ratio gives p. The score is fitted to half of the rows, by a hash of their features, and the shares are those of the other half, where
+trusted positives score no higher than other good texts. Fitting and estimating take turns ``ROUNDS`` times; the last fit is to all rows.
 
 A text is described by shares between 0 and 1 (``FEATURES``): of kinds of characters, words and lines, and of what repeats. Each
 becomes ``KNOTS`` hat functions, so that a weight is learnt for every height of it. The score is 1 / (1 + exp(-z)), which estimates
@@ -40,9 +42,9 @@ from snapcat.session import settle
 
 #: Predicted good from this score on.
 GOOD = 0.7
-KNOTS, ROUNDS, STEPS, RIDGE = 7, 3, 12, 3e-3
-#: Thresholds of the score that are tried; the confidence of the bound, and how much it weighs against the ratio.
-BINS, CONFIDENCE, CAUTION = 1000, 0.1, 2.0
+KNOTS, ROUNDS, STEPS, RIDGE, SMOOTH = 7, 3, 25, 3e-3, 0.03
+#: Thresholds of the score that are tried, and the confidence of the bound.
+BINS, CONFIDENCE = 1000, 0.1
 
 FEATURES = ("words", "word_length", "distinct", "most_frequent", "repeats_last", "pairs_repeated", "capital_letters", "capital_words", "digits", "ends", "marks", "symbols",
             "bare_words", "odd_ends", "other_bytes", "line_words", "lines_repeated", "lines_unended")
@@ -117,24 +119,24 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * z))
 
 
-#: Rows of what a pass sums: numbers and losses, three gradients, and the curvature.
-LOSSES, TOGETHER = 0, 4
+#: Rows of what a pass sums: numbers and losses, three gradients, the curvature of P, that of U.
+LOSSES, OF_P, OF_U = 0, 4, 4 + WIDTH
 
 
 def pass_over(rows: DataFrame, weights: np.ndarray) -> np.ndarray:
-    """Sums over all rows: [0] number and loss of P as good, as bad, of U as bad; [1:4] their gradients; [4:] the curvature of U."""
+    """Sums over all rows: [0] numbers of P and U, loss of P as good, as bad, of U as bad; [1:4] their gradients; then the curvatures."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((TOGETHER + WIDTH, WIDTH))
+        total = np.zeros((OF_U + WIDTH, WIDTH))
         for batch in batches:
-            x, positive = matrix(batch)
+            x, p = matrix(batch)
             z = x @ weights
-            s, p = sigmoid(z), positive
+            s = sigmoid(z)
             total[LOSSES, :5] += [p.sum(), len(p), softplus(-z[p]).sum(), softplus(z[p]).sum(), softplus(z).sum()]
-            total[1] += (s[p] - 1) @ x[p]
-            total[2] += s[p] @ x[p]
-            total[3] += s @ x
-            total[TOGETHER:] += (x * (s * (1 - s))[:, None]).T @ x
+            total[1:4] += [(s[p] - 1) @ x[p], s[p] @ x[p], s @ x]
+            curved = x * (s * (1 - s))[:, None]
+            total[OF_P:OF_U] += curved[p].T @ x[p]
+            total[OF_U:] += curved.T @ x
         yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(list(total))], ["k", "sums"])
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +148,7 @@ def pass_over(rows: DataFrame, weights: np.ndarray) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(list(held.values()), pa.list_(pa.float64()))], ["k", "sums"])
 
     kinds = "k int, sums array<double>"
-    out = np.zeros((TOGETHER + WIDTH, WIDTH))
+    out = np.zeros((OF_U + WIDTH, WIDTH))
     for r in rows.mapInArrow(own, kinds).repartition("k").mapInArrow(added, kinds).collect():
         out[r.k] = r.sums
     return out
@@ -158,22 +160,23 @@ def fit(rows: DataFrame, prior: float, weights: np.ndarray) -> np.ndarray:
     ridge = RIDGE * np.append(0, np.ones(WIDTH - 1))
     for _ in range(STEPS):
         sums = pass_over(rows, weights)
-        n_p, n_u, good, bad, all_bad = sums[LOSSES, :5]
+        n_p, n_u, good, as_bad, all_bad = sums[LOSSES, :5]
         if not n_p:
             return weights
-        below = all_bad / n_u - prior * bad / n_p
-        risk = prior * good / n_p + max(0.0, below) + 0.5 * (ridge * weights**2).sum()
+        bad = all_bad / n_u - prior * as_bad / n_p
+        risk = prior * good / n_p + SMOOTH * softplus(bad / SMOOTH) + 0.5 * (ridge * weights**2).sum()
         if risk >= least:
-            # Too far: half as far from the best.
             step = step / 2
-            weights = best + step
-            continue
-        gain, best, least = least - risk, weights, risk
-        if gain < 1e-5 * least:
-            break
-        rise = sums[3] / n_u - prior * sums[2] / n_p
-        slope = prior * sums[1] / n_p + rise + ridge * weights if below >= 0 else -rise
-        step = -np.linalg.solve(sums[TOGETHER:] / n_u + np.diag(ridge + 1e-6), slope)
+        else:
+            gain, best, least = least - risk, weights, risk
+            if gain < 1e-6 * least:
+                break
+            # How much of the second term counts: all where it is clearly above zero, none where it is clearly below.
+            part, of_p = sigmoid(bad / SMOOTH), prior / n_p
+            rise = sums[3] / n_u - of_p * sums[2]
+            slope = of_p * sums[1] + part * rise + ridge * weights
+            curve = (1 - part) * of_p * sums[OF_P:OF_U] + part * sums[OF_U:] / n_u + part * (1 - part) / SMOOTH * np.outer(rise, rise)
+            step = -np.linalg.solve(curve + np.diag(ridge + 1e-6), slope)
         weights = best + step
     return best
 
@@ -194,9 +197,11 @@ def estimate_prior(rows: DataFrame, weights: np.ndarray) -> float:
     for r in rows.mapInArrow(count, "bin int, p long, u long").groupBy("bin").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).collect():
         total[:, r.bin] = r.p, r.u
     n_p, n_u = total.sum(1)
+    if not n_p:
+        return 0.5
     # Shares at or above each threshold.
     p, u = (np.cumsum(t[::-1])[::-1] / n for t, n in zip(total, (n_p, n_u), strict=True))
-    slack = CAUTION * (np.sqrt(np.log(4 / CONFIDENCE) / 2 / n_u) + np.sqrt(np.log(4 / CONFIDENCE) / 2 / n_p))
+    slack = np.sqrt(np.log(4 / CONFIDENCE) / 2 / n_u) + np.sqrt(np.log(4 / CONFIDENCE) / 2 / n_p)
     some = p > 0
     at = np.argmin((u[some] + slack) / p[some])
     return float(np.clip(u[some][at] / p[some][at], 0.01, 0.99))
@@ -215,10 +220,11 @@ def learn(rows: DataFrame) -> Model:
     weights, prior = np.zeros(WIDTH), None
     if rows.where("positive").isEmpty():
         return Model(weights, prior)
+    first = F.pmod(F.xxhash64("x"), F.lit(2)) == 0
     prior = 0.5
     for _ in range(ROUNDS):
-        weights = fit(rows, prior, weights)
-        prior = estimate_prior(rows, weights)
+        weights = fit(rows.where(first), prior, weights)
+        prior = estimate_prior(rows.where(~first), weights)
     return Model(fit(rows, prior, weights), prior)
 
 
