@@ -143,6 +143,11 @@ def graph_candidates(junctions: DataFrame) -> DataFrame:
     return junctions.where("is_junction").select("db_id", "table_name", "schema_name")
 
 
+def graph_components(fks: DataFrame) -> DataFrame:
+    """Tables on cycles of foreign keys, with their component; written, because several parts of a document read it."""
+    return settle(strongly_connected(graph_edges(fks)))
+
+
 def strongly_connected(edges: DataFrame) -> DataFrame:
     """Groups of two or more tables that reach each other through foreign keys.
 

@@ -517,9 +517,29 @@ def doc_graph(m: Model) -> DataFrame:
         fr.object_list(nodes, NODE, _lists(docs, 0, "nodes")),
         fr.object_list(edges, EDGE, _lists(docs, 1, "edges")),
         fr.run_of_values(candidates, ",", fr.inline_head("junction_table_candidates")),
+        *_component_lists(relations.graph_components(m["foreign_keys"]).withColumn("path", path)),
     ])
 
 
+def _component_lists(members: DataFrame) -> list[DataFrame]:
+    """Components as a list of lists of table names, in the order of their first tables; nothing where a database has none.
+
+    A component is a run of fragments, however many tables it has.
+    """
+    group = [*fr.DOC, "component_schema", "component_table"]
+    first = members.groupBy(*group).agg(F.min(F.struct("schema_name", "table_name")).alias("first"))
+    first = settle(first.select(*group, _pair("first.schema_name", "first.table_name").alias("k1")))
+    counts = first.groupBy(*fr.DOC).agg(F.count("*").cast("string").alias("n"))
+    values = members.join(first, group).select(
+        *fr.DOC, F.lit(3).alias("section"), "k1", F.lit(0.0).alias("ord"), _pair("schema_name", "table_name").alias("k2"),
+        toon.quoted(F.col("table_name")).alias("value"),
+    )
+    # The head has an empty key, which comes before any component.
+    head = F.concat(F.lit("strongly_connected_components:["), F.col("n"), F.lit("]:"))
+    item = F.concat(F.lit(f"\n{toon.INDENT}- ["), F.col("n").cast("string"), F.lit("]: "))
+    return [fr.whole(counts, head, 3), fr.run_of_values(values, ",", item)]
+
+
 def doc_domains(m: Model) -> DataFrame:
     """Domains as list items; the tables of one are a run, however many they are."""
     path = database_path("db.domains.toon")

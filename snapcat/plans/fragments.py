@@ -96,6 +96,42 @@ def object_list(rows: DataFrame, fields: Sequence[Field], docs: DataFrame | None
     return heads.unionByName(body.select(*fragment(text, F.col("section"), F.col("k1"), F.col("ord"), F.col("k2"))))
 
 
+def mixed_list(rows: DataFrame, fields: Sequence[Field]) -> DataFrame:
+    """Lists at the root of documents whose elements are scalars, lists of scalars or objects.
+
+    ``rows`` has ``GROUP``, the order columns, ``element`` (scalar, list or object), ``scalar`` (in text form), ``items``
+    (texts of a list's scalars) and the members of objects. The form depends on all elements of a list: scalars alone
+    stand in one line, objects with the same members in a table, anything else one element after a dash each.
+    """
+    places = [*GROUP, "k1", "ord", "k2"]
+    own = ["element", "scalar", "items"]
+    shaped = toon.with_texts(rows, fields, *places, *own).select(*places, *own, *toon.shape_columns(fields, 1))
+    is_object = F.col("element") == "object"
+    place = F.struct("k1", "ord", "k2")
+    item = toon.Members()
+    # No text is rendered for the facts.
+    present = rows.select(*places, "element", toon.presence(item, fields).alias("mask"), toon.holds_list(item, fields).alias("nested"))
+    facts = present.groupBy(*GROUP).agg(
+        F.count("*").alias("n"), F.count_if(F.col("element") == "scalar").alias("scalars"), F.count_if(is_object).alias("objects"),
+        F.min(F.when(is_object, F.col("mask"))).alias("low"), F.max(F.when(is_object, F.col("mask"))).alias("high"),
+        F.bool_or(is_object & F.col("nested")).alias("any_list"), F.min(place).alias("first"),
+    )
+    tabular = F.coalesce(toon.is_tabular(F.col("low"), F.col("high"), F.col("any_list")), F.lit(False)) & (F.col("n") == F.col("objects"))
+    facts = facts.select(*GROUP, "n", "low", "first", (F.col("n") == F.col("scalars")).alias("inline"), tabular.alias("tabular"))
+    head = F.concat(toon.list_head(F.col("list_name"), F.col("n"), F.col("tabular"), F.col("low"), fields), F.when(F.col("inline"), " ").otherwise(""))
+    heads = facts.select(*fragment(F.concat(F.lit("\n"), head), F.col("section"), order=FIRST))
+    dash = F.lit(f"\n{INDENT}- ")
+    text = (
+        F.when(F.col("inline"), F.concat(F.when(place == F.col("first"), "").otherwise(","), F.col("scalar")))
+        .when(F.col("tabular"), F.concat(F.lit("\n" + INDENT), F.col("row_text")))
+        .when(is_object, F.concat(F.lit("\n"), F.col("dash_text")))
+        .when(F.col("element") == "list", F.concat(dash, toon.texts_list(F.col("items"))))
+        .otherwise(F.concat(dash, F.col("scalar")))
+    )
+    body = shaped.join(facts.drop("n", "low"), GROUP)
+    return heads.unionByName(body.select(*fragment(text, F.col("section"), F.col("k1"), F.col("ord"), F.col("k2"))))
+
+
 RUN = [*DOC, "section", "k1"]
 
 

@@ -96,6 +96,33 @@ def event_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fr.object_list(rows, EVENT).select(*COLS)
 
 
+TURN = (toon.Field("turn", "integer"), toon.Field("text"), toon.Field("long", "bool", "false"))
+#: The lists of a conversation: all turns, and those of each role.
+TURN_LISTS = ("turns", "user", "assistant", "system")
+
+
+def mixed_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as lists of their turns: users' turns are objects, others the lines of the text, or the text where it has one."""
+    lines = F.split("text", "\n")
+    several = (F.col("role") != "user") & (F.size(lines) > 1)
+    rows = read(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("db_id"),
+        F.concat(F.lit("conversation/"), F.col("conv_id").cast("string")).alias("path"),
+        F.explode(F.array(F.lit("turns"), F.col("role"))).alias("list_name"),
+        F.lit("").alias("k1"),
+        F.col("turn").cast("double").alias("ord"),
+        F.col("turn").cast("string").alias("k2"),
+        F.when(F.col("role") == "user", "object").when(several, "list").otherwise("scalar").alias("element"),
+        toon.scalar_text(F.col("text"), "string").alias("scalar"),
+        F.transform(lines, toon.quoted).alias("items"),
+        "turn",
+        "text",
+        (F.length("text") > 400).alias("long"),
+    )
+    section = F.array_position(F.array(*map(F.lit, TURN_LISTS)), F.col("list_name")).cast("int")
+    return fr.mixed_list(rows.withColumn("section", section), TURN).select(*COLS)
+
+
 def docs_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One document per type of event: fragments written, assembled to text, written, and read back whole."""
     rows = read(spark, sf_dir, "events").select(
@@ -142,6 +169,7 @@ QUERIES = {
     "schema_list": schema_lists,
     "toon_object": number_objects,
     "toon_table": event_lists,
+    "toon_mixed": mixed_lists,
     "docs_text": docs_text,
     "catalog_docs": catalog_docs,
 }
@@ -493,7 +521,13 @@ def _doc_parts() -> dict[str, tuple[str, tuple[str, ...]]]:
             "SELECT * FROM " + _run_sql(
                 f"""SELECT db_id, db_id || '/db.relationships.toon' AS path, 2 AS section, '' AS k1, 0 AS ord,
                 table_name || {SEP} || schema_name AS k2, {_quoted('table_name')} AS value FROM junctions WHERE is_junction""", ",",
-                f"{NL} || 'junction_table_candidates:' || {HEAD}")]), ("pg_database", *facts.JUNCTIONS)),
+                f"{NL} || 'junction_table_candidates:' || {HEAD}"),
+            _whole("'strongly_connected_components:[' || n || ']:'", """SELECT db_id, db_id || '/db.relationships.toon' AS path, count(DISTINCT first) AS n
+                FROM member WHERE component_size >= 2 GROUP BY db_id""", 3),
+            "SELECT * FROM " + _run_sql(
+                f"""SELECT db_id, db_id || '/db.relationships.toon' AS path, 3 AS section, first[1] || {SEP} || first[2] AS k1, 0 AS ord,
+                v[1] || {SEP} || v[2] AS k2, {_quoted('v[2]')} AS value FROM member WHERE component_size >= 2""", ",",
+                f"{NL} || '  - [' || n || ']: '")]), ("pg_database", *facts.JUNCTIONS, *facts.MEMBERS)),
         "domains": (" UNION ALL ".join([
             _whole("'domains:[' || n || ']:'", """SELECT db_id, db_id || '/db.domains.toon' AS path,
                    (SELECT count(DISTINCT domain) FROM d_tables t WHERE t.db_id = d.db_id) AS n FROM pg_database d"""),
@@ -523,9 +557,13 @@ def _arguments_sql() -> str:
             f"WHEN 2 THEN '{{data_type,mode}}:' || chr(10) || {joined(row2)} ELSE ':' || chr(10) || {joined(dash)} END")
 
 
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1) if facts.MEMBERS[0] in sql else sql
+
+
 def oracles() -> dict[str, str]:
     parts = _doc_parts()
-    out = {f"doc_{kind}": _sql(body, *needs) for kind, (body, needs) in parts.items()}
+    out = {f"doc_{kind}": _recursive(_sql(body, *needs)) for kind, (body, needs) in parts.items()}
     out["doc_comments_redacted"] = _sql(_comments_sql(False), "f_tables", "f_columns", DIRS)
     out["doc_paths"] = _sql(f"SELECT * FROM {_tdoc('structure')}", "f_tables", DIRS)
     out["schema_list"] = _sql(
@@ -539,6 +577,22 @@ def oracles() -> dict[str, str]:
     out["toon_table"] = "SELECT * FROM " + _list_sql(
         f"""SELECT user_id AS db_id, 'user/' || user_id AS path, {_place(0, 'events', chr(39) * 2, 'CAST(event_id AS VARCHAR)')}, event_type,
         {', '.join(f'{e} AS {n}' for n, e in EVENT_LISTS.items())} FROM events""", EVENT)
+    rows = f"""SELECT db_id, path, list_position({list(TURN_LISTS)}, list_name)::INTEGER AS section, list_name, k2, turn, text, long, element, {_quoted('text')} AS scalar
+        FROM (SELECT conv_id AS db_id, 'conversation/' || conv_id AS path, unnest(['turns', role]) AS list_name, CAST(turn AS VARCHAR) AS k2, turn, text,
+        length(text) > 400 AS long, CASE WHEN role = 'user' THEN 'object' WHEN contains(text, chr(10)) THEN 'list' ELSE 'scalar' END AS element FROM conversations)"""
+    items = f"""'[' || len(string_split(text, chr(10))) || ']: ' || array_to_string(list_transform(string_split(text, chr(10)), lambda p: {_quoted('p')}), ',')"""
+    out["toon_mixed"] = f"""WITH e AS MATERIALIZED ({rows}),
+    form AS MATERIALIZED (SELECT db_id, path, section, list_name, count(*) AS n, min(turn) AS first, bool_or(long) AS long,
+        CASE WHEN bool_and(element = 'scalar') THEN 'inline' WHEN bool_and(element = 'object') AND (bool_and(long) OR NOT bool_or(long)) THEN 'table'
+        ELSE 'dash' END AS form FROM e GROUP BY ALL)
+    SELECT db_id, path, section, '' AS k1, '' AS k2, chr(10) || list_name || ':[' || n || ']' ||
+        CASE form WHEN 'inline' THEN ': ' WHEN 'table' THEN CASE WHEN long THEN '{{turn,text,long}}:' ELSE '{{turn,text}}:' END ELSE ':' END AS text FROM form
+    UNION ALL SELECT e.db_id, e.path, e.section, '', k2, CASE
+        WHEN form = 'inline' THEN CASE WHEN turn = first THEN '' ELSE ',' END || scalar
+        WHEN form = 'table' THEN chr(10) || '  ' || turn || ',' || scalar || CASE WHEN e.long THEN ',true' ELSE '' END
+        WHEN element = 'object' THEN chr(10) || '  - ' || chr(10) || '    turn: ' || turn || chr(10) || '    text: ' || scalar || CASE WHEN e.long THEN chr(10) || '    long: true' ELSE '' END
+        WHEN element = 'list' THEN chr(10) || '  - ' || {items} ELSE chr(10) || '  - ' || scalar END
+    FROM e JOIN form USING (db_id, path, section, list_name)"""
     by_type = _list_sql(
         f"""SELECT CAST(0 AS BIGINT) AS db_id, 'type/' || event_type AS path, {_place(0, 'events', chr(39) * 2, 'CAST(event_id AS VARCHAR)')}, event_type,
         {', '.join(f'{e} AS {n}' for n, e in EVENT_LISTS.items())} FROM events""", EVENT)
@@ -551,7 +605,7 @@ def oracles() -> dict[str, str]:
         ctes += [n for n in needs if n not in ctes]
     rank = {c: i for i, c in enumerate(ctes)}
     ctes.sort(key=lambda x: ("(" in x, rank[x]))
-    out["catalog_docs"] = _sql(" UNION ALL ".join(
+    out["catalog_docs"] = _recursive(_sql(" UNION ALL ".join(
         f"SELECT db_id, '{kind}' AS kind, count(*) AS fragment_count, CAST(sum(length(text)) AS BIGINT) AS characters FROM ({body}) GROUP BY db_id"
-        for kind, (body, _) in parts.items()), *ctes)
+        for kind, (body, _) in parts.items()), *ctes))
     return out

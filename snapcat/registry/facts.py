@@ -332,6 +332,20 @@ FLAGS = (*JUNCTIONS, COUNTS_CTE, FLAGS_CTE)
 DOMAINS = ("f_tables", DOMAIN_CTE)
 
 
+#: Members of strongly connected components; the statement must say WITH RECURSIVE.
+MEMBERS = (
+    """reach(db_id, a, b) AS (
+      SELECT DISTINCT db_id, (from_schema, from_table), (to_schema, to_table) FROM f_foreign_keys
+        WHERE (from_schema, from_table) <> (to_schema, to_table)
+      UNION
+      SELECT r.db_id, r.a, (f.to_schema, f.to_table) FROM reach r JOIN f_foreign_keys f
+        ON f.db_id = r.db_id AND f.from_schema = r.b[1] AND f.from_table = r.b[2])""",
+    "mutual AS (SELECT x.db_id, x.a, x.b FROM reach x JOIN reach y ON x.db_id = y.db_id AND x.a = y.b AND x.b = y.a)",
+    """member AS (SELECT db_id, a AS v, max(b) AS root, min(b) AS first, count(*) FILTER (WHERE a <> b) + 1 AS component_size
+      FROM mutual GROUP BY db_id, a)""",
+)
+
+
 def _sem(condition: str) -> str:
     return _sql(f"SELECT db_id, schema_name, table_name, column_name FROM f_columns WHERE {condition}", "f_columns")
 
@@ -382,17 +396,8 @@ def oracles() -> dict[str, str]:
             array_to_string(to_columns, ',') AS to_columns, constraint_name FROM f_foreign_keys""", "f_foreign_keys"),
         "graph_candidates": _sql("SELECT db_id, table_name, schema_name FROM junctions WHERE is_junction", *JUNCTIONS),
         "fk_scc": _sql(
-            """, reach(db_id, a, b) AS (
-              SELECT DISTINCT db_id, (from_schema, from_table), (to_schema, to_table) FROM f_foreign_keys
-                WHERE (from_schema, from_table) <> (to_schema, to_table)
-              UNION
-              SELECT r.db_id, r.a, (f.to_schema, f.to_table) FROM reach r JOIN f_foreign_keys f
-                ON f.db_id = r.db_id AND f.from_schema = r.b[1] AND f.from_table = r.b[2]),
-            mutual AS (SELECT x.db_id, x.a, x.b FROM reach x JOIN reach y ON x.db_id = y.db_id AND x.a = y.b AND x.b = y.a),
-            member AS (SELECT db_id, a AS v, max(b) AS root, count(*) FILTER (WHERE a <> b) + 1 AS component_size
-                       FROM mutual GROUP BY db_id, a)
-            SELECT db_id, root[1] AS component_schema, root[2] AS component_table, v[1] AS schema_name, v[2] AS table_name, component_size
-            FROM member WHERE component_size >= 2""", "f_foreign_keys").replace("WITH ", "WITH RECURSIVE ", 1),
+            """SELECT db_id, root[1] AS component_schema, root[2] AS component_table, v[1] AS schema_name, v[2] AS table_name, component_size
+            FROM member WHERE component_size >= 2""", "f_foreign_keys", *MEMBERS).replace("WITH ", "WITH RECURSIVE ", 1),
         **{f"tag_{n}": _sql(f"SELECT db_id, schema_name, table_name FROM flags WHERE {n}", *FLAGS)
            for n in ("core", "junction", "lookup", "audit", "config", "log")},
         "table_tags": _sql("SELECT db_id, schema_name, table_name, tags FROM tagged", *FLAGS),
