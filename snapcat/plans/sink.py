@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from snapcat.plans import files
 from snapcat.plans import fragments as fr
 from snapcat.plans.artifacts import snapshot_fragments
 from snapcat.plans.snapshot import SnapshotConfig, snapshot
@@ -34,13 +34,8 @@ def write_docs(spark: SparkSession, fragment_root: str, root: str) -> None:
 
 
 def write_text(docs: DataFrame, root: str) -> None:
-    """One text file per document part, in folders by database, path and part.
-
-    The text writer ends every file with a line break; less that, the files of
-    a document in part order give its text.
-    """
-    keys = ["db_id", "path", "part"]
-    docs.repartition(*(F.col(k) for k in keys)).write.mode("overwrite").partitionBy(*keys).text(root)
+    """One text file per document, at its path."""
+    files.write_files(docs, root)
 
 
 def generate(raw: Mapping[str, DataFrame], cfg: SnapshotConfig, root: str) -> None:

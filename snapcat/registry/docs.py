@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from snapcat.functions import toon
 from snapcat.operators import overview
 from snapcat.plans import artifacts as art
+from snapcat.plans import files
 from snapcat.plans import fragments as fr
 from snapcat.plans import sink
 from snapcat.plans.artifacts import Model, snapshot_fragments
@@ -80,9 +81,9 @@ EVENT = (toon.Field("event_type"), toon.Field("value", "double", "null"), toon.F
 EVENT_LISTS = {"props": "nullif(props, '{\"k\": 1}')", "value": "CASE WHEN user_id % 2 = 0 THEN value END"}
 
 
-def event_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One list of events per user: table form where all events of a user have the same members."""
-    rows = read(spark, sf_dir, "events").select(
+def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of every user as elements of a list."""
+    return read(spark, sf_dir, "events").select(
         F.col("user_id").alias("db_id"),
         F.concat(F.lit("user/"), F.col("user_id").cast("string")).alias("path"),
         F.lit(0).alias("section"),
@@ -93,7 +94,11 @@ def event_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_type",
         *(F.expr(e).alias(n) for n, e in EVENT_LISTS.items()),
     )
-    return fr.object_list(rows, EVENT).select(*COLS)
+
+
+def event_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One list of events per user: table form where all events of a user have the same members."""
+    return fr.object_list(user_events(spark, sf_dir), EVENT).select(*COLS)
 
 
 TURN = (toon.Field("turn", "integer"), toon.Field("text"), toon.Field("long", "bool", "false"))
@@ -142,6 +147,14 @@ def docs_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{root}/docs")
 
 
+def docs_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One text file per user, at its path below the shared folder, read back."""
+    places = fr.object_list(user_events(spark, sf_dir), EVENT)
+    root = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    files.write_files(fr.assemble(places), root)
+    return files.read_files(root, spark)
+
+
 def catalog_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A full run from the raw relations: fragments and characters per database and kind.
 
@@ -170,6 +183,7 @@ QUERIES = {
     "toon_object": number_objects,
     "toon_table": event_lists,
     "toon_mixed": mixed_lists,
+    "docs_files": docs_files,
     "docs_text": docs_text,
     "catalog_docs": catalog_docs,
 }
@@ -577,6 +591,11 @@ def oracles() -> dict[str, str]:
     out["toon_table"] = "SELECT * FROM " + _list_sql(
         f"""SELECT user_id AS db_id, 'user/' || user_id AS path, {_place(0, 'events', chr(39) * 2, 'CAST(event_id AS VARCHAR)')}, event_type,
         {', '.join(f'{e} AS {n}' for n, e in EVENT_LISTS.items())} FROM events""", EVENT)
+    by_user = _list_sql(
+        f"""SELECT user_id AS db_id, 'user/' || user_id AS path, {_place(0, 'events', chr(39) * 2, 'CAST(event_id AS VARCHAR)')}, event_type,
+        {', '.join(f'{e} AS {n}' for n, e in EVENT_LISTS.items())} FROM events""", EVENT)
+    out["docs_files"] = f"""SELECT path, substr(string_agg(text, '' ORDER BY CASE WHEN k2 = '' THEN -1 ELSE CAST(k2 AS BIGINT) END), 2) AS doc
+        FROM {by_user} GROUP BY path"""
     rows = f"""SELECT db_id, path, list_position({list(TURN_LISTS)}, list_name)::INTEGER AS section, list_name, k2, turn, text, long, element, {_quoted('text')} AS scalar
         FROM (SELECT conv_id AS db_id, 'conversation/' || conv_id AS path, unnest(['turns', role]) AS list_name, CAST(turn AS VARCHAR) AS k2, turn, text,
         length(text) > 400 AS long, CASE WHEN role = 'user' THEN 'object' WHEN contains(text, chr(10)) THEN 'list' ELSE 'scalar' END AS element FROM conversations)"""

@@ -1,8 +1,11 @@
 """Groups G and I: whole documents of one database, long documents, paths and sinks."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
+from snapcat.plans import files
 from snapcat.plans import fragments as fr
 from snapcat.plans import sink
 from snapcat.plans.artifacts import KINDS, Model
@@ -120,5 +123,31 @@ def test_sinks(spark, model, tmp_path):
     want = {**docs_of(model, "structure"), **docs_of(model, "sequences")}
     assert {r.path: r.doc for r in docs.collect()} == want
     sink.write_text(docs, str(tmp_path / "text"))
-    files = list((tmp_path / "text").rglob("*.txt"))
-    assert sorted(f.read_text() for f in files) == sorted(text + "\n" for text in want.values())
+    found = {str(f.relative_to(tmp_path / "text")): f.read_text() for f in (tmp_path / "text").rglob("*") if f.is_file() and not f.name.startswith("_")}
+    assert {p: t for p, t in found.items() if not p.rpartition("/")[2].startswith(".")} == want
+    counts = json.loads((tmp_path / "text/_SUCCESS").read_text())
+    assert counts == {"documents": len(want), "bytes": sum(len(t.encode()) for t in want.values())}
+
+
+def test_files_at_odd_paths(spark, tmp_path):
+    """Parts out of order, paths that point elsewhere, names that need care in addresses, empty and null documents, a second run."""
+    rows = [("a/b+c %d.toon", 1, "two\n"), ("a/b+c %d.toon", 0, "one "), ("../x/./y", 0, "é"), ("/q//r", 0, ""), ("n", 0, None), (None, 0, "z")]
+    docs = spark.createDataFrame(rows, "path string, part int, doc string")
+    for _ in range(2):
+        files.write_files(docs, str(tmp_path / "out"))
+    want = {"a/b+c %d.toon": "one two\n", "%2E%2E/x/%2E/y": "é", "q/r": ""}
+    on_disk = {str(f.relative_to(tmp_path / "out")): f.read_text() for f in (tmp_path / "out").rglob("*") if f.is_file() and f.name[0] not in "_."}
+    assert on_disk == want
+    assert not [f for f in (tmp_path / "out").rglob(".*") if not f.name.endswith(".crc")]
+    # Spark's reader has no row for an empty file.
+    assert {r.path: r.doc for r in files.read_files(str(tmp_path / "out"), spark).collect()} == {p: t for p, t in want.items() if t}
+
+
+def test_failed_files_leave_no_mark(spark, tmp_path):
+    (tmp_path / "out/a").mkdir(parents=True)
+    (tmp_path / "out/a/b").write_text("a file where a folder is needed")
+    with pytest.raises(Exception):  # noqa: B017
+        files.write_files(spark.createDataFrame([("a/b/c", 0, "x")], files.SCHEMA), str(tmp_path / "out"))
+    assert not (tmp_path / "out/_SUCCESS").exists()
+    files.write_files(spark.createDataFrame([], files.SCHEMA), str(tmp_path / "none"))
+    assert json.loads((tmp_path / "none/_SUCCESS").read_text()) == {"documents": 0, "bytes": 0}
