@@ -111,8 +111,8 @@ def inline_list(values: Column, kind: str = "string") -> Column:
 class Field:
     """A named member of an object.
 
-    ``kind`` is string, bool, integer, double or strings (a list of strings);
-    ``omit`` names when the member is left out: never, null, empty or false.
+    ``kind`` is string, bool, integer, double, raw (in text form already), strings
+    (a list of strings) or raws (a list in text form); ``omit`` names when the member is left out: never, null, empty or false.
     ``source`` is the column it reads, the name itself by default.
     """
 
@@ -121,6 +121,10 @@ class Field:
     omit: str = "never"
     source: str | None = None
 
+    @property
+    def is_list(self) -> bool:
+        return self.kind in ("strings", "raws")
+
     def present(self, item: Column) -> Column:
         value = item[self.source or self.name]
         if self.omit == "never":
@@ -129,18 +133,21 @@ class Field:
             return value.isNotNull()
         if self.omit == "false":
             return F.coalesce(value, F.lit(False))
-        filled = F.size(value) > 0 if self.kind == "strings" else value != ""
+        filled = F.size(value) > 0 if self.is_list else value != ""
         return F.coalesce(filled, F.lit(False))
 
     def text(self, item: Column) -> Column:
         value = item[self.source or self.name]
-        if self.kind == "strings":
-            return inline_list(F.coalesce(value, F.array().cast("array<string>")))
+        if self.is_list:
+            items = F.coalesce(value, F.array().cast("array<string>"))
+            return inline_list(items) if self.kind == "strings" else texts_list(items)
+        if self.kind == "raw":
+            return F.coalesce(value, F.lit(NULL))
         return scalar_text(value, self.kind)
 
     def line(self, item: Column) -> Column:
         """``name: value``; a list follows the colon without a space."""
-        gap = ":" if self.kind == "strings" else ": "
+        gap = ":" if self.is_list else ": "
         return F.when(self.present(item), F.concat(F.lit(self.name + gap), self.text(item)))
 
 
@@ -175,7 +182,7 @@ def holds_list(item: Column, fields: Sequence[Field]) -> Column:
     """Whether a list member is present, which rules the table form out."""
     found = F.lit(False)
     for field in fields:
-        if field.kind == "strings":
+        if field.is_list:
             found = found | field.present(item)
     return found
 
@@ -187,7 +194,7 @@ def table_head(count: Column, mask: Column, fields: Sequence[Field]) -> Column:
 
 def table_row(item: Column, fields: Sequence[Field]) -> Column:
     """Comma row of the present members."""
-    return F.concat_ws(",", *(F.when(f.present(item), f.text(item)) for f in fields if f.kind != "strings"))
+    return F.concat_ws(",", *(F.when(f.present(item), f.text(item)) for f in fields if not f.is_list))
 
 
 def dash_item(item: Column, fields: Sequence[Field], indent: int) -> Column:
@@ -214,12 +221,12 @@ def shape_columns(fields: Sequence[Field], indent: int) -> list[Column]:
     mask, nested = F.lit(0), F.lit(False)
     for bit, (field, text) in enumerate(zip(fields, texts, strict=True)):
         mask = mask + F.when(text.isNotNull(), 1 << bit).otherwise(0)
-        if field.kind == "strings":
+        if field.is_list:
             nested = nested | text.isNotNull()
-    row = F.concat_ws(",", *(t for f, t in zip(fields, texts, strict=True) if f.kind != "strings"))
+    row = F.concat_ws(",", *(t for f, t in zip(fields, texts, strict=True) if not f.is_list))
     pad = INDENT * (indent + 1)
     members = F.concat_ws(
-        "", *(F.concat(F.lit(f"\n{pad}{f.name}{':' if f.kind == 'strings' else ': '}"), t) for f, t in zip(fields, texts, strict=True))
+        "", *(F.concat(F.lit(f"\n{pad}{f.name}{':' if f.is_list else ': '}"), t) for f, t in zip(fields, texts, strict=True))
     )
     dash = F.concat(F.lit(INDENT * indent + "- "), F.when(mask == 0, "{}").otherwise(members))
     return [mask.alias("mask"), nested.alias("nested"), row.alias("row_text"), dash.alias("dash_text")]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from snapcat.functions.toon import float_text, number_text
+from snapcat.operators import row_facts
 
 
 #: Characters of a value from which its digest is shuffled in its place.
@@ -37,15 +38,6 @@ def _group_text(field: T.StructField) -> Column:
     return value.cast("string")
 
 
-def _shown(value: Column, data_type: T.DataType) -> Column:
-    """A value of ``_group_text`` as it is shown."""
-    if _is_fractional(data_type):
-        return number_text(value.try_cast("double"))
-    if isinstance(data_type, T.TimestampType):
-        return F.timestamp_micros(value.try_cast("bigint")).cast("string")
-    return value
-
-
 def _short(text: Column) -> Column:
     """Text that stands for a value where only its identity counts: long values by digest and length."""
     digest = F.concat(F.lit("#"), F.sha2(text, 256), F.lit(":"), F.length(text).cast("string"))
@@ -85,11 +77,15 @@ def value_counts(df: DataFrame, cols: Sequence[str] | None = None, short: bool =
 
 
 def profile_columns(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
-    """Row count, null fraction, distinct count, smallest and largest value per column.
+    """Row count, null fraction, distinct count, smallest and largest value per column, in one scan.
 
-    ``exact=False`` estimates distinct counts in the same scan without a
-    shuffle of the values, the choice for very large tables.
+    Columns with a long text as an extreme are scanned once more. ``exact=False`` estimates distinct
+    counts without a shuffle of the values, the choice for very large tables.
     """
+    return row_facts.profile({(): df.select(*(f"`{c}`" for c in cols or df.columns))}) if exact else estimated_profile(df, cols)
+
+
+def estimated_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     fields = _fields(df, cols)
     aggregates = [F.count("*").alias("row_count")]
     for i, f in enumerate(fields):
@@ -97,51 +93,33 @@ def profile_columns(df: DataFrame, cols: Sequence[str] | None = None, exact: boo
         aggregates.append(F.count(value).alias(f"present_{i}"))
         if not _is_nested(f.dataType):
             aggregates += [F.min(value).alias(f"min_{i}"), F.max(value).alias(f"max_{i}")]
-        if not exact:
-            aggregates.append(F.approx_count_distinct(F.to_json(value) if _is_nested(f.dataType) else value).alias(f"distinct_{i}"))
+        aggregates.append(F.approx_count_distinct(F.to_json(value) if _is_nested(f.dataType) else value).alias(f"distinct_{i}"))
     one_row = df.agg(*aggregates)
 
     def entry(i: int, f: T.StructField) -> Column:
         nested = _is_nested(f.dataType)
         missing = F.col("row_count") - F.col(f"present_{i}")
-        parts = [
+        return F.struct(
             F.lit(f.name).alias("column_name"),
             F.lit(f.dataType.simpleString()).alias("data_type"),
             F.col("row_count"),
             F.when(F.col("row_count") > 0, missing / F.col("row_count")).alias("null_fraction"),
             (F.lit(None).cast("string") if nested else canonical_text(F.col(f"min_{i}"), f.dataType)).alias("min_value"),
             (F.lit(None).cast("string") if nested else canonical_text(F.col(f"max_{i}"), f.dataType)).alias("max_value"),
-        ]
-        if not exact:
-            parts.append(F.col(f"distinct_{i}").alias("distinct_count"))
-        return F.struct(*parts)
-
-    entries = one_row.select(F.inline(F.array(*(entry(i, f) for i, f in enumerate(fields)))))
-    if not exact:
-        return entries
-    distinct = value_counts(df, cols, short=True).groupBy("column_name").agg(F.count("*").alias("distinct_count"))
-    return entries.join(distinct, "column_name", "left").withColumn(
-        "distinct_count", F.coalesce("distinct_count", F.lit(0).cast("bigint"))
-    )
+            F.col(f"distinct_{i}").alias("distinct_count"),
+        )
+
+    return one_row.select(F.inline(F.array(*(entry(i, f) for i, f in enumerate(fields)))))
 
 
 def top_values(df: DataFrame, cols: Sequence[str], k: int) -> DataFrame:
     """The k most frequent values per column, ties by value.
 
-    The ranking keeps k rows per column in each task before its shuffle
-    (WindowGroupLimit), so the last step sees k rows per column and task.
+    The ranking keeps k rows per column in each task before its shuffle (WindowGroupLimit). Long texts
+    are counted by digest; the texts of the winners are looked up.
     """
-    value = F.col("value")
-    for kind in {f.dataType for f in _fields(df, cols) if _is_fractional(f.dataType) or isinstance(f.dataType, T.TimestampType)}:
-        names = [f.name for f in _fields(df, cols) if f.dataType == kind]
-        value = F.when(F.col("column_name").isin(*names), _shown(F.col("value"), kind)).otherwise(value)
-    order = Window.partitionBy("column_name").orderBy(F.col("n").desc(), "value")
-    return (
-        value_counts(df, cols)
-        .select("column_name", value.alias("value"), "n")
-        .withColumn("position", F.row_number().over(order))
-        .where(F.col("position") <= k)
-    )
+    own = df.select(*(f"`{c}`" for c in cols))
+    return row_facts.frequent({(): own}, row_facts.counted(row_facts.cells(own)), k)
 
 
 def enum_like_columns(df: DataFrame, k: int) -> DataFrame:

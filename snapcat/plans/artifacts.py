@@ -87,6 +87,8 @@ TRIGGER = (
     Field("definition", omit="null"),
 )
 COLUMN_STAT = (Field("null_fraction", "double", "null"), Field("distinct_count_estimate", "integer", "null"))
+# Facts that come from rows only.
+ROW_STAT = (*COLUMN_STAT, Field("min", "raw", "null", "min_text"), Field("max", "raw", "null", "max_text"), Field("top_values", "raws", "empty"))
 NODE = (Field("table_name"), Field("schema_name", omit="empty"))
 EDGE = (
     Field("from_table"),
@@ -326,16 +328,19 @@ def _map_block(name: str, lines: Column) -> Column:
 def doc_comments(m: Model) -> DataFrame:
     """Table comment, column comments and column semantics (at most 1,600 columns per table)."""
     name = toon.quoted(F.col("column_name"))
-    classed = semantics.column_classes(m["columns"])
+    classed, lists = semantics.column_classes(m["columns"]), SEMANTIC_LISTS
+    if "enum_like" in m.frames:
+        found = m["enum_like"].select(*KEY, "column_name", F.lit(True).alias("is_enum_like"))
+        classed, lists = classed.join(found, [*KEY, "column_name"], "left"), ("enum_like", *SEMANTIC_LISTS)
     gathered = classed.groupBy(*KEY).agg(
         _comment_lines(classed).alias("comments"),
-        *(_sorted_texts(F.col(f"is_{kind}"), "ordinal_position", name).alias(f"{kind}_columns") for kind in SEMANTIC_LISTS),
+        *(_sorted_texts(F.coalesce(f"is_{kind}", F.lit(False)), "ordinal_position", name).alias(f"{kind}_columns") for kind in lists),
     )
     rows = m["tables"].join(m.table_docs("comments"), KEY).join(gathered, KEY, "left")
     semantic = toon.lines(
         [
             F.when(F.size(f"{kind}_columns") > 0, F.concat(F.lit(f"{kind}_columns:"), toon.texts_list(F.col(f"{kind}_columns"))))
-            for kind in SEMANTIC_LISTS
+            for kind in lists
         ],
         1,
     )
@@ -348,7 +353,7 @@ def doc_comments(m: Model) -> DataFrame:
 
 
 def doc_stats(m: Model) -> DataFrame:
-    body = toon.object_lines(ROW, COLUMN_STAT, 2)
+    body = toon.object_lines(ROW, ROW_STAT if "top_values" in m["column_stats"].columns else COLUMN_STAT, 2)
     entry = F.concat(F.lit(toon.INDENT), toon.key_text(F.col("column_name")), F.lit(":\n"), body)
     per_column = m["column_stats"].groupBy(*KEY).agg(_sorted_texts(F.lit(True), "column_name", entry).alias("entries"))
     rows = m["stats"].join(m.table_docs("stats"), KEY).join(per_column, KEY, "left")

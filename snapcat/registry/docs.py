@@ -19,14 +19,16 @@ from snapcat.plans import files
 from snapcat.plans import fragments as fr
 from snapcat.plans import sink
 from snapcat.plans.artifacts import Model, snapshot_fragments
+from snapcat.plans.row_stats import ENUM_VALUES, TOP_VALUES, row_frames, with_row_facts
 from snapcat.plans.snapshot import SnapshotConfig, snapshot
 from snapcat.registry import catalog as cat
 from snapcat.registry import facts
 from snapcat.registry.facts import _sql
-from snapcat.registry.rows import _number, _quoted, read
+from snapcat.registry.rows import TABLES, _number, _quoted, _shown, read
 from snapcat.session import settle, shared_folder
 from snapcat.sources.fleet import SCHEMAS, fleet_normal, fleet_raw
 from snapcat.sources.lazy import LazyFrames
+from snapcat.sources.parquet import catalog_frames, parquet_tables
 
 COMPUTED_AT = cat.COMPUTED_AT
 COLS = ["db_id", "path", "section", "k1", "k2", "text"]
@@ -155,6 +157,15 @@ def docs_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_files(root, spark)
 
 
+#: Tables whose documents are made from their rows.
+ROW_TABLES = ("orders", "lineitem", "events", "conversations")
+
+
+def row_model(spark: SparkSession, sf_dir: str) -> Model:
+    tables = parquet_tables(spark, sf_dir, list(ROW_TABLES))
+    return Model(with_row_facts(catalog_frames(tables), row_frames(tables, COMPUTED_AT)), SnapshotConfig(schemas=("public",), include_stats=True))
+
+
 def catalog_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A full run from the raw relations: fragments and characters per database and kind.
 
@@ -184,6 +195,8 @@ QUERIES = {
     "toon_table": event_lists,
     "toon_mixed": mixed_lists,
     "docs_files": docs_files,
+    "doc_stats_rows": lambda spark, sf: art.doc_stats(row_model(spark, sf)).select(*COLS),
+    "doc_comments_rows": lambda spark, sf: art.doc_comments(row_model(spark, sf)).select(*COLS),
     "docs_text": docs_text,
     "catalog_docs": catalog_docs,
 }
@@ -571,6 +584,44 @@ def _arguments_sql() -> str:
             f"WHEN 2 THEN '{{data_type,mode}}:' || chr(10) || {joined(row2)} ELSE ':' || chr(10) || {joined(dash)} END")
 
 
+def _row_stats_sql() -> str:
+    """Statistics documents of ``ROW_TABLES``: one SELECT a column, put together by table."""
+    columns, tables = [], []
+    for table in ROW_TABLES:
+        for c, kind in TABLES[table].items():
+            text = lambda x, kind=kind: x if kind in ("int", "bigint", "double") else _quoted(x)
+            columns.append(f"""SELECT '{table}' AS table_name, '{c}' AS column_name, CAST(count(*) - count({c}) AS DOUBLE) / count(*) AS null_fraction,
+                count(DISTINCT {c}) AS distinct_count_estimate, {text(_shown(f'min({c})', kind))} AS min_text, {text(_shown(f'max({c})', kind))} AS max_text,
+                (SELECT list({text('value')} ORDER BY n DESC, value) FROM (SELECT {_shown(c, kind)} AS value, count(*) AS n FROM {table}
+                    WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY n DESC, value LIMIT {TOP_VALUES})) AS top_values FROM {table}""")
+        tables.append(f"SELECT '{table}' AS table_name, count(*) AS row_count_estimate FROM {table}")
+    lines = _ws(NL, [_line(f, "    ") for f in art.COLUMN_STAT] + ["'    min: ' || min_text", "'    max: ' || max_text", f"'    top_values:' || {_joined('top_values')}"])
+    body = _ws(NL, [f"'computed_at: \"{COMPUTED_AT}\"'", "'sampling_strategy: full_scan'", _line(toon.Field("row_count_estimate", "integer", "null")), _comment_map("per_column_stats", "entries")])
+    return "WITH c AS MATERIALIZED (" + " UNION ALL ".join(columns) + "), t AS (" + " UNION ALL ".join(tables) + ") " + _whole(
+        body, f"""SELECT * FROM t JOIN (SELECT table_name, CAST(0 AS BIGINT) AS db_id, '0/public/tables/' || table_name || '/table.stats.toon' AS path,
+        list('  ' || column_name || ':' || {NL} || {lines} ORDER BY column_name) AS entries FROM c GROUP BY ALL) USING (table_name)""")
+
+
+def _joined(texts: str) -> str:
+    return f"'[' || len({texts}) || ']: ' || array_to_string({texts}, ',')"
+
+
+def _row_comments_sql() -> str:
+    """Semantics of ``ROW_TABLES``: short lists of values from the rows, the rest from names and types."""
+    columns = []
+    for table in ROW_TABLES:
+        for k, (c, kind) in enumerate(TABLES[table].items()):
+            few = f"(SELECT count(DISTINCT {c}) BETWEEN 1 AND {ENUM_VALUES} FROM {table})" if kind == "string" else "false"
+            columns.append(f"SELECT '{table}' AS table_name, {k} AS ordinal_position, '{c}' AS column_name, '{kind}' AS data_type, {few} AS enum_like")
+    kinds = (("status", "status"), ("timestamp", "timestamp"), ("currency", "currency_amount"), ("id", "id"))
+    lists = ", ".join([f"{_quoted_list('enum_like', 'column_name', 'ordinal_position')} AS enum_like_columns",
+                       *(f"{_quoted_list(facts.SEM[k], 'column_name', 'ordinal_position')} AS {name}_columns" for k, name in kinds)])
+    semantic = _ws(NL, [f"CASE WHEN len({n}_columns) > 0 THEN '  {n}_columns:' || {_list(f'{n}_columns')} END" for n in ("enum_like", *(n for _, n in kinds))])
+    return "WITH c AS MATERIALIZED (" + " UNION ALL ".join(columns) + ") " + _whole(
+        f"CASE WHEN {semantic} <> '' THEN 'inferred_semantics:' || {NL} || {semantic} ELSE '' END",
+        f"SELECT CAST(0 AS BIGINT) AS db_id, '0/public/tables/' || table_name || '/table.comments.toon' AS path, {lists} FROM c GROUP BY table_name")
+
+
 def _recursive(sql: str) -> str:
     return sql.replace("WITH ", "WITH RECURSIVE ", 1) if facts.MEMBERS[0] in sql else sql
 
@@ -591,6 +642,7 @@ def oracles() -> dict[str, str]:
     out["toon_table"] = "SELECT * FROM " + _list_sql(
         f"""SELECT user_id AS db_id, 'user/' || user_id AS path, {_place(0, 'events', chr(39) * 2, 'CAST(event_id AS VARCHAR)')}, event_type,
         {', '.join(f'{e} AS {n}' for n, e in EVENT_LISTS.items())} FROM events""", EVENT)
+    out["doc_stats_rows"], out["doc_comments_rows"] = _row_stats_sql(), _row_comments_sql()
     by_user = _list_sql(
         f"""SELECT user_id AS db_id, 'user/' || user_id AS path, {_place(0, 'events', chr(39) * 2, 'CAST(event_id AS VARCHAR)')}, event_type,
         {', '.join(f'{e} AS {n}' for n, e in EVENT_LISTS.items())} FROM events""", EVENT)
