@@ -53,3 +53,14 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
     """128 bits of id and text that name a row; rows with the same key are equal in both."""
     id_, text = F.col(id_col), F.col(text_col)
     return [F.xxhash64(F.isnull(id_), id_, F.isnull(text), text).alias("row_key_1"), F.xxhash64(F.lit(1), text, F.isnull(text), id_, F.isnull(id_)).alias("row_key_2")]
+
+
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapcat.llm.common import documents
+from snapcat.llm.common import documents, free_names
 from snapcat.session import settle
 
 WINDOW = 10
@@ -237,7 +237,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     Other documents, null texts among them, stay as they are, all their columns too.
     """
-    mark = "__found"
+    (mark,) = free_names(docs, "found")
     found = benchmark_spans(docs, benchmark, text_col, item_id, item_text, window, mark)
     found = found.where(hit_words(mark) <= F.lit(most_covered) * F.col(f"{mark}.n_words"))
 

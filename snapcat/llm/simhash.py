@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapcat.llm.common import documents, row_key, word_blocks
+from snapcat.llm.common import documents, free_names, row_key, word_blocks
 from snapcat.llm.components import components, forest
 from snapcat.session import settle
 
@@ -198,10 +198,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 def first_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with the smallest id of each ``root`` in ``found``, and one of equal rows."""
     stays = found.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "row_key_1", "row_key_2")).alias("row")).select("row.row_key_1", "row.row_key_2")
-    names = ["row_key_1", "row_key_2"]
-    if clash := [c for c in docs.columns if c.lower() in names]:
-        raise ValueError(f"columns {clash} are taken")
-    return docs.select("*", *row_key(id_col, text_col)).join(stays, names, "left_semi").dropDuplicates(names).select(*docs.columns)
+    names = free_names(docs, "row_key_1", "row_key_2")
+    keyed = docs.select("*", *(key.alias(name) for key, name in zip(row_key(id_col, text_col), names, strict=True)))
+    return keyed.join(stays.toDF(*names), names, "left_semi").dropDuplicates(names).select(*docs.columns)
 
 
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
