@@ -20,12 +20,12 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from snapcat.llm.common import documents, row_key
 from snapcat.session import settle
@@ -81,6 +81,14 @@ def is_placeholder(words: set[str]) -> bool:
     return any(w in PLACEHOLDER or len(w) >= 4 and set(w) == {"x"} for w in words)
 
 
+def escaped(text: str, first: int, at: int) -> bool:
+    """Whether an odd number of backslashes stands before a place. Only they are looked at."""
+    k = at
+    while k > first and text[k - 1] == "\\":
+        k -= 1
+    return (at - k) % 2 == 1
+
+
 def assigned_values(text: str) -> list[tuple[int, int]]:
     """Places (first, end) of the values assigned to credentials' names. Time is linear: ends are looked for once."""
     ends: dict[str, int] = {}
@@ -105,7 +113,7 @@ def assigned_values(text: str) -> list[tuple[int, int]]:
         if (quote := text[a : a + 1]) in ("'", '"', "`"):
             a += 1
             b = following(quote, lambda at, q=quote: text.find(q, at), a)
-            while b < len(text) and (len(text[a:b]) - len(text[a:b].rstrip("\\"))) % 2:
+            while b < len(text) and escaped(text, a, b):
                 b = following(quote, lambda at, q=quote: text.find(q, at), b + 1)
             if b < len(text) and b <= following("line", lambda at: text.find("\n", at), a):
                 if b > a:
@@ -212,11 +220,12 @@ def label_findings(found: DataFrame) -> DataFrame:
 
 def train(labelled: DataFrame) -> RandomForestClassificationModel | float:
     """A forest from labelled findings (value, features, label); a number if they do not have two labels."""
-    order = Window.partitionBy("label").orderBy(F.xxhash64("value"), "value", "features")
-    distinct = labelled.groupBy("label", "value", "features").agg(F.lit(1).alias("one"))
-    sample = distinct.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE)
+    distinct = labelled.groupBy("label", "value", "features").agg(F.xxhash64("value").alias("hash"))
+    # The smallest of every task, then of those: no task holds all findings of a label.
+    some = [distinct.where(F.col("label") == label).orderBy("hash", "value", "features").limit(SAMPLE) for label in (0, 1)]
     # At most 2 * SAMPLE rows: one task, in a fixed order, gives the same forest on any cluster.
-    sample = settle(sample.select("label", "rank", array_to_vector("features").alias("vector")).coalesce(1).sortWithinPartitions("label", "rank"))
+    sample = some[0].unionByName(some[1]).select("label", "hash", "value", "features").coalesce(1).sortWithinPartitions("label", "hash", "value", "features")
+    sample = settle(sample.select("label", array_to_vector("features").alias("vector")))
     labels = [r.label for r in sample.select("label").distinct().collect()]
     if len(labels) < 2:
         return labels[0] if labels else 0.0
@@ -224,6 +233,47 @@ def train(labelled: DataFrame) -> RandomForestClassificationModel | float:
     return forest.fit(sample)
 
 
+class Trees:
+    """The trees of a forest as arrays: a task judges the features of its texts by itself."""
+
+    def __init__(self, forest: RandomForestClassificationModel | float):
+        self.constant = forest if isinstance(forest, float) else None
+        if self.constant is not None:
+            return
+        size = max(tree.numNodes for tree in forest.trees)
+        shape = (len(forest.trees), size)
+        # A leaf leads to itself.
+        self.left = np.tile(np.arange(size), (shape[0], 1))
+        self.right = self.left.copy()
+        self.feature, self.limit, self.chance = np.zeros(shape, np.int64), np.zeros(shape), np.zeros(shape)
+        for t, tree in enumerate(forest.trees):
+            upcoming = [(tree._call_java("rootNode"), 0)]
+            used = 1
+            while upcoming:
+                node, at = upcoming.pop()
+                if node.getClass().getSimpleName() == "LeafNode":
+                    counts = list(node.impurityStats().stats())
+                    self.chance[t, at] = counts[1] / sum(counts)
+                    continue
+                self.feature[t, at], self.limit[t, at] = node.split().featureIndex(), node.split().threshold()
+                self.left[t, at], self.right[t, at] = used, used + 1
+                upcoming += [(node.leftChild(), used), (node.rightChild(), used + 1)]
+                used += 2
+
+    def scores(self, features: np.ndarray) -> np.ndarray:
+        """The mean chance of the leaves that each row comes to."""
+        if self.constant is not None:
+            return np.full(len(features), self.constant)
+        total = np.zeros(len(features))
+        for left, right, feature, limit, chance in zip(self.left, self.right, self.feature, self.limit, self.chance, strict=True):
+            at = np.zeros(len(features), np.int64)
+            for _ in range(DEPTH):
+                lower = features[np.arange(len(features)), feature[at]] <= limit[at]
+                at = np.where(lower, left[at], right[at])
+            total += chance[at]
+        return total / len(self.left)
+
+
 def judge(found: DataFrame, forest: RandomForestClassificationModel | float) -> DataFrame:
     """Adds ``score`` and ``is_secret`` to findings with features."""
     if isinstance(forest, float):
@@ -243,27 +293,36 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
         "doc_id", "row_key_1", "row_key_2", "first", "length", "value", "name", "score", "is_secret")
 
 
+def masked(text: str, path: str, words: frozenset[str], trees: Trees, mask: str) -> str:
+    """A text with its secrets replaced by the mask."""
+    spans = places(text)
+    if not spans:
+        return text
+    features = [describe(text[a:b], text[max(0, a - BESIDE) : a], text[b : b + BESIDE], path, words)[1] for a, b in spans]
+    kept, done = [], 0
+    for (a, b), score in zip(spans, trees.scores(np.array(features)), strict=True):
+        if score >= SURE:
+            kept += [text[done:a], mask]
+            done = b
+    return "".join([*kept, text[done:]])
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", labelled: DataFrame | None = None, mask: str = MASK) -> DataFrame:
-    """``docs`` with every secret replaced by the mask; all rows and columns stay."""
-    names = ["row_key_1", "row_key_2"]
-    if clash := [c for c in docs.columns if c.lower() in (*names, "secret_places")]:
-        raise ValueError(f"columns {clash} are taken")
-    secrets = scan(docs, id_col, text_col, path_col, labelled).where("is_secret")
-    # Equal rows have equal findings: the set of places of a row is bounded by its text.
-    places = secrets.groupBy(*names).agg(F.collect_set(F.struct("first", "length")).alias("secret_places"))
+    """``docs`` with every secret replaced by the mask; all rows and columns stay. One pass learns, another one masks: no text is shuffled."""
+    path = F.col(path_col).cast("string") if path_col else F.lit("")
+    own = docs.select(F.col(text_col).alias("text"), path.alias("path"))
+    words = dictionary(own, "text")
+    if labelled is None:
+        found = candidates(own, words, "text", "path").select(F.inline("candidates")).select("value", "name", "features")
+        labelled = label_findings(settle(found))
+    trees = Trees(train(labelled))
 
     @F.arrow_udf("string")
-    def masked(texts: pa.Array, places: pa.Array) -> pa.Array:
-        out = []
-        for text, own in zip(texts, places, strict=True):
-            text = text.as_py()
-            for x in sorted(own.as_py() or (), key=lambda x: -x["first"]):
-                text = text[: x["first"]] + mask + text[x["first"] + x["length"] :]
-            out.append(text)
-        return pa.array(out, pa.string())
-
-    joined = docs.select("*", *row_key(id_col, text_col)).join(places, names, "left")
-    return joined.withColumn(text_col, masked(F.col(text_col), F.col("secret_places"))).select(*docs.columns)
+    def clean(texts: pa.Array, paths: pa.Array) -> pa.Array:
+        rows = ((t.as_py(), p.as_py() or "") for t, p in zip(texts, paths, strict=True))
+        return pa.array([None if t is None else masked(t, p, words, trees, mask) for t, p in rows], pa.string())
+
+    return docs.withColumn(text_col, clean(F.col(text_col), path)).select(*docs.columns)
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

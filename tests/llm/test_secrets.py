@@ -2,7 +2,9 @@
 
 import random
 import re
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,8 +47,19 @@ def test_placeholders_are_whole_words():
 
 
 def test_time_is_linear():
-    for text in ("key=" * 100_000, "key='" * 100_000, "a:" * 200_000, "x" * 400_000, "://a:" * 80_000, 'key="' + "\\" * 200_000):
+    for text in ("key=" * 100_000, "key='" * 100_000, "a:" * 200_000, "x" * 400_000, "://a:" * 80_000, 'key="' + "\\" * 200_000, 'key="' + '\\"' * 200_000):
+        began = time.perf_counter()
         s.places(text)
+        assert time.perf_counter() - began < 5
+
+
+def test_trees_are_the_forest(spark):
+    found = s.candidates(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), frozenset()).select(F.inline("candidates"))
+    forest = s.train(s.label_findings(found))
+    rows = s.judge(found, forest).select("features", "score").collect()
+    scores = s.Trees(forest).scores(np.array([r.features for r in rows]))
+    assert len(rows) > 100 and np.allclose(scores, [r.score for r in rows]) and len(set(scores.round(6))) > 2
+    assert s.Trees(0.25).scores(np.zeros((2, 3))).tolist() == [0.25, 0.25]
 
 
 def test_short_secrets_are_masked(spark):
