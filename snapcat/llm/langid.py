@@ -1,14 +1,14 @@
 """Language by compression: the language whose text helps most to compress a document.
 
 For every language a raw-content zstandard dictionary is made of a bounded sample of labelled texts: of
-the distinct texts those with the ``SAMPLE`` smallest hashes, ``CUT`` characters each. A document, reduced
-to lower-case letters, is compressed with each dictionary in blocks of ``BLOCK`` bytes, so that the
+the distinct texts those with the ``SAMPLE`` smallest hashes, and of each of these the ``CUT`` characters from a place that
+its hash tells. A document, reduced to lower-case letters, is compressed with each dictionary in blocks of ``BLOCK`` bytes, so that the
 dictionary stays what counts in a long text. The smallest sum wins; a document whose runner-up is less
 than ``LEAST_MARGIN`` larger is rejected. Texts too short to compress are repeated, which every dictionary
 then sees.
 
-The model is at most ``SAMPLE`` * ``CUT`` characters a language; more than ``MOST_LANGUAGES`` labels are
-refused, as that is no list of languages.
+The model has at most ``PIECES`` pieces of ``CUT`` characters, ``SAMPLE`` a language at most and one at least: with more labels
+than ``PIECES`` / ``SAMPLE`` each has fewer.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected; so is every
 text if nothing is labelled. With one language all texts with a letter are of it, score 1. Ties go to the
@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from snapcat.llm.common import documents
+from snapcat.session import settle
 
-SAMPLE, CUT, MOST_LANGUAGES = 64, 1000, 2000
+SAMPLE, CUT, PIECES, SHARES = 64, 1000, 1 << 17, 32
 BLOCK, SHORT, REPEATS = 4096, 256, 3
 #: By how much, of its own size, the runner-up must be larger.
 LEAST_MARGIN = 0.005
@@ -48,17 +49,22 @@ def letters(text: str) -> bytes:
 
 
 def sample(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, n, text): for each language its number of distinct texts and the start of some of them."""
+    """(lang, n, hash, text): for each language its number of distinct texts and a piece of some of them."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     labelled = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
     distinct = labelled.groupBy("lang", "hash").agg(F.lit(1).alias("one"))
-    some = distinct.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).where(F.col("rank") <= SAMPLE).select("lang", "hash")
-    counts = distinct.groupBy("lang").agg(F.count("*").alias("n"))
-    if counts.count() > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    # At most SAMPLE rows of two short values a language.
-    texts = labelled.join(F.broadcast(some), ["lang", "hash"]).select("lang", "hash", F.substring("text", 1, CUT).alias("text")).dropDuplicates(["lang", "hash"])
-    return texts.join(F.broadcast(counts), "lang")
+    counts = settle(distinct.groupBy("lang").agg(F.count("*").alias("n")))
+    size = max(1, min(SAMPLE, PIECES // max(1, counts.count())))
+    # The smallest hashes of each share of a language's texts, then of the language.
+    lowest = lambda rows, *by: rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("hash"))).where(F.col("rank") <= size)
+    shares = distinct.select("lang", "hash", F.pmod("hash", F.lit(SHARES)).alias("share"))
+    some = lowest(lowest(shares, "lang", "share"), "lang").select("lang", "hash")
+    # A piece at a place that depends on the text; the beginnings of many texts may be alike.
+    length = F.length("text")
+    first = F.pmod(F.xxhash64("hash"), F.greatest(length - CUT + 1, F.lit(1))).cast("int") + 1
+    # At most PIECES rows of two short values, or one a label.
+    texts = labelled.join(F.broadcast(some), ["lang", "hash"], "left_semi").select("lang", "hash", F.substring("text", first, F.lit(CUT)).alias("text"))
+    return texts.dropDuplicates(["lang", "hash"]).join(counts, "lang")
 
 
 class Model:
