@@ -203,16 +203,16 @@ QUERIES = {
 # --- oracles -----------------------------------------------------------------
 
 IN = "IN ('public', 'app')"
-CLASSES = """classes AS (SELECT c.db_id, c.oid, n.nspname AS schema_name, c.relname AS table_name, c.relkind, c.reltuples
+CLASSES = """classes AS MATERIALIZED (SELECT c.db_id, c.oid, n.nspname AS schema_name, c.relname AS table_name, c.relkind, c.reltuples
   FROM pg_class c JOIN pg_namespace n ON n.db_id = c.db_id AND n.oid = c.relnamespace)"""
-SCOPE = f"""scope AS (SELECT k.db_id, k.oid, k.schema_name, k.table_name FROM classes k JOIN info_tables t
-  ON t.db_id = k.db_id AND t.table_schema = k.schema_name AND t.table_name = k.table_name
-  WHERE t.table_type = 'BASE TABLE' AND t.table_schema {IN})"""
+SCOPE = f"""scope AS MATERIALIZED (SELECT db_id, oid, schema_name, table_name, reltuples FROM classes
+  JOIN (SELECT db_id, table_schema AS schema_name, table_name FROM info_tables WHERE table_type = 'BASE TABLE' AND table_schema {IN}) AS t
+  USING (db_id, schema_name, table_name))"""
 BASE = ("pg_class", "pg_namespace", "info_tables", CLASSES, SCOPE)
 
 
 def _key_cte(name: str, relation: str, key: str, rel: str, ident: str) -> str:
-    return f"""{name} AS (SELECT s.db_id, s.{ident} AS id, string_agg(a.attname, ',' ORDER BY s.ord) AS names
+    return f"""{name} AS MATERIALIZED (SELECT s.db_id, s.{ident} AS id, string_agg(a.attname, ',' ORDER BY s.ord) AS names
       FROM (SELECT db_id, {ident}, {rel} AS rel, unnest({key}) AS attnum, generate_subscripts({key}, 1) AS ord FROM {relation}) s
       JOIN pg_attribute a ON a.db_id = s.db_id AND a.attrelid = s.rel AND a.attnum = s.attnum GROUP BY ALL)"""
 
@@ -268,7 +268,7 @@ ENUMS = f"""SELECT x.db_id, n.nspname AS schema_name, x.typname AS enum_name, co
   e.enumsortorder AS sort_order, e.enumlabel AS label FROM pg_type x JOIN pg_namespace n ON n.db_id = x.db_id AND n.oid = x.typnamespace
   LEFT JOIN pg_enum e ON e.db_id = x.db_id AND e.enumtypid = x.oid {_note('x.oid', 'pg_type')}
   WHERE x.typtype = 'e' AND n.nspname {IN}"""
-OWNERS = """owners AS (SELECT d.db_id, d.objid AS oid, min(CASE WHEN k.schema_name IN ('public', '') THEN k.table_name
+OWNERS = """owners AS MATERIALIZED (SELECT d.db_id, d.objid AS oid, min(CASE WHEN k.schema_name IN ('public', '') THEN k.table_name
     ELSE k.schema_name || '.' || k.table_name END || '.' || a.attname) AS owned_by
   FROM pg_depend d JOIN pg_attribute a ON a.db_id = d.db_id AND a.attrelid = d.refobjid AND a.attnum = d.refobjsubid
   JOIN classes k ON k.db_id = d.db_id AND k.oid = d.refobjid
@@ -277,10 +277,10 @@ SEQUENCES = f"""SELECT x.db_id, k.schema_name, k.table_name AS sequence_name, se
   seqmax AS max_value, seqincrement AS increment, seqcycle AS "cycle", coalesce(o.owned_by, '') AS owned_by, coalesce(d.description, '') AS comment
   FROM pg_sequence x JOIN classes k ON k.db_id = x.db_id AND k.oid = x.seqrelid LEFT JOIN owners o ON o.db_id = x.db_id AND o.oid = x.seqrelid
   {_note('x.seqrelid', 'pg_class')} WHERE k.schema_name {IN}"""
-ATTRIBUTES = """attributes AS (SELECT t.db_id, t.oid, string_agg(a.attname || ':' || a.format_type, ',' ORDER BY a.attnum) AS attributes
+ATTRIBUTES = """attributes AS MATERIALIZED (SELECT t.db_id, t.oid, string_agg(a.attname || ':' || a.format_type, ',' ORDER BY a.attnum) AS attributes
   FROM pg_type t JOIN pg_attribute a ON a.db_id = t.db_id AND a.attrelid = t.typrelid
   WHERE t.typtype = 'c' AND a.attnum > 0 AND NOT a.attisdropped GROUP BY ALL)"""
-DOMAINS = """domains AS (SELECT t.db_id, t.oid, t.base_type, c."constraint" FROM pg_type t LEFT JOIN
+DOMAINS = """domains AS MATERIALIZED (SELECT t.db_id, t.oid, t.base_type, c."constraint" FROM pg_type t LEFT JOIN
   (SELECT db_id, contypid, min(definition) AS "constraint" FROM pg_constraint WHERE contypid > 0 GROUP BY ALL) c
   ON c.db_id = t.db_id AND c.contypid = t.oid WHERE t.typtype = 'd')"""
 TYPES = f"""SELECT x.db_id, n.nspname AS schema_name, typname AS type_name, CASE typtype WHEN 'c' THEN 'composite' WHEN 'd' THEN 'domain'
@@ -306,7 +306,7 @@ VIEW_DEPS = f"""SELECT DISTINCT v.db_id, c.schema_name, c.table_name, dc.relkind
   AND NOT (dc.schema_name = c.schema_name AND dc.table_name = c.table_name)"""
 STATS = """SELECT db_id, schemaname AS schema_name, tablename AS table_name, attname AS column_name, null_frac AS null_fraction,
   CASE WHEN n_distinct > 0 THEN CAST(trunc(n_distinct) AS BIGINT) END AS distinct_count_estimate FROM pg_stats"""
-ESTIMATES = "SELECT db_id, schema_name, table_name, CASE WHEN reltuples >= 0 THEN CAST(reltuples AS BIGINT) END AS row_count_estimate FROM classes SEMI JOIN scope USING (db_id, oid)"
+ESTIMATES = "SELECT db_id, schema_name, table_name, CASE WHEN reltuples >= 0 THEN CAST(reltuples AS BIGINT) END AS row_count_estimate FROM scope"
 TABLE_STATS = f"""SELECT e.db_id, e.schema_name, e.table_name, '{COMPUTED_AT}' AS computed_at, 'estimate' AS sampling_strategy, row_count_estimate,
   (SELECT count(*) FROM pg_stats p WHERE p.db_id = e.db_id AND p.schemaname = e.schema_name AND p.tablename = e.table_name) AS column_stat_count,
   '{c.STATS_NOTE}' AS note FROM ({ESTIMATES}) e"""

@@ -298,8 +298,8 @@ def _safe_sql(source: str, name: str, identity: str, within: str = "") -> str:
       FROM (SELECT *, {safe} AS safe0 FROM ({source}))"""
 
 
-DIRS = "dirs AS (" + _safe_sql("SELECT db_id, schema_name, table_name FROM f_tables", "table_name", "table_name") + ")"
-VIEW_DIRS = "view_dirs AS (" + _safe_sql(f"SELECT db_id, schema_name, table_name FROM ({cat.VIEWS})", "table_name", "table_name") + ")"
+DIRS = "dirs AS MATERIALIZED (" + _safe_sql("SELECT db_id, schema_name, table_name FROM f_tables", "table_name", "table_name") + ")"
+VIEW_DIRS = "view_dirs AS MATERIALIZED (" + _safe_sql(f"SELECT db_id, schema_name, table_name FROM ({cat.VIEWS})", "table_name", "table_name") + ")"
 KEYS = "db_id, schema_name, table_name"
 
 
