@@ -63,7 +63,7 @@ def _text_slots(text: Column) -> dict[str, Column]:
     return {"text": F.left(text, F.lit(LONG)), "digest": F.when(F.length(text) > LONG, digest)}
 
 
-def _cell(field: T.StructField) -> Column:
+def cell(field: T.StructField) -> Column:
     slot, value = _slot(field.dataType), _value(field)
     own = _text_slots(value.cast("string")) if slot == "text" else {slot: value}
     parts = (own.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in SLOTS.items())
@@ -73,7 +73,7 @@ def _cell(field: T.StructField) -> Column:
 def cells(df: DataFrame, cols: Sequence[str] | None = None, **key: str | int) -> DataFrame:
     """A row per row and column: the key, the column and the slots; all slots are NULL for a NULL."""
     fields = [df.schema[c] for c in (cols or df.columns)]
-    return df.select(*(F.lit(v).alias(k) for k, v in key.items()), F.inline(F.array(*map(_cell, fields))))
+    return df.select(*(F.lit(v).alias(k) for k, v in key.items()), F.inline(F.array(*map(cell, fields))))
 
 
 def counted(rows: DataFrame, key: Sequence[str] = ()) -> DataFrame:

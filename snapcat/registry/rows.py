@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapcat.functions import toon
-from snapcat.operators import profile
+from snapcat.operators import profile, sketches
 from snapcat.operators.toon_rows import toon_rows
+from snapcat.session import settle
 
 # Columns of the given tables.
 TABLES: dict[str, dict[str, str]] = {
@@ -119,6 +120,29 @@ def _enums(df: DataFrame) -> DataFrame:
     return profile.enum_like_columns(df, ENUM_K).withColumn("values", F.array_join("values", "|"))
 
 
+#: Tables whose sketches are kept by day, and the day.
+SKETCHED = {"events": "CAST(ts AS DATE)", "lineitem": "CAST(l_shipdate AS DATE)", "orders": "CAST(o_orderdate AS DATE)"}
+SKETCHED_RANK_ERROR = 2 * sketches.RANK_ERROR
+
+
+def merged_sketches(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """Sketches by day, written and merged: exact counts, and whether the estimates are within their bounds of the exact figures."""
+    df = read_nulled(spark, sf_dir, table)
+    kept = settle(sketches.sketch_columns(df.withColumn("day", F.expr(SKETCHED[table])), ["day"]))
+    merged = settle(sketches.estimates(sketches.merge(kept), (0.5,)).select("column_name", "row_count", "null_fraction", "distinct_count", "quantiles"))
+    # One number a column.
+    medians = {r.column_name: r.quantiles[0] for r in merged.where("quantiles IS NOT NULL").collect()}
+    numbers = {c: F.unix_micros(F.col(c).cast("timestamp")) if kind == "timestamp_ntz" else F.col(c) for c, kind in TABLES[table].items() if c in medians}
+    shares = [F.struct(F.lit(c).alias("column_name"), *((F.count_if(t) / F.count(x)).alias(n) for n, t in (("below", x < medians[c]), ("upto", x <= medians[c]))))
+              for c, x in numbers.items()]
+    ranks = df.agg(F.array(*shares).alias("r")).select(F.inline("r"))
+    exact = profile.profile_columns(df).select("column_name", F.col("distinct_count").alias("exact"))
+    off = SKETCHED_RANK_ERROR
+    return merged.join(exact, "column_name").join(ranks, "column_name", "left").select(
+        "column_name", "row_count", "null_fraction", (F.abs(F.col("distinct_count") - F.col("exact")) <= sketches.DISTINCT_ERROR * F.col("exact")).alias("distinct_close"),
+        ((F.col("below") - off <= 0.5) & (F.col("upto") + off >= 0.5)).alias("median_close"))
+
+
 def quoted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quoting of every text the tables hold."""
     out = None
@@ -198,6 +222,7 @@ QUERIES = {
     **{f"infer_fk_{n}": (lambda spark, sf, c=c, p=p, pairs=pairs: profile.inclusion(read(spark, sf, c), read(spark, sf, p), pairs))
        for n, (c, p, pairs) in PAIRS.items()},
     **{f"toon_rows_{t}": (lambda spark, sf, t=t, k=k, n=n: toon_rows(read(spark, sf, t), k, n)) for t, (k, n) in CHUNKS.items()},
+    **{f"sketch_profile_{t}": (lambda spark, sf, t=t: merged_sketches(spark, sf, t)) for t in SKETCHED},
     "toon_quote": quoted_texts,
     "toon_number": number_texts,
     "toon_scalar": scalar_texts,
@@ -338,6 +363,9 @@ def oracles() -> dict[str, str]:
            f"max({c}) - min({c}) + 1 - count(DISTINCT {c}) AS missing_keys FROM {t}" for t, c in DENSITY.items()},
         **{f"infer_fk_{n}": _pair_sql(c, p, pairs) for n, (c, p, pairs) in PAIRS.items()},
         **{f"toon_rows_{t}": _chunk_sql(t, k, n) for t, (k, n) in CHUNKS.items()},
+        **{f"sketch_profile_{t}": f"WITH src AS ({nulled_sql(t)}) " + " UNION ALL ".join(
+            f"SELECT '{c}' AS column_name, count(*) AS row_count, CAST(count(*) - count({c}) AS DOUBLE) / count(*) AS null_fraction, true AS distinct_close, "
+            f"{'NULL' if kind == 'string' else 'true'} AS median_close FROM src" for c, kind in TABLES[t].items()) for t in SKETCHED},
         "toon_quote": " UNION ALL ".join(
             f"SELECT '{t}' AS source, {k} AS row_id, {_needs(c)} AS needs_quotes, {_quoted(c)} AS quoted FROM {t}" for t, k, c in QUOTED),
         "toon_number": " UNION ALL ".join(
