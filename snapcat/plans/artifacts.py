@@ -173,7 +173,7 @@ class Model:
 
     @cached_property
     def flags(self) -> DataFrame:
-        return tags.tag_flags(self.junctions)
+        return settle(tags.tag_flags(self.junctions))
 
     @cached_property
     def primary_keys(self) -> DataFrame:
@@ -186,7 +186,7 @@ class Model:
         if "nullable" not in fks.columns:
             fks = with_fk_nullable(fks, self["columns"])
         unique = relations.with_fk_unique(fks, self["constraints"], self["indexes"])
-        return relations.with_cardinality(unique, self.junctions)
+        return settle(relations.with_cardinality(unique, self.junctions))
 
     def table_docs(self, kind: str) -> DataFrame:
         """The table key and the path of one document of each table."""
@@ -589,7 +589,8 @@ BUCKETS = (
 def doc_overview(m: Model) -> DataFrame:
     """The plain-text guide to one database. Its sentences and headings are fixed values."""
     path = database_path("llms.txt")
-    counts = database_counts(m).withColumn("path", path)
+    # Every part of the guide reads the counts.
+    counts = settle(database_counts(m)).withColumn("path", path)
     schemas = F.array(*(F.lit(s) for s in m.cfg.schemas)).cast("array<string>")
 
     def text(*parts) -> Column:

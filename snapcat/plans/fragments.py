@@ -73,11 +73,9 @@ def object_list(rows: DataFrame, fields: Sequence[Field], docs: DataFrame | None
     dashed = any(f.kind == "strings" and f.omit == "never" for f in fields)
     table = all(f.kind != "strings" and f.omit == "never" for f in fields)
     places = [*GROUP, "k1", "ord", "k2"]
-    shaped = toon.with_texts(rows, fields, *places).select(*places, *toon.shape_columns(fields, 1))
-    # Which members are present needs no text, so the facts render nothing.
-    item = toon.Members()
-    present = rows.select(*GROUP, toon.presence(item, fields).alias("mask"), toon.holds_list(item, fields).alias("nested"))
-    facts = present.groupBy(*GROUP).agg(
+    # Written, because the facts of a list and its rows both need it: what the rows come from is planned and run once.
+    shaped = settle(toon.with_texts(rows, fields, *places).select(*places, *toon.shape_columns(fields, 1)))
+    facts = shaped.groupBy(*GROUP).agg(
         F.count("*").alias("n"), F.min("mask").alias("low"), F.max("mask").alias("high"), F.bool_or("nested").alias("any_list")
     )
     tabular = F.lit(table) if table or dashed else toon.is_tabular(F.col("low"), F.col("high"), F.col("any_list"))
@@ -86,10 +84,7 @@ def object_list(rows: DataFrame, fields: Sequence[Field], docs: DataFrame | None
     count = F.coalesce("n", F.lit(0).cast("bigint"))
     head = toon.list_head(F.col("list_name"), count, F.coalesce("tabular", F.lit(False)), F.col("low"), fields)
     heads = listed.select(*fragment(F.concat(F.lit("\n"), head), F.col("section"), order=FIRST))
-    if table or dashed:
-        body = shaped.withColumn("tabular", F.lit(table))
-    else:
-        body = shaped.join(facts.select(*GROUP, "tabular"), GROUP)
+    body = shaped.withColumn("tabular", F.lit(table)) if table or dashed else shaped.join(facts.select(*GROUP, "tabular"), GROUP)
     text = F.when(F.col("tabular"), F.concat(F.lit("\n" + INDENT), F.col("row_text"))).otherwise(
         F.concat(F.lit("\n"), F.col("dash_text"))
     )
@@ -105,13 +100,10 @@ def mixed_list(rows: DataFrame, fields: Sequence[Field]) -> DataFrame:
     """
     places = [*GROUP, "k1", "ord", "k2"]
     own = ["element", "scalar", "items"]
-    shaped = toon.with_texts(rows, fields, *places, *own).select(*places, *own, *toon.shape_columns(fields, 1))
+    shaped = settle(toon.with_texts(rows, fields, *places, *own).select(*places, *own, *toon.shape_columns(fields, 1)))
     is_object = F.col("element") == "object"
     place = F.struct("k1", "ord", "k2")
-    item = toon.Members()
-    # No text is rendered for the facts.
-    present = rows.select(*places, "element", toon.presence(item, fields).alias("mask"), toon.holds_list(item, fields).alias("nested"))
-    facts = present.groupBy(*GROUP).agg(
+    facts = shaped.groupBy(*GROUP).agg(
         F.count("*").alias("n"), F.count_if(F.col("element") == "scalar").alias("scalars"), F.count_if(is_object).alias("objects"),
         F.min(F.when(is_object, F.col("mask"))).alias("low"), F.max(F.when(is_object, F.col("mask"))).alias("high"),
         F.bool_or(is_object & F.col("nested")).alias("any_list"), F.min(place).alias("first"),
