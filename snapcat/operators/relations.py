@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from snapcat.operators.catalog import KEY
 from snapcat.operators.names import JUNCTION_NAMES, contains_any
-from snapcat.session import settle
+from snapcat.session import release, settle
 
 # The three reasons, in the order they are tried.
 REASON_KEY = "Primary key consists entirely of foreign key columns"
@@ -164,12 +164,13 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
 
     live = settle(edges.select("db_id", end("from").alias("src"), end("to").alias("dst")).where("src <> dst").distinct())
     found: list[DataFrame] = [live.limit(0).select("db_id", F.col("src").alias("v"), F.col("src").alias("colour"))]
+    first = live
     while not live.isEmpty():
         # An edge lies on a cycle only if something leads to it and away from it.
-        inner = live.join(live.select("db_id", F.col("dst").alias("src")).distinct(), ["db_id", "src"], "left_semi").join(
+        inner = settle(live.join(live.select("db_id", F.col("dst").alias("src")).distinct(), ["db_id", "src"], "left_semi").join(
             live.select("db_id", F.col("src").alias("dst")).distinct(), ["db_id", "dst"], "left_semi"
-        )
-        colours = _spread(settle(inner))
+        ))
+        colours = _spread(inner)
         tinted = settle(
             inner.join(colours.select("db_id", F.col("v").alias("src"), "colour"), ["db_id", "src"])
             .join(colours.select("db_id", F.col("v").alias("dst"), F.col("colour").alias("dst_colour")), ["db_id", "dst"])
@@ -178,14 +179,17 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
         )
         # Backwards inside a colour its root is the greatest that can be reached.
         reached = _spread(tinted.select("db_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
-        members = reached.join(colours.withColumnRenamed("colour", "own"), ["db_id", "v"]).where("colour = own").select("db_id", "v", "colour")
+        own = colours.select("db_id", "v", F.col("colour").alias("own"))
+        members = settle(reached.join(own, ["db_id", "v"]).where("colour = own").select("db_id", "v", "colour"))
         found.append(members)
         done = members.select("db_id", "v")
-        live = settle(
+        rest = settle(
             tinted.select("db_id", "src", "dst")
             .join(done.withColumnRenamed("v", "src"), ["db_id", "src"], "left_anti")
             .join(done.withColumnRenamed("v", "dst"), ["db_id", "dst"], "left_anti")
         )
+        release(inner, colours, tinted, reached, *(() if live is first else (live,)))
+        live = rest
     members = found[0]
     for more in found[1:]:
         members = members.unionByName(more)
@@ -222,9 +226,9 @@ def _spread(live: DataFrame) -> DataFrame:
         jumps = near.select("db_id", F.col("v").alias("near"), F.col("near").alias("far"))
         step = settle(
             near.join(jumps, ["db_id", "near"], "left")
-            .select("db_id", "v", "colour", F.greatest("near", "far").alias("next"))
-            .select("db_id", "v", F.col("next").alias("colour"), (F.col("next") != F.col("colour")).alias("moved"))
+            .select("db_id", "v", F.greatest("near", "far").alias("colour"), (F.greatest("near", "far") != F.col("colour")).alias("moved"))
         )
-        colours = step.drop("moved")
+        release(near, colours)
+        colours = step
         if step.where("moved").isEmpty():
-            return colours
+            return step

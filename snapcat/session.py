@@ -33,9 +33,18 @@ def build_session(app: str = "snapcat", master: str | None = None, shuffle_parti
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; where it names none, one in the warehouse, which is shared too."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; where it names none, one in the warehouse, which is shared too.
+
+    On a cluster, a warehouse in a local folder is another one on every machine, and is refused.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_settled"
+    if named:
+        return named
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    local = spark._jvm.org.apache.hadoop.fs.Path(warehouse).getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() == "file"
+    if local and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
+    return f"{warehouse}/_settled"
 
 
 def settle(frame: DataFrame) -> DataFrame:
@@ -43,11 +52,25 @@ def settle(frame: DataFrame) -> DataFrame:
 
     Cuts the lineage like a checkpoint and survives lost executors, but computes
     the frame once, and later reads take only the columns they need. The files
-    go when the application ends.
+    go when ``release`` is told that nothing reads them any more, or when the application ends.
     """
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(frame.schema).parquet(path)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out.settled_path = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files of settled frames that nothing planned or returned reads any more; rounds of an iteration go this way."""
+    for frame in frames:
+        if path := getattr(frame, "settled_path", None):
+            spark = frame.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+            system.delete(place, True)
+            system.cancelDeleteOnExit(place)
+            frame.settled_path = None
