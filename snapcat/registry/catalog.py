@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,8 @@ from snapcat.functions import codes
 from snapcat.operators import catalog as c
 from snapcat.plans.snapshot import SnapshotConfig, snapshot
 from snapcat.registry.facts import K, _sql
+from snapcat.session import settle, shared_folder
+from snapcat.sources.export import read_catalog, write_catalog
 from snapcat.sources.fleet import SCHEMAS, fleet_raw
 
 COMPUTED_AT = "2024-01-01T00:00:00Z"
@@ -163,6 +168,15 @@ def catalog_snapshot(spark, sf):
     return out
 
 
+def snapshot_from_export(spark, sf):
+    """The same from an export: relations written as Parquet, read back by schema, scoped, and snapshotted."""
+    root = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    write_catalog(fleet_raw(spark, sf), root)
+    frames = snapshot(read_catalog(spark, root), FULL)
+    out = [settle(frame.groupBy("db_id").agg(F.count("*").alias("row_count")).select("db_id", F.lit(name).alias("frame"), "row_count")) for name, frame in frames.items()]
+    return reduce(DataFrame.unionByName, out)
+
+
 def _with(operator, *relations):
     """Query on raw relations alone."""
     return lambda spark, sf: operator(*(fleet_raw(spark, sf)[r] for r in relations))
@@ -197,6 +211,7 @@ QUERIES = {
     "cat_table_stats": cat_table_stats,
     "database_meta": _with(c.databases, "pg_database"),
     "catalog_snapshot": catalog_snapshot,
+    "snapshot_from_export": snapshot_from_export,
 }
 
 
@@ -374,5 +389,5 @@ def _snapshot_sql() -> str:
 
 def oracles() -> dict[str, str]:
     out = {name: _sql(body, *needs) for name, (body, needs) in PARTS.items()}
-    out["catalog_snapshot"] = _snapshot_sql()
+    out["catalog_snapshot"] = out["snapshot_from_export"] = _snapshot_sql()
     return out

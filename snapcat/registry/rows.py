@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from snapcat.functions import toon
 from snapcat.operators import profile, sketches
-from snapcat.operators.toon_rows import toon_rows
+from snapcat.operators.toon_rows import toon_ranked, toon_rows
 from snapcat.session import settle
 
 # Columns of the given tables.
@@ -52,6 +52,10 @@ def read_nulled(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return read(spark, sf_dir, table).selectExpr(*(f"{changed[c]} AS {c}" if c in changed else c for c in TABLES[table]))
 
 
+def read_ranked(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return read_nulled(spark, sf_dir, table) if table in NULLED else read(spark, sf_dir, table)
+
+
 def nulled_sql(table: str) -> str:
     changed = NULLED[table]
     return "SELECT " + ", ".join(f"{changed[c]} AS {c}" if c in changed else c for c in TABLES[table]) + f" FROM {table}"
@@ -112,6 +116,10 @@ CHUNKS = {"nation": ("n_nationkey", 10), "supplier": ("s_suppkey", 50), "part":
           "orders": ("o_orderkey", 1000), "documents": ("doc_id", 20), "benchmark": ("item_id", 16)}
 
 
+#: Documents in the order of columns that are no key: many rows an order, NULLs, a few values for all rows.
+RANKED = {"lineitem": (["l_orderkey"], 500), "events": (["event_type", "user_id"], 300), "conversations": (["role"], 25)}
+
+
 def _top(df: DataFrame, cols) -> DataFrame:
     return profile.top_values(df, cols, TOP_K).withColumn("position", F.col("position").cast("bigint"))
 
@@ -222,6 +230,7 @@ QUERIES = {
     **{f"infer_fk_{n}": (lambda spark, sf, c=c, p=p, pairs=pairs: profile.inclusion(read(spark, sf, c), read(spark, sf, p), pairs))
        for n, (c, p, pairs) in PAIRS.items()},
     **{f"toon_rows_{t}": (lambda spark, sf, t=t, k=k, n=n: toon_rows(read(spark, sf, t), k, n)) for t, (k, n) in CHUNKS.items()},
+    **{f"toon_rows_{t}": (lambda spark, sf, t=t, k=k, n=n: toon_ranked(read_ranked(spark, sf, t), k, n)) for t, (k, n) in RANKED.items()},
     **{f"sketch_profile_{t}": (lambda spark, sf, t=t: merged_sketches(spark, sf, t)) for t in SKETCHED},
     "toon_quote": quoted_texts,
     "toon_number": number_texts,
@@ -346,6 +355,16 @@ def _chunk_sql(table: str, key: str, n: int) -> str:
     FROM {table} GROUP BY 1"""
 
 
+def _ranked_sql(table: str, keys: list[str], n: int) -> str:
+    cols = TABLES[table]
+    line = " || ',' || ".join(_scalar(c, kind) for c, kind in cols.items())
+    source = nulled_sql(table) if table in NULLED else f"SELECT * FROM {table}"
+    order = ", ".join(f"{k} NULLS FIRST" for k in keys)
+    return f"""SELECT (position - 1) // {n} AS chunk, count(*) AS row_count,
+    '[' || count(*) || ']{{{','.join(cols)}}}:' || string_agg(chr(10) || '  ' || line, '' ORDER BY position) AS doc
+    FROM (SELECT line, row_number() OVER (ORDER BY {order}, line) AS position FROM (SELECT *, {line} AS line FROM ({source}))) GROUP BY 1"""
+
+
 def oracles() -> dict[str, str]:
     numbers = [("embedding", "(SELECT CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)")]
     numbers += [(c, f"(SELECT {c} AS x FROM {t})") for t, c in NUMBERS]
@@ -363,6 +382,7 @@ def oracles() -> dict[str, str]:
            f"max({c}) - min({c}) + 1 - count(DISTINCT {c}) AS missing_keys FROM {t}" for t, c in DENSITY.items()},
         **{f"infer_fk_{n}": _pair_sql(c, p, pairs) for n, (c, p, pairs) in PAIRS.items()},
         **{f"toon_rows_{t}": _chunk_sql(t, k, n) for t, (k, n) in CHUNKS.items()},
+        **{f"toon_rows_{t}": _ranked_sql(t, k, n) for t, (k, n) in RANKED.items()},
         **{f"sketch_profile_{t}": f"WITH src AS ({nulled_sql(t)}) " + " UNION ALL ".join(
             f"SELECT '{c}' AS column_name, count(*) AS row_count, CAST(count(*) - count({c}) AS DOUBLE) / count(*) AS null_fraction, true AS distinct_close, "
             f"{'NULL' if kind == 'string' else 'true'} AS median_close FROM src" for c, kind in TABLES[t].items()) for t in SKETCHED},

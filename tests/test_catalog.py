@@ -80,3 +80,28 @@ def test_export_round_trip(spark, sf_dir, tmp_path):
     back = read_catalog(spark, str(tmp_path))
     for name, frame in raw.items():
         assert normal_rows(back[name], back[name].columns) == normal_rows(frame, back[name].columns)
+
+
+def test_schema_filter_reaches_the_scan_of_an_export(spark, sf_dir, tmp_path):
+    """The schemas of a snapshot are pushed into the Parquet scans, and only the columns that it needs are read."""
+    from snapcat.plans.snapshot import SnapshotConfig, snapshot
+    from snapcat.sources.export import read_catalog, write_catalog
+    from snapcat.sources.fleet import fleet_raw
+
+    raw = {name: frame.where("db_id < 3") for name, frame in fleet_raw(spark, sf_dir).items() if name in ("info_columns", "info_tables", "pg_class", "pg_namespace", "pg_description", "pg_attribute")}
+    write_catalog(raw, str(tmp_path))
+    frames = snapshot(read_catalog(spark, str(tmp_path)), SnapshotConfig(schemas=("app",)))
+    assert {r.schema_name for r in frames["columns"].select("schema_name").distinct().collect()} == {"app"}
+    # Scans are told apart by their columns.
+    scan = scan_with(spark, frames["columns"], "ordinal_position")
+    assert "EqualTo(table_schema,app)" in scan or "In(table_schema, [app])" in scan
+    assert "EqualTo(table_type,BASE TABLE)" in scan_with(spark, frames["tables"], "table_type")
+
+
+def scan_with(spark, frame, column):
+    spark.conf.set("spark.sql.maxMetadataStringLength", 5000)
+    try:
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    return next(line for line in plan.splitlines() if "FileScan" in line and column in line)

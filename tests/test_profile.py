@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from snapcat.operators import profile
+from snapcat.operators.toon_rows import toon_ranked
 
 
 def rows(df):
@@ -76,3 +77,13 @@ def test_one_hot_value(spark):
     df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k"))
     assert tuple(profile.check_key(df, ["k"]).first()) == (30_000, 20_001, 1, 0, False)
     assert profile.top_values(df, ["k"], 1).first().n == 10_000
+
+
+def test_documents_over_any_key(spark):
+    """A hot key, NULLs and equal rows: consecutive rows of equal documents, nothing refused."""
+    data = [(None if k % 7 == 0 else "hot" if k % 3 else f"k{k}", k // 2) for k in range(200)]
+    docs = toon_ranked(spark.createDataFrame(data, "s string, n int").repartition(5), ["s"], 30).collect()
+    lines = [line.strip() for d in sorted(docs, key=lambda d: d.chunk) for line in d.doc.split("\n")[1:]]
+    assert lines == [line for _, line in sorted(((s is not None, s or ""), f"{'null' if s is None else s},{n}") for s, n in data)]
+    assert [d.row_count for d in sorted(docs, key=lambda d: d.chunk)] == [30] * 6 + [20] and docs[0].doc.startswith(f"[{docs[0].row_count}]{{s,n}}:")
+    assert toon_ranked(spark.createDataFrame([], "s string"), ["s"], 3).count() == 0
