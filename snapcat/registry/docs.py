@@ -44,6 +44,16 @@ def doc_query(kind: str):
     return lambda spark, sf: build(model(spark, sf)).select(*COLS)
 
 
+#: Kinds of documents whose order is checked, too: labels, lists by type, positions of columns, runs and buckets.
+ORDERED = ("constraints", "enums", "index", "overview", "relations", "relationships")
+
+
+def ordered_query(kind: str):
+    """Documents of a kind, every piece of text at its place."""
+    build, _ = art.KINDS[kind]
+    return lambda spark, sf: fr.with_positions(build(model(spark, sf))).select("db_id", "path", "position", "text")
+
+
 def redacted_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comment documents of a run that redacts comments: only the semantics remain."""
     cfg = SnapshotConfig(schemas=SCHEMAS, redact_comments=True, redact_definitions=True)
@@ -194,6 +204,7 @@ QUERIES = {
     "toon_object": number_objects,
     "toon_table": event_lists,
     "toon_mixed": mixed_lists,
+    **{f"ordered_{kind}": ordered_query(kind) for kind in ORDERED},
     "docs_files": docs_files,
     "doc_stats_rows": lambda spark, sf: art.doc_stats(row_model(spark, sf)).select(*COLS),
     "doc_comments_rows": lambda spark, sf: art.doc_comments(row_model(spark, sf)).select(*COLS),
@@ -205,6 +216,8 @@ QUERIES = {
 # --- oracles -----------------------------------------------------------------
 
 NL = "chr(10)"
+#: Places of what begins and ends a list.
+FIRST, LAST = "CAST('-inf' AS DOUBLE)", "CAST('inf' AS DOUBLE)"
 
 
 def _value(f: toon.Field) -> str:
@@ -263,13 +276,13 @@ def _list_sql(rows: str, fields, docs: str | None = None) -> str:
     names = _ws("','", [f"CASE WHEN low & {1 << i} > 0 THEN '{f.name}' END" for i, f in enumerate(fields)])
     group = "db_id, path, section, list_name"
     source = f"({docs}) d LEFT JOIN facts USING ({group})" if docs else "facts"
-    return f"""(WITH shaped AS MATERIALIZED (SELECT {group}, k1, k2, {mask} AS mask, {nested} AS nested, {row} AS row_text,
+    return f"""(WITH shaped AS MATERIALIZED (SELECT {group}, k1, CAST(ord AS DOUBLE) AS ord, k2, {mask} AS mask, {nested} AS nested, {row} AS row_text,
       {_dash(fields)} AS dash_text FROM ({rows})),
     facts AS MATERIALIZED (SELECT {group}, count(*) AS n, min(mask) AS low, min(mask) = max(mask) AND min(mask) > 0 AND NOT bool_or(nested) AS tabular
       FROM shaped GROUP BY ALL)
-    SELECT db_id, path, section, '' AS k1, '' AS k2, {NL} || list_name || ':' || CASE WHEN tabular THEN '[' || n || ']{{' || {names} || '}}:'
+    SELECT db_id, path, section, '' AS k1, {FIRST} AS ord, '' AS k2, {NL} || list_name || ':' || CASE WHEN tabular THEN '[' || n || ']{{' || {names} || '}}:'
       ELSE '[' || coalesce(n, 0) || ']:' END AS text FROM {source}
-    UNION ALL SELECT db_id, path, section, k1, k2, {NL} || CASE WHEN tabular THEN '  ' || row_text ELSE dash_text END
+    UNION ALL SELECT db_id, path, section, k1, ord, k2, {NL} || CASE WHEN tabular THEN '  ' || row_text ELSE dash_text END
       FROM shaped JOIN facts USING ({group}))"""
 
 
@@ -279,15 +292,15 @@ def _run_sql(rows: str, separator: str, head: str, tail: str | None = None, grou
     source = f"({groups}) g LEFT JOIN facts USING ({run})" if groups else "facts"
     out = f"""(WITH placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {run} ORDER BY ord, k2) AS place FROM ({rows})),
     facts AS MATERIALIZED (SELECT {run}, count(*) AS c FROM placed GROUP BY ALL)
-    SELECT db_id, path, section, k1, '' AS k2, {head} AS text FROM (SELECT *, coalesce(c, 0) AS n FROM {source})
-    UNION ALL SELECT {run}, k2, CASE WHEN place = 1 THEN '' ELSE '{separator}' END || value FROM placed"""
+    SELECT db_id, path, section, k1, {FIRST} AS ord, '' AS k2, {head} AS text FROM (SELECT *, coalesce(c, 0) AS n FROM {source})
+    UNION ALL SELECT {run}, CAST(ord AS DOUBLE), k2, CASE WHEN place = 1 THEN '' ELSE '{separator}' END || value FROM placed"""
     if tail:
-        out += f" UNION ALL SELECT db_id, path, section, k1, '', {tail} FROM (SELECT *, coalesce(c, 0) AS n FROM {source})"
+        out += f" UNION ALL SELECT db_id, path, section, k1, {LAST}, '', {tail} FROM (SELECT *, coalesce(c, 0) AS n FROM {source})"
     return out + ")"
 
 
 def _whole(body: str, source: str, section: int = 0) -> str:
-    return (f"SELECT db_id, path, {section} AS section, '' AS k1, '' AS k2, {NL} || body AS text FROM "
+    return (f"SELECT db_id, path, {section} AS section, '' AS k1, CAST(0 AS DOUBLE) AS ord, '' AS k2, {NL} || body AS text FROM "
             f"(SELECT *, {body} AS body FROM ({source})) WHERE body IS NOT NULL")
 
 
@@ -315,20 +328,17 @@ def _heads(docs: str, section: int, name: str) -> str:
     return f"SELECT db_id, path, {section} AS section, '{name}' AS list_name FROM {docs}"
 
 
-def _place(section: int, name: str, k1: str, k2: str) -> str:
-    return f"{section} AS section, '{name}' AS list_name, {k1} AS k1, {k2} AS k2"
+def _place(section: int, name: str, k1: str, k2: str, order: str = "0") -> str:
+    return f"{section} AS section, '{name}' AS list_name, {k1} AS k1, {order} AS ord, {k2} AS k2"
 
 
 def _columns_sql(docs: str, columns: str) -> str:
     shaped = _list_sql(
-        f"SELECT c.*, path, {_place(0, 'columns', chr(39) * 2, chr(39) * 2)} FROM ({columns}) c JOIN {docs} USING ({KEYS})",
+        f"SELECT c.*, path, {_place(0, 'columns', chr(39) * 2, chr(39) * 2, 'ordinal_position')} FROM ({columns}) c JOIN {docs} USING ({KEYS})",
         art.COLUMN, _heads(docs, 0, "columns"))
-    # The list is gathered in one fragment: heads sort first by ordinal -1.
-    shaped = shaped.replace("k1, k2, ", "k1, k2, ordinal_position AS pos, ", 1)
-    shaped = shaped.replace("'' AS k1, '' AS k2,", "-1 AS pos,").replace("section, k1, k2, chr(10)", "pos, chr(10)")
-    shaped = shaped.replace("SELECT db_id, path, section, -1 AS pos", "SELECT db_id, path, -1 AS pos").replace(
-        "SELECT db_id, path, pos", "SELECT db_id, path, pos")
-    return (f"SELECT db_id, path, 0 AS section, '' AS k1, '' AS k2, string_agg(text, '' ORDER BY pos) AS text FROM {shaped} GROUP BY db_id, path")
+    # The list is gathered in one fragment.
+    return f"""SELECT db_id, path, 0 AS section, '' AS k1, CAST(0 AS DOUBLE) AS ord, '' AS k2, string_agg(text, '' ORDER BY ord) AS text
+        FROM {shaped} GROUP BY db_id, path"""
 
 
 def _quoted_list(test: str, column: str, order: str) -> str:
@@ -417,8 +427,8 @@ def _overview_sql() -> str:
     buckets = f"""SELECT db_id, db_id || '/llms.txt' AS path, {section} AS section, '' AS k1, 0 AS ord,
       schema_name || {SEP} || table_name AS k2, '`' || table_name || '`' AS value FROM flags"""
     related = "SELECT db_id, db_id || '/llms.txt' AS path FROM counts GROUP BY db_id HAVING bool_or(fk_in > 0 OR fk_out > 0)"
-    plain = "SELECT db_id, path, {} AS section, '' AS k1, '' AS k2, chr(10) AS text FROM ({})"
-    points = f"""SELECT db_id, db_id || '/llms.txt' AS path, 21 AS section, '' AS k1, '' AS k2, {NL} || '- `' || table_name ||
+    plain = "SELECT db_id, path, {} AS section, '' AS k1, CAST(0 AS DOUBLE) AS ord, '' AS k2, chr(10) AS text FROM ({})"
+    points = f"""SELECT db_id, db_id || '/llms.txt' AS path, 21 AS section, '' AS k1, CAST(position AS DOUBLE) AS ord, '' AS k2, {NL} || '- `' || table_name ||
       '` ← referenced by ' || fk_in || ' tables' AS text FROM (SELECT *, row_number() OVER (PARTITION BY db_id ORDER BY fk_in DESC,
       schema_name, table_name) AS position FROM counts WHERE fk_in >= 2) WHERE position <= 5"""
     enum_run = f"db_id, db_id || '/llms.txt' AS path, 31 AS section, schema_name || {SEP} || enum_name AS k1"
@@ -466,10 +476,10 @@ def _doc_parts() -> dict[str, tuple[str, tuple[str, ...]]]:
             art.INDEX, _heads(_tdoc("indexes"), 0, "indexes")), ("f_tables", "f_indexes", DIRS)),
         "constraints": (" UNION ALL ".join([
             _whole(f"'primary_key:' || {NL} || {_lines(art.CONSTRAINT, '  ')}", f"{named} WHERE constraint_type = 'PRIMARY KEY'"),
-            "SELECT * FROM " + _list_sql(f"SELECT *, {sections} AS section, {list_names} AS list_name, '' AS k1, constraint_name AS k2 "
+            "SELECT * FROM " + _list_sql(f"SELECT *, {sections} AS section, {list_names} AS list_name, '' AS k1, 0 AS ord, constraint_name AS k2 "
                                          f"FROM ({named}) WHERE constraint_type <> 'PRIMARY KEY'", art.CONSTRAINT),
             "SELECT * FROM " + _list_sql(
-                f"""SELECT db_id, path, {_place(40, 'not_null_constraints', chr(39) * 2, chr(39) * 2)}, column_name || '_not_null' AS constraint_name,
+                f"""SELECT db_id, path, {_place(40, 'not_null_constraints', chr(39) * 2, chr(39) * 2, 'ordinal_position')}, column_name || '_not_null' AS constraint_name,
                 'NOT NULL' AS constraint_type, [column_name] AS columns FROM f_columns JOIN {_tdoc('constraints')} USING ({KEYS})
                 WHERE NOT nullable""", art.NOT_NULL)]), ("f_tables", "f_columns", "f_constraints", DIRS)),
         "relations": (" UNION ALL ".join([
@@ -497,7 +507,7 @@ def _doc_parts() -> dict[str, tuple[str, tuple[str, ...]]]:
         "view_definition": (_whole(_lines(art.VIEW), f"SELECT * FROM ({cat.VIEWS}) JOIN {_vdoc('definition')} USING ({KEYS})"), view_needs),
         "view_columns": (_columns_sql(_vdoc("columns"), view_cols), commented),
         "view_dependencies": (" UNION ALL ".join([
-            f"SELECT db_id, path, 0 AS section, '' AS k1, '' AS k2, '' AS text FROM {_vdoc('dependencies')}",
+            f"SELECT db_id, path, 0 AS section, '' AS k1, CAST(0 AS DOUBLE) AS ord, '' AS k2, '' AS text FROM {_vdoc('dependencies')}",
             *("SELECT * FROM " + _run_sql(
                 f"""SELECT db_id, path, {n} AS section, '' AS k1, 0 AS ord, dependency AS k2, {_quoted('dependency')} AS value
                 FROM ({cat.VIEW_DEPS}) JOIN {_vdoc('dependencies')} USING ({KEYS}) WHERE dep_kind = '{k}'""", ",", f"{NL} || '{name}:' || {HEAD}")
@@ -597,9 +607,9 @@ def _row_stats_sql() -> str:
         tables.append(f"SELECT '{table}' AS table_name, count(*) AS row_count_estimate FROM {table}")
     lines = _ws(NL, [_line(f, "    ") for f in art.COLUMN_STAT] + ["'    min: ' || min_text", "'    max: ' || max_text", f"'    top_values:' || {_joined('top_values')}"])
     body = _ws(NL, [f"'computed_at: \"{COMPUTED_AT}\"'", "'sampling_strategy: full_scan'", _line(toon.Field("row_count_estimate", "integer", "null")), _comment_map("per_column_stats", "entries")])
-    return "WITH c AS MATERIALIZED (" + " UNION ALL ".join(columns) + "), t AS (" + " UNION ALL ".join(tables) + ") " + _whole(
+    return "WITH c AS MATERIALIZED (" + " UNION ALL ".join(columns) + "), t AS (" + " UNION ALL ".join(tables) + ") " + _unplaced(_whole(
         body, f"""SELECT * FROM t JOIN (SELECT table_name, CAST(0 AS BIGINT) AS db_id, '0/public/tables/' || table_name || '/table.stats.toon' AS path,
-        list('  ' || column_name || ':' || {NL} || {lines} ORDER BY column_name) AS entries FROM c GROUP BY ALL) USING (table_name)""")
+        list('  ' || column_name || ':' || {NL} || {lines} ORDER BY column_name) AS entries FROM c GROUP BY ALL) USING (table_name)"""))
 
 
 def _joined(texts: str) -> str:
@@ -617,19 +627,27 @@ def _row_comments_sql() -> str:
     lists = ", ".join([f"{_quoted_list('enum_like', 'column_name', 'ordinal_position')} AS enum_like_columns",
                        *(f"{_quoted_list(facts.SEM[k], 'column_name', 'ordinal_position')} AS {name}_columns" for k, name in kinds)])
     semantic = _ws(NL, [f"CASE WHEN len({n}_columns) > 0 THEN '  {n}_columns:' || {_list(f'{n}_columns')} END" for n in ("enum_like", *(n for _, n in kinds))])
-    return "WITH c AS MATERIALIZED (" + " UNION ALL ".join(columns) + ") " + _whole(
+    return "WITH c AS MATERIALIZED (" + " UNION ALL ".join(columns) + ") " + _unplaced(_whole(
         f"CASE WHEN {semantic} <> '' THEN 'inferred_semantics:' || {NL} || {semantic} ELSE '' END",
-        f"SELECT CAST(0 AS BIGINT) AS db_id, '0/public/tables/' || table_name || '/table.comments.toon' AS path, {lists} FROM c GROUP BY table_name")
+        f"SELECT CAST(0 AS BIGINT) AS db_id, '0/public/tables/' || table_name || '/table.comments.toon' AS path, {lists} FROM c GROUP BY table_name"))
 
 
 def _recursive(sql: str) -> str:
     return sql.replace("WITH ", "WITH RECURSIVE ", 1) if facts.MEMBERS[0] in sql else sql
 
 
+def _unplaced(body: str) -> str:
+    return f"SELECT * EXCLUDE (ord) FROM ({body})"
+
+
 def oracles() -> dict[str, str]:
     parts = _doc_parts()
-    out = {f"doc_{kind}": _recursive(_sql(body, *needs)) for kind, (body, needs) in parts.items()}
-    out["doc_comments_redacted"] = _sql(_comments_sql(False), "f_tables", "f_columns", DIRS)
+    out = {f"doc_{kind}": _recursive(_sql(_unplaced(body), *needs)) for kind, (body, needs) in parts.items()}
+    for kind in ORDERED:
+        body, needs = parts[kind]
+        out[f"ordered_{kind}"] = _recursive(_sql(
+            f"SELECT db_id, path, row_number() OVER (PARTITION BY db_id, path ORDER BY section, k1, ord, k2, text) AS position, text FROM ({body})", *needs))
+    out["doc_comments_redacted"] = _sql(_unplaced(_comments_sql(False)), "f_tables", "f_columns", DIRS)
     out["doc_paths"] = _sql(f"SELECT * FROM {_tdoc('structure')}", "f_tables", DIRS)
     out["schema_list"] = _sql(
         """SELECT db_id, CASE WHEN count(DISTINCT schema_name) = 1 THEN '`' || min(schema_name) || '` schema'
@@ -639,7 +657,7 @@ def oracles() -> dict[str, str]:
     body = _ws(NL, [_line(toon.Field("o_orderkey", "integer")), _line(toon.Field("o_totalprice", "double")),
                     f"'state:' || {NL} || {_lines(inner, '  ')}"])
     out["toon_object"] = f"SELECT o_orderkey, {body} AS doc FROM (SELECT *, nullif(o_orderpriority, '5-LOW') AS o_priority FROM orders)"
-    out["toon_table"] = "SELECT * FROM " + _list_sql(
+    out["toon_table"] = "SELECT * EXCLUDE (ord) FROM " + _list_sql(
         f"""SELECT user_id AS db_id, 'user/' || user_id AS path, {_place(0, 'events', chr(39) * 2, 'CAST(event_id AS VARCHAR)')}, event_type,
         {', '.join(f'{e} AS {n}' for n, e in EVENT_LISTS.items())} FROM events""", EVENT)
     out["doc_stats_rows"], out["doc_comments_rows"] = _row_stats_sql(), _row_comments_sql()
