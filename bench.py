@@ -28,6 +28,9 @@ HEADLINE = [
     "cat_indexes",
     "doc_columns",
     "doc_index",
+    "doc_relations",
+    "doc_constraints",
+    "doc_stats_rows",
     "fk_scc",
     "profile_lineitem",
     "profile_orders",
