@@ -1,8 +1,8 @@
 """Group A: raw catalog relations -> normalised frames, for all databases at once.
 
-Every join equates ``db_id``. Attribute names come from one map per relation
-(at most 1,600 columns each, the server's limit), so ordered key lists need no
-explode and no regrouping: a single join, then a lookup per key slot.
+Every join equates ``db_id``. Key slots become rows that meet their attribute by
+(relation, number) and are gathered again, 32 at most: attributes outside any key
+are in no group, and relations of any width cost what their keys cost.
 """
 
 from __future__ import annotations
@@ -46,17 +46,32 @@ def descriptions(pg_description: DataFrame, classoid: str) -> DataFrame:
     )
 
 
-def attribute_names(pg_attribute: DataFrame) -> DataFrame:
-    """Map of attribute number to name, one row per relation."""
-    return (
-        pg_attribute.groupBy("db_id", "attrelid")
-        .agg(F.map_from_entries(F.collect_list(F.struct("attnum", "attname"))).alias("names"))
-    )
+def key_names(keyed: DataFrame, ident: str, slots: dict[str, tuple[str, str]], pg_attribute: DataFrame) -> DataFrame:
+    """Names of key slots in key order, a row for each (db_id, ``ident``) with any name; slots without an attribute vanish.
+
+    ``slots`` gives for each list of names the columns with the relation and its attribute numbers.
+    """
+    def numbered(out: str, relation: str, key: str) -> Column:
+        slot = lambda number, place: F.struct(
+            F.lit(out).alias("side"), place.alias("place"), F.col(relation).alias("attrelid"), number.cast("int").alias("attnum"))
+        return F.transform(F.coalesce(key, F.array().cast("array<int>")), slot)
+
+    listed = F.flatten(F.array(*(numbered(out, *where) for out, where in slots.items())))
+    named = keyed.select("db_id", ident, F.inline(listed)).join(
+        pg_attribute.select("db_id", "attrelid", F.col("attnum").cast("int").alias("attnum"), "attname"), ["db_id", "attrelid", "attnum"])
 
+    def names(out: str) -> Column:
+        # At most 32 slots, the server's limit on a key.
+        slot = F.when(F.col("side") == out, F.struct("place", "attname"))
+        return F.transform(F.array_sort(F.collect_list(slot)), lambda s: s["attname"]).alias(out)
 
-def key_names(names: Column, key: Column) -> Column:
-    """Names of the key slots in key order; slots without an attribute vanish."""
-    return F.coalesce(F.array_compact(F.transform(key, lambda slot: F.try_element_at(names, slot))), F.array().cast("array<string>"))
+    return named.groupBy("db_id", ident).agg(*(names(out) for out in slots))
+
+
+def with_key_names(keyed: DataFrame, ident: str, slots: dict[str, tuple[str, str]], pg_attribute: DataFrame) -> DataFrame:
+    """Adds the lists of ``key_names``, empty where no slot has a name."""
+    joined = keyed.join(key_names(keyed, ident, slots, pg_attribute), ["db_id", ident], "left")
+    return joined.withColumns({out: F.coalesce(out, F.array().cast("array<string>")) for out in slots})
 
 
 def tables(info_tables: DataFrame, classes: DataFrame, pg_description: DataFrame, schemas: Sequence[str]) -> DataFrame:
@@ -123,19 +138,18 @@ def with_column_comments(
     return columns.join(named, [*KEY, "column_name"], "left")
 
 
-def constraints(pg_constraint: DataFrame, scope: DataFrame, names: DataFrame) -> DataFrame:
+def constraints(pg_constraint: DataFrame, scope: DataFrame, pg_attribute: DataFrame) -> DataFrame:
     """Primary key, unique, check and exclusion constraints with column names in key order."""
     kind = codes.constraint_type(F.col("contype"))
+    own = pg_constraint.where(F.col("contype").isin("p", "u", "c", "x")).withColumnRenamed("oid", "constraint_oid")
     return (
-        pg_constraint.where(F.col("contype").isin("p", "u", "c", "x"))
-        .withColumnRenamed("oid", "constraint_oid")
+        with_key_names(own, "constraint_oid", {"columns": ("conrelid", "conkey")}, pg_attribute)
         .join(scope.withColumnRenamed("oid", "conrelid"), ["db_id", "conrelid"])
-        .join(names.withColumnRenamed("attrelid", "conrelid"), ["db_id", "conrelid"], "left")
         .select(
             *KEY,
             F.col("conname").alias("constraint_name"),
             kind.alias("constraint_type"),
-            key_names(F.col("names"), F.col("conkey")).alias("columns"),
+            "columns",
             F.when(kind == "CHECK", F.col("definition")).alias("expression"),
             "definition",
         )
@@ -143,7 +157,7 @@ def constraints(pg_constraint: DataFrame, scope: DataFrame, names: DataFrame) ->
 
 
 def indexes(
-    pg_index: DataFrame, scope: DataFrame, pg_class: DataFrame, pg_am: DataFrame, names: DataFrame
+    pg_index: DataFrame, scope: DataFrame, pg_class: DataFrame, pg_am: DataFrame, pg_attribute: DataFrame
 ) -> DataFrame:
     """Indexes with key columns (expression slots vanish, INCLUDE columns are listed too)."""
     methods = pg_am.select("db_id", F.col("oid").alias("relam"), F.col("amname").alias("index_type"))
@@ -151,10 +165,8 @@ def indexes(
         "db_id", F.col("oid").alias("indexrelid"), F.col("relname").alias("index_name"), "relam"
     ).join(methods, ["db_id", "relam"])
     return (
-        pg_index.join(scope.withColumnRenamed("oid", "indrelid"), ["db_id", "indrelid"])
-        .join(names.withColumnRenamed("attrelid", "indrelid"), ["db_id", "indrelid"], "left")
-        .withColumn("columns", key_names(F.col("names"), F.col("indkey")))
-        .drop("names")
+        with_key_names(pg_index, "indexrelid", {"columns": ("indrelid", "indkey")}, pg_attribute)
+        .join(scope.withColumnRenamed("oid", "indrelid"), ["db_id", "indrelid"])
         .join(index_class, ["db_id", "indexrelid"])
         .select(
             *KEY,
@@ -171,20 +183,19 @@ def indexes(
     )
 
 
-def foreign_keys(pg_constraint: DataFrame, scope: DataFrame, classes: DataFrame, names: DataFrame) -> DataFrame:
+def foreign_keys(pg_constraint: DataFrame, scope: DataFrame, classes: DataFrame, pg_attribute: DataFrame) -> DataFrame:
     """Foreign keys of the tables; targets outside the schemas are kept."""
     source = scope.select(
         "db_id", F.col("oid").alias("conrelid"), F.col("schema_name").alias("from_schema"), F.col("table_name").alias("from_table")
     )
     target = classes.select(
         "db_id", F.col("oid").alias("confrelid"), F.col("schema_name").alias("to_schema"), F.col("table_name").alias("to_table")
-    ).join(names.select("db_id", F.col("attrelid").alias("confrelid"), F.col("names").alias("to_names")), ["db_id", "confrelid"], "left")
+    )
+    own = pg_constraint.where(F.col("contype") == "f").withColumnRenamed("oid", "constraint_oid")
+    slots = {"from_columns": ("conrelid", "conkey"), "to_columns": ("confrelid", "confkey")}
     return (
-        pg_constraint.where(F.col("contype") == "f")
+        with_key_names(own, "constraint_oid", slots, pg_attribute)
         .join(source, ["db_id", "conrelid"])
-        .join(names.withColumnRenamed("attrelid", "conrelid"), ["db_id", "conrelid"], "left")
-        .withColumn("from_columns", key_names(F.col("names"), F.col("conkey")))
-        .drop("names")
         .join(target, ["db_id", "confrelid"])
         .select(
             "db_id",
@@ -194,7 +205,7 @@ def foreign_keys(pg_constraint: DataFrame, scope: DataFrame, classes: DataFrame,
             "from_columns",
             "to_schema",
             "to_table",
-            key_names(F.col("to_names"), F.col("confkey")).alias("to_columns"),
+            "to_columns",
             codes.fk_action(F.col("confupdtype")).alias("on_update"),
             codes.fk_action(F.col("confdeltype")).alias("on_delete"),
         )

@@ -34,10 +34,6 @@ def snapshot(raw: Mapping[str, DataFrame], cfg: SnapshotConfig) -> LazyFrames:
     def classes() -> DataFrame:
         return c.named_classes(raw["pg_class"], raw["pg_namespace"])
 
-    @cache
-    def names() -> DataFrame:
-        return c.attribute_names(raw["pg_attribute"])
-
     @cache
     def listed() -> DataFrame:
         listed = c.tables(raw["info_tables"], classes(), raw["pg_description"], cfg.schemas)
@@ -59,15 +55,15 @@ def snapshot(raw: Mapping[str, DataFrame], cfg: SnapshotConfig) -> LazyFrames:
         return c.enums(raw["pg_type"], raw["pg_namespace"], raw["pg_description"], cfg.schemas, cfg.redact_comments)
 
     def foreign_keys() -> DataFrame:
-        fks = c.foreign_keys(raw["pg_constraint"], scope(), classes(), names())
+        fks = c.foreign_keys(raw["pg_constraint"], scope(), classes(), raw["pg_attribute"])
         return c.with_fk_nullable(fks, out["columns"])
 
     builders = {
         "databases": lambda: c.databases(raw["pg_database"]),
         "tables": lambda: listed().join(c.row_estimates(classes(), listed()), c.KEY, "left"),
         "columns": lambda: all_columns().join(listed().select(*c.KEY), c.KEY, "left_semi"),
-        "constraints": lambda: c.constraints(raw["pg_constraint"], scope(), names()),
-        "indexes": lambda: c.indexes(raw["pg_index"], scope(), raw["pg_class"], raw["pg_am"], names()),
+        "constraints": lambda: c.constraints(raw["pg_constraint"], scope(), raw["pg_attribute"]),
+        "indexes": lambda: c.indexes(raw["pg_index"], scope(), raw["pg_class"], raw["pg_am"], raw["pg_attribute"]),
         "foreign_keys": foreign_keys,
         "triggers": lambda: c.triggers(
             raw["pg_trigger"], scope(), raw["pg_proc"], raw["pg_namespace"], cfg.redact_definitions

@@ -38,9 +38,6 @@ class Raw:
         listed = self.r["info_tables"].where(F.col("table_schema").isin(*SCHEMAS) & (F.col("table_type") == "BASE TABLE"))
         return c.table_scope(listed.withColumnRenamed("table_schema", "schema_name"), self.classes)
 
-    def names(self) -> DataFrame:
-        return c.attribute_names(self.r["pg_attribute"])
-
     def views(self) -> DataFrame:
         return c.views(self.r["info_views"], self.classes, self.notes, SCHEMAS)
 
@@ -62,18 +59,18 @@ def cat_column_comments(spark, sf):
 
 def cat_constraints(spark, sf):
     raw = Raw(spark, sf)
-    return lists(c.constraints(raw.r["pg_constraint"], raw.scope(), raw.names()), "columns")
+    return lists(c.constraints(raw.r["pg_constraint"], raw.scope(), raw.r["pg_attribute"]), "columns")
 
 
 def cat_indexes(spark, sf):
     raw = Raw(spark, sf)
-    out = c.indexes(raw.r["pg_index"], raw.scope(), raw.r["pg_class"], raw.r["pg_am"], raw.names())
+    out = c.indexes(raw.r["pg_index"], raw.scope(), raw.r["pg_class"], raw.r["pg_am"], raw.r["pg_attribute"])
     return lists(out, "columns", "include_columns")
 
 
 def cat_foreign_keys(spark, sf):
     raw = Raw(spark, sf)
-    return lists(c.foreign_keys(raw.r["pg_constraint"], raw.scope(), raw.classes, raw.names()), "from_columns", "to_columns")
+    return lists(c.foreign_keys(raw.r["pg_constraint"], raw.scope(), raw.classes, raw.r["pg_attribute"]), "from_columns", "to_columns")
 
 
 def cat_triggers(spark, sf):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from snapcat.functions import codes
-from snapcat.operators.catalog import parse_schemas
+from snapcat.operators.catalog import parse_schemas, with_key_names
 from snapcat.plans.snapshot import SnapshotConfig, snapshot
 from snapcat.sources.export import read_catalog, write_catalog
 from snapcat.sources.fleet import SCHEMAS, fleet_normal, fleet_raw
@@ -105,3 +105,15 @@ def scan_with(spark, frame, column):
     finally:
         spark.conf.unset("spark.sql.maxMetadataStringLength")
     return next(line for line in plan.splitlines() if "FileScan" in line and column in line)
+
+
+def test_key_names(spark):
+    attributes = spark.createDataFrame(
+        [(1, 10, "a", 1), (1, 10, "b", 2), (1, 11, "x", 1), (1, 11, "y", 2), (2, 10, "other", 1)],
+        "db_id bigint, attrelid bigint, attname string, attnum int")
+    keyed = spark.createDataFrame(
+        [(1, 1, 10, [2, 1], 11, [1, 2]), (1, 2, 10, [0, 1], 11, [9]), (1, 3, 10, None, 11, []), (1, 4, 10, [1, 1], 12, [1]), (2, 1, 10, [1], 0, None)],
+        "db_id bigint, id bigint, rel bigint, key array<int>, target bigint, refs array<int>")
+    got = with_key_names(keyed, "id", {"names": ("rel", "key"), "to": ("target", "refs")}, attributes)
+    assert {(r.db_id, r.id): (r.names, r.to) for r in got.collect()} == {
+        (1, 1): (["b", "a"], ["x", "y"]), (1, 2): (["a"], []), (1, 3): ([], []), (1, 4): (["a", "a"], []), (2, 1): (["other"], [])}
