@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from snapcat.registry import catalog, docs, facts, rows
+from snapcat.registry import catalog, docs, facts, given, rows
 
-MODULES = (catalog, facts, rows, docs)
+MODULES = (catalog, facts, rows, docs, given)
 
 
 def all_queries() -> dict:

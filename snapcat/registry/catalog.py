@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapcat.functions import codes
@@ -25,8 +26,8 @@ FULL = SnapshotConfig(
 class Raw:
     """Raw relations and the frames most operators start from."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.r = fleet_raw(spark, sf_dir)
+    def __init__(self, relations: Mapping[str, DataFrame]):
+        self.r = relations
         self.classes = c.named_classes(self.r["pg_class"], self.r["pg_namespace"])
         self.notes = self.r["pg_description"]
 
@@ -46,46 +47,39 @@ def lists(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.array_join(n, ",") for n in names})
 
 
-def cat_row_estimate(spark, sf):
-    raw = Raw(spark, sf)
+def cat_row_estimate(raw: Raw):
     return c.row_estimates(raw.classes, raw.tables())
 
 
-def cat_column_comments(spark, sf):
-    raw = Raw(spark, sf)
+def cat_column_comments(raw: Raw):
     commented = c.with_column_comments(c.columns(raw.r["info_columns"]), raw.classes, raw.r["pg_attribute"], raw.notes)
     return commented.select(*K, "column_name", "comment")
 
 
-def cat_constraints(spark, sf):
-    raw = Raw(spark, sf)
+def cat_constraints(raw: Raw):
     return lists(c.constraints(raw.r["pg_constraint"], raw.scope(), raw.r["pg_attribute"]), "columns")
 
 
-def cat_indexes(spark, sf):
-    raw = Raw(spark, sf)
+def cat_indexes(raw: Raw):
     out = c.indexes(raw.r["pg_index"], raw.scope(), raw.r["pg_class"], raw.r["pg_am"], raw.r["pg_attribute"])
     return lists(out, "columns", "include_columns")
 
 
-def cat_foreign_keys(spark, sf):
-    raw = Raw(spark, sf)
+def cat_foreign_keys(raw: Raw):
     return lists(c.foreign_keys(raw.r["pg_constraint"], raw.scope(), raw.classes, raw.r["pg_attribute"]), "from_columns", "to_columns")
 
 
-def cat_triggers(spark, sf):
-    raw = Raw(spark, sf)
+def cat_triggers(raw: Raw):
     return lists(c.triggers(raw.r["pg_trigger"], raw.scope(), raw.r["pg_proc"], raw.r["pg_namespace"]), "events")
 
 
-def trigger_bits(spark, sf):
-    bits = Raw(spark, sf).r["pg_trigger"].select("db_id", "oid", "tgtype", codes.trigger_timing(F.col("tgtype")).alias("timing"),
+def trigger_bits(raw: Raw):
+    bits = raw.r["pg_trigger"].select("db_id", "oid", "tgtype", codes.trigger_timing(F.col("tgtype")).alias("timing"),
                                                  codes.trigger_events(F.col("tgtype")).alias("events"))
     return lists(bits, "events")
 
 
-def cat_enums(spark, sf):
-    raw = Raw(spark, sf)
+def cat_enums(raw: Raw):
     enums = c.enums(raw.r["pg_type"], raw.r["pg_namespace"], raw.notes, SCHEMAS)
     return c.enum_labels(enums, raw.r["pg_enum"])
 
@@ -94,8 +88,7 @@ def owners(raw: Raw) -> DataFrame:
     return c.sequence_owners(raw.r["pg_depend"], raw.r["pg_attribute"], raw.classes)
 
 
-def cat_sequences(spark, sf):
-    raw = Raw(spark, sf)
+def cat_sequences(raw: Raw):
     return c.sequences(raw.r["pg_sequence"], raw.classes, raw.notes, owners(raw), SCHEMAS)
 
 
@@ -103,13 +96,11 @@ def _pairs(attributes: str):
     return F.array_join(F.transform(attributes, lambda a: F.concat_ws(":", a["name"], a["data_type"])), ",")
 
 
-def type_attributes(spark, sf):
-    raw = Raw(spark, sf)
+def type_attributes(raw: Raw):
     return c.type_attributes(raw.r["pg_attribute"], raw.r["pg_type"]).select("db_id", "oid", _pairs("attributes").alias("attributes"))
 
 
-def cat_types(spark, sf):
-    raw = Raw(spark, sf)
+def cat_types(raw: Raw):
     types = c.types(
         raw.r["pg_type"], raw.r["pg_namespace"], raw.r["pg_class"], raw.notes,
         c.type_attributes(raw.r["pg_attribute"], raw.r["pg_type"]),
@@ -124,32 +115,28 @@ def _arguments(col: str):
     )
 
 
-def cat_routines(spark, sf):
-    raw = Raw(spark, sf)
+def cat_routines(raw: Raw):
     out = c.routines(raw.r["pg_proc"], raw.r["pg_namespace"], raw.r["pg_language"], raw.notes, SCHEMAS)
     return out.withColumn("arguments", _arguments("arguments"))
 
 
-def routine_arguments(spark, sf):
-    procs = Raw(spark, sf).r["pg_proc"]
+def routine_arguments(raw: Raw):
+    procs = raw.r["pg_proc"]
     zipped = codes.routine_arguments(F.col("proargnames"), F.col("proargtypes"), F.col("proargmodes"))
     return procs.select("db_id", "oid", zipped.alias("arguments")).withColumn("arguments", _arguments("arguments"))
 
 
-def view_columns(spark, sf):
-    raw = Raw(spark, sf)
+def view_columns(raw: Raw):
     commented = c.with_column_comments(c.columns(raw.r["info_columns"]), raw.classes, raw.r["pg_attribute"], raw.notes)
     views = raw.r["info_views"].where(F.col("table_schema").isin(*SCHEMAS)).withColumnRenamed("table_schema", "schema_name")
     return commented.join(views.select(*K), K, "left_semi").select(*K, "ordinal_position", "column_name", "data_type", "comment")
 
 
-def view_dependencies(spark, sf):
-    raw = Raw(spark, sf)
+def view_dependencies(raw: Raw):
     return c.view_dependencies(raw.r["pg_depend"], raw.r["pg_rewrite"], raw.classes, raw.views())
 
 
-def cat_table_stats(spark, sf):
-    raw = Raw(spark, sf)
+def cat_table_stats(raw: Raw):
     tables = raw.tables()
     with_rows = tables.join(c.row_estimates(raw.classes, tables), K, "left")
     return c.table_stats(with_rows, c.column_stats(raw.r["pg_stats"]), COMPUTED_AT)
@@ -176,18 +163,18 @@ def snapshot_from_export(spark, sf):
 
 def _with(operator, *relations):
     """Query on raw relations alone."""
-    return lambda spark, sf: operator(*(fleet_raw(spark, sf)[r] for r in relations))
+    return lambda raw: operator(*(raw.r[r] for r in relations))
 
 
-QUERIES = {
-    "cat_tables": lambda spark, sf: Raw(spark, sf).tables(),
+ON_RAW = {
+    "cat_tables": lambda raw: raw.tables(),
     "cat_row_estimate": cat_row_estimate,
     "cat_columns": _with(c.columns, "info_columns"),
     "cat_column_comments": cat_column_comments,
     "cat_constraints": cat_constraints,
     "cat_indexes": cat_indexes,
-    "cat_include_columns": lambda spark, sf: lists(
-        fleet_raw(spark, sf)["pg_index"].select("db_id", "indexrelid", codes.include_columns(F.col("indexdef")).alias("include_columns")),
+    "cat_include_columns": lambda raw: lists(
+        raw.r["pg_index"].select("db_id", "indexrelid", codes.include_columns(F.col("indexdef")).alias("include_columns")),
         "include_columns",
     ),
     "cat_foreign_keys": cat_foreign_keys,
@@ -195,18 +182,27 @@ QUERIES = {
     "trigger_bits": trigger_bits,
     "cat_enums": cat_enums,
     "cat_sequences": cat_sequences,
-    "sequence_owner": lambda spark, sf: owners(Raw(spark, sf)),
+    "sequence_owner": owners,
     "cat_types": cat_types,
     "type_attributes": type_attributes,
     "domain_info": _with(c.domain_info, "pg_type", "pg_constraint"),
     "cat_routines": cat_routines,
     "routine_arguments": routine_arguments,
-    "cat_views": lambda spark, sf: Raw(spark, sf).views(),
+    "cat_views": lambda raw: raw.views(),
     "view_columns": view_columns,
     "view_dependencies": view_dependencies,
     "cat_column_stats": _with(c.column_stats, "pg_stats"),
     "cat_table_stats": cat_table_stats,
     "database_meta": _with(c.databases, "pg_database"),
+}
+
+
+def on_template(query):
+    return lambda spark, sf: query(Raw(fleet_raw(spark, sf)))
+
+
+QUERIES = {
+    **{name: on_template(query) for name, query in ON_RAW.items()},
     "catalog_snapshot": catalog_snapshot,
     "snapshot_from_export": snapshot_from_export,
 }

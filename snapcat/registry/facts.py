@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +24,8 @@ def joined(*columns: str) -> list:
 class Fleet:
     """Normalised frames and the facts built on them."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.frames = fleet_normal(spark, sf_dir)
+    def __init__(self, frames: Mapping[str, DataFrame]):
+        self.frames = frames
 
     @property
     def tables(self) -> DataFrame:
@@ -65,131 +66,128 @@ class Fleet:
         return domains.table_domains(self.tables)
 
 
+FleetQuery = Callable[[Fleet], DataFrame]
 FK_ID = ["db_id", "from_schema", "from_table", "constraint_name"]
 K = ["db_id", "schema_name", "table_name"]
 
 
-def fk_nullable(spark, sf):
-    f = Fleet(spark, sf)
+def fk_nullable(f: Fleet):
     return catalog.with_fk_nullable(f.fks, f.columns).select(*FK_ID, "nullable")
 
 
-def fk_incoming(spark, sf):
-    f = Fleet(spark, sf)
+def fk_incoming(f: Fleet):
     return relations.incoming(f.fks, f.tables).select(
         "db_id", "to_schema", "to_table", "constraint_name", "from_schema", "from_table", *joined("from_columns", "to_columns")
     )
 
 
-def fk_counts(spark, sf):
-    return Fleet(spark, sf).counts()
+def fk_counts(f: Fleet):
+    return f.counts()
 
 
-def junction_tables(spark, sf):
-    return Fleet(spark, sf).junctions().select(*K, "is_junction", "junction_reasoning")
+def junction_tables(f: Fleet):
+    return f.junctions().select(*K, "is_junction", "junction_reasoning")
 
 
-def fk_unique(spark, sf):
-    return Fleet(spark, sf).unique_fks().select(*FK_ID, "fk_unique")
+def fk_unique(f: Fleet):
+    return f.unique_fks().select(*FK_ID, "fk_unique")
 
 
-def fk_cardinality(spark, sf):
-    return Fleet(spark, sf).cardinality().select(*FK_ID, "to_schema", "to_table", "cardinality")
+def fk_cardinality(f: Fleet):
+    return f.cardinality().select(*FK_ID, "to_schema", "to_table", "cardinality")
 
 
-def incoming_cardinality(spark, sf):
-    f = Fleet(spark, sf)
+def incoming_cardinality(f: Fleet):
     return relations.incoming(f.cardinality(), f.tables).select(
         "db_id", "to_schema", "to_table", "constraint_name", "cardinality"
     )
 
 
-def graph_nodes(spark, sf):
-    return relations.graph_nodes(Fleet(spark, sf).tables)
+def graph_nodes(f: Fleet):
+    return relations.graph_nodes(f.tables)
 
 
-def graph_edges(spark, sf):
-    edges = relations.graph_edges(Fleet(spark, sf).fks)
+def graph_edges(f: Fleet):
+    edges = relations.graph_edges(f.fks)
     return edges.withColumns({c: F.array_join(c, ",") for c in ("from_columns", "to_columns")})
 
 
-def graph_candidates(spark, sf):
-    return relations.graph_candidates(Fleet(spark, sf).junctions())
+def graph_candidates(f: Fleet):
+    return relations.graph_candidates(f.junctions())
 
 
-def fk_scc(spark, sf):
-    return relations.strongly_connected(relations.graph_edges(Fleet(spark, sf).fks))
+def fk_scc(f: Fleet):
+    return relations.strongly_connected(relations.graph_edges(f.fks))
 
 
-def tag_query(name: str) -> Query:
-    return lambda spark, sf: Fleet(spark, sf).flags().where(name).select(*K)
+def tag_query(name: str) -> FleetQuery:
+    return lambda f: f.flags().where(name).select(*K)
 
 
-def table_tags(spark, sf):
-    return tags.table_tags(Fleet(spark, sf).flags()).select(*K, *joined("tags"))
+def table_tags(f: Fleet):
+    return tags.table_tags(f.flags()).select(*K, *joined("tags"))
 
 
-def domain_prefix(spark, sf):
-    return Fleet(spark, sf).tables.select(*K, domains.name_prefix(F.col("table_name")).alias("prefix"))
+def domain_prefix(f: Fleet):
+    return f.tables.select(*K, domains.name_prefix(F.col("table_name")).alias("prefix"))
 
 
-def domain_groups(spark, sf):
-    return domains.prefix_groups(Fleet(spark, sf).tables)
+def domain_groups(f: Fleet):
+    return domains.prefix_groups(f.tables)
 
 
-def domain_content(spark, sf):
-    return Fleet(spark, sf).tables.select(*K, domains.content_domain(F.col("table_name")).alias("domain"))
+def domain_content(f: Fleet):
+    return f.tables.select(*K, domains.content_domain(F.col("table_name")).alias("domain"))
 
 
-def db_domains(spark, sf):
-    return Fleet(spark, sf).domains()
+def db_domains(f: Fleet):
+    return f.domains()
 
 
-def domain_sizes(spark, sf):
-    return domains.domain_sizes(Fleet(spark, sf).domains())
+def domain_sizes(f: Fleet):
+    return domains.domain_sizes(f.domains())
 
 
-def primary_keys(spark, sf):
-    return relations.primary_keys(Fleet(spark, sf).constraints).select(*K, *joined("pk_columns"), "pk_name")
+def primary_keys(f: Fleet):
+    return relations.primary_keys(f.constraints).select(*K, *joined("pk_columns"), "pk_name")
 
 
-def short_descriptions(spark, sf):
-    return Fleet(spark, sf).tables.select(*K, overview.short_description(F.col("comment")).alias("short_description"))
+def short_descriptions(f: Fleet):
+    return f.tables.select(*K, overview.short_description(F.col("comment")).alias("short_description"))
 
 
-def db_index(spark, sf):
-    f = Fleet(spark, sf)
+def db_index(f: Fleet):
     entries = overview.db_index(f.tables, tags.table_tags(f.flags()), relations.primary_keys(f.constraints))
     return entries.withColumns({c: F.array_join(c, ",") for c in ("primary_key_columns", "tags")})
 
 
-def start_tables(spark, sf):
-    return overview.start_tables(Fleet(spark, sf).flags()).withColumn("position", F.col("position").cast("bigint"))
+def start_tables(f: Fleet):
+    return overview.start_tables(f.flags()).withColumn("position", F.col("position").cast("bigint"))
 
 
-def entry_points(spark, sf):
-    return overview.entry_points(Fleet(spark, sf).counts()).withColumn("position", F.col("position").cast("bigint"))
+def entry_points(f: Fleet):
+    return overview.entry_points(f.counts()).withColumn("position", F.col("position").cast("bigint"))
 
 
-def has_relationships(spark, sf):
-    return overview.has_relationships(Fleet(spark, sf).counts())
+def has_relationships(f: Fleet):
+    return overview.has_relationships(f.counts())
 
 
-def table_buckets(spark, sf):
-    return overview.table_buckets(Fleet(spark, sf).flags())
+def table_buckets(f: Fleet):
+    return overview.table_buckets(f.flags())
 
 
-def sem_query(name: str) -> Query:
-    def run(spark, sf):
-        classed = semantics.column_classes(Fleet(spark, sf).columns)
+def sem_query(name: str) -> FleetQuery:
+    def run(f: Fleet):
+        classed = semantics.column_classes(f.columns)
         return classed.where(f"is_{name}").select(*K, "column_name")
 
     return run
 
 
-def column_semantics(spark, sf):
+def column_semantics(f: Fleet):
     lists = [f"{kind}_columns" for kind in semantics.CLASSES]
-    return semantics.column_semantics(Fleet(spark, sf).columns).select(*K, *joined(*lists))
+    return semantics.column_semantics(f.columns).select(*K, *joined(*lists))
 
 
 def safe_names(spark, sf):
@@ -204,7 +202,7 @@ def safe_names(spark, sf):
     return out
 
 
-QUERIES: dict[str, Query] = {
+ON_FLEET: dict[str, FleetQuery] = {
     "fk_nullability": fk_nullable,
     "fk_incoming": fk_incoming,
     "fk_counts": fk_counts,
@@ -235,10 +233,16 @@ QUERIES: dict[str, Query] = {
     "sem_status": sem_query("status"),
     "sem_currency": sem_query("currency_amount"),
     "column_semantics": column_semantics,
-    "safe_name": safe_names,
 }
 
 
+def on_template(query: FleetQuery) -> Query:
+    return lambda spark, sf: query(Fleet(fleet_normal(spark, sf)))
+
+
+QUERIES: dict[str, Query] = {**{name: on_template(query) for name, query in ON_FLEET.items()}, "safe_name": safe_names}
+
+
 # --- oracles -----------------------------------------------------------------
 
 def _any(expr: str, words) -> str:
@@ -319,9 +323,9 @@ d_tables AS (SELECT p.db_id, coalesce(g.domain, {_CONTENT}) AS domain, schema_na
   FROM d_prefix p LEFT JOIN d_groups g USING (db_id, prefix))"""
 
 
-def _sql(body: str, *ctes: str) -> str:
-    """``ctes`` are template relation names or ready CTE text."""
-    parts = [duckdb_cte(c) if "(" not in c else c for c in ctes]
+def _sql(body: str, *ctes: str, relation: Callable[[str], str] = duckdb_cte) -> str:
+    """``ctes`` are relation names, which ``relation`` renders, or ready CTE text."""
+    parts = [relation(c) if "(" not in c else c for c in ctes]
     return "WITH " + ",\n".join(parts) + "\n" + body
 
 
@@ -347,7 +351,7 @@ MEMBERS = (
 
 
 def _sem(condition: str) -> str:
-    return _sql(f"SELECT db_id, schema_name, table_name, column_name FROM f_columns WHERE {condition}", "f_columns")
+    return f"SELECT db_id, schema_name, table_name, column_name FROM f_columns WHERE {condition}"
 
 
 SEM = {
@@ -371,73 +375,75 @@ def _safe(table: str, column: str) -> str:
     return f"SELECT '{table}' AS source, {column} AS name, coalesce({_SAFE.format(column)}, 'unnamed') AS safe_name FROM {table}"
 
 
-def oracles() -> dict[str, str]:
+def oracles(relation: Callable[[str], str] = duckdb_cte) -> dict[str, str]:
+    """The SQL of each query, on the relations as ``relation`` renders them."""
+    sql = partial(_sql, relation=relation)
     out = {
-        "fk_nullability": _sql(
+        "fk_nullability": sql(
             """SELECT db_id, from_schema, from_table, constraint_name, EXISTS (SELECT 1 FROM f_columns c WHERE c.db_id = f.db_id
             AND c.schema_name = from_schema AND c.table_name = from_table AND c.nullable AND list_contains(from_columns, column_name)) AS nullable
             FROM f_foreign_keys f""", "f_columns", "f_foreign_keys"),
-        "fk_incoming": _sql(
+        "fk_incoming": sql(
             """SELECT f.db_id, to_schema, to_table, constraint_name, from_schema, from_table,
             array_to_string(from_columns, ',') AS from_columns, array_to_string(to_columns, ',') AS to_columns
             FROM f_foreign_keys f JOIN f_tables t ON t.db_id = f.db_id AND t.schema_name = to_schema AND t.table_name = to_table""",
             "f_tables", "f_foreign_keys"),
-        "fk_counts": _sql("SELECT * FROM counts", "f_tables", "f_foreign_keys", COUNTS_CTE),
-        "junction_tables": _sql("SELECT * FROM junctions", *JUNCTIONS),
-        "fk_unique": _sql("SELECT db_id, from_schema, from_table, constraint_name, fk_unique FROM uniques", *CARDS),
-        "fk_cardinality": _sql(
+        "fk_counts": sql("SELECT * FROM counts", "f_tables", "f_foreign_keys", COUNTS_CTE),
+        "junction_tables": sql("SELECT * FROM junctions", *JUNCTIONS),
+        "fk_unique": sql("SELECT db_id, from_schema, from_table, constraint_name, fk_unique FROM uniques", *CARDS),
+        "fk_cardinality": sql(
             "SELECT db_id, from_schema, from_table, constraint_name, to_schema, to_table, cardinality FROM cards", *CARDS),
-        "fk_incoming_cardinality": _sql(
+        "fk_incoming_cardinality": sql(
             """SELECT c.db_id, to_schema, to_table, constraint_name, cardinality FROM cards c
             JOIN f_tables t ON t.db_id = c.db_id AND t.schema_name = to_schema AND t.table_name = to_table""", *CARDS),
-        "graph_nodes": _sql("SELECT db_id, table_name, schema_name FROM f_tables", "f_tables"),
-        "graph_edges": _sql(
+        "graph_nodes": sql("SELECT db_id, table_name, schema_name FROM f_tables", "f_tables"),
+        "graph_edges": sql(
             """SELECT db_id, from_table, from_schema, array_to_string(from_columns, ',') AS from_columns, to_table, to_schema,
             array_to_string(to_columns, ',') AS to_columns, constraint_name FROM f_foreign_keys""", "f_foreign_keys"),
-        "graph_candidates": _sql("SELECT db_id, table_name, schema_name FROM junctions WHERE is_junction", *JUNCTIONS),
-        "fk_scc": _sql(
+        "graph_candidates": sql("SELECT db_id, table_name, schema_name FROM junctions WHERE is_junction", *JUNCTIONS),
+        "fk_scc": sql(
             """SELECT db_id, root[1] AS component_schema, root[2] AS component_table, v[1] AS schema_name, v[2] AS table_name, component_size
             FROM member WHERE component_size >= 2""", "f_foreign_keys", *MEMBERS).replace("WITH ", "WITH RECURSIVE ", 1),
-        **{f"tag_{n}": _sql(f"SELECT db_id, schema_name, table_name FROM flags WHERE {n}", *FLAGS)
+        **{f"tag_{n}": sql(f"SELECT db_id, schema_name, table_name FROM flags WHERE {n}", *FLAGS)
            for n in ("core", "junction", "lookup", "audit", "config", "log")},
-        "table_tags": _sql("SELECT db_id, schema_name, table_name, tags FROM tagged", *FLAGS),
-        "domain_prefix": _sql("SELECT * FROM d_prefix", *DOMAINS),
-        "domain_groups": _sql("SELECT * FROM d_groups", *DOMAINS),
-        "domain_content": _sql(f"SELECT db_id, schema_name, table_name, {_CONTENT} AS domain FROM f_tables", "f_tables"),
-        "db_domains": _sql("SELECT * FROM d_tables", *DOMAINS),
-        "domain_sizes": _sql("SELECT db_id, domain, count(*) AS table_count FROM d_tables GROUP BY ALL", *DOMAINS),
-        "primary_keys": _sql(
+        "table_tags": sql("SELECT db_id, schema_name, table_name, tags FROM tagged", *FLAGS),
+        "domain_prefix": sql("SELECT * FROM d_prefix", *DOMAINS),
+        "domain_groups": sql("SELECT * FROM d_groups", *DOMAINS),
+        "domain_content": sql(f"SELECT db_id, schema_name, table_name, {_CONTENT} AS domain FROM f_tables", "f_tables"),
+        "db_domains": sql("SELECT * FROM d_tables", *DOMAINS),
+        "domain_sizes": sql("SELECT db_id, domain, count(*) AS table_count FROM d_tables GROUP BY ALL", *DOMAINS),
+        "primary_keys": sql(
             """SELECT db_id, schema_name, table_name, array_to_string("columns", ',') AS pk_columns, constraint_name AS pk_name
             FROM f_constraints WHERE constraint_type = 'PRIMARY KEY'""", "f_constraints"),
-        "short_descriptions": _sql(
+        "short_descriptions": sql(
             """SELECT db_id, schema_name, table_name, CASE WHEN length(comment) > 200 THEN comment[:197] || '...'
             ELSE nullif(comment, '') END AS short_description FROM f_tables""", "f_tables"),
-        "db_index": _sql(
+        "db_index": sql(
             """SELECT t.db_id, t.schema_name, t.table_name, CASE WHEN length(comment) > 200 THEN comment[:197] || '...'
             ELSE nullif(comment, '') END AS short_description, row_count_estimate, array_to_string(pk_columns, ',') AS primary_key_columns,
             fk_out AS foreign_key_out_count, fk_in AS foreign_key_in_count, tags
             FROM f_tables t JOIN tagged USING (db_id, schema_name, table_name) LEFT JOIN j_pk USING (db_id, schema_name, table_name)""",
             *FLAGS),
-        "start_tables": _sql(
+        "start_tables": sql(
             """, s AS (SELECT db_id, schema_name, table_name, fk_in * 2 + CASE WHEN core THEN 5 ELSE 0 END
               - CASE WHEN junction THEN 3 ELSE 0 END - CASE WHEN lookup THEN 2 ELSE 0 END AS score FROM flags),
             r AS (SELECT *, row_number() OVER (PARTITION BY db_id ORDER BY score DESC, schema_name, table_name) AS position FROM s WHERE score > 0)
             SELECT * FROM r WHERE position <= 5""", *FLAGS),
-        "entry_points": _sql(
+        "entry_points": sql(
             """, r AS (SELECT db_id, schema_name, table_name, fk_in,
               row_number() OVER (PARTITION BY db_id ORDER BY fk_in DESC, schema_name, table_name) AS position FROM counts WHERE fk_in >= 2)
             SELECT * FROM r WHERE position <= 5""", "f_tables", "f_foreign_keys", COUNTS_CTE),
-        "has_relationships": _sql(
+        "has_relationships": sql(
             "SELECT db_id, bool_or(fk_in > 0 OR fk_out > 0) AS has_relationships FROM counts GROUP BY db_id",
             "f_tables", "f_foreign_keys", COUNTS_CTE),
-        "table_buckets": _sql(
+        "table_buckets": sql(
             """SELECT db_id, schema_name, table_name, CASE WHEN core THEN 'core' WHEN junction THEN 'junction'
             WHEN lookup THEN 'lookup' ELSE 'other' END AS bucket FROM flags""", *FLAGS),
-        "sem_id": _sem(SEM["id"]),
-        "sem_timestamp": _sem(SEM["timestamp"]),
-        "sem_status": _sem(SEM["status"]),
-        "sem_currency": _sem(SEM["currency"]),
-        "column_semantics": _sql(
+        "sem_id": sql(_sem(SEM["id"]), "f_columns"),
+        "sem_timestamp": sql(_sem(SEM["timestamp"]), "f_columns"),
+        "sem_status": sql(_sem(SEM["status"]), "f_columns"),
+        "sem_currency": sql(_sem(SEM["currency"]), "f_columns"),
+        "column_semantics": sql(
             f"""SELECT db_id, schema_name, table_name, {_listed('status')} AS status_columns, {_listed('timestamp')} AS timestamp_columns,
             {_listed('currency')} AS currency_amount_columns, {_listed('id')} AS id_columns FROM f_columns
             WHERE {' OR '.join(SEM.values())} GROUP BY ALL""", "f_columns"),

@@ -18,6 +18,7 @@ column_semantics safe_name
 profile_lineitem profile_nulls_events top_values_events enum_like_orders key_check_lineitem_line fk_check_orders_in_lineitem
 check_eval_lineitem key_density_lineitem infer_fk_orders_customer
 toon_quote toon_number toon_key toon_rows_part toon_table doc_columns doc_enums doc_domains docs_text
+given_cat_foreign_keys given_cat_indexes given_cat_enums given_fk_cardinality given_fk_scc given_db_index
 """.split()
 NAMES = list(all_queries()) if os.environ.get("SNAPCAT_ALL") else DEFAULT
 
