@@ -9,8 +9,10 @@ rule may have a few other units between them (copyright lines, numbered clauses)
 
 Besides, SPDX lines and short notices ("This project is licensed under the ...", with a licence's name, several names,
 and what follows like "see LICENSE") are read by pattern, over ``MOST_UNITS`` units at most, where no known sentence
-starts; a line with several licences gives a finding for each. A whole unit must fit, so a licence that is only
-talked about is not found, nor one whose name ``NAMES`` does not have.
+starts; a line with several licences gives a finding for each. So are titles, units that are nothing but a licence's
+name with the word licence ("BSD 3-Clause License", "License: MIT"), and units like "This code is GPLv3"; a title and
+the text of its licence are one finding. A whole unit must fit, so a licence that is only talked about is not found, nor
+one whose name ``NAMES`` does not have. A plus after a version means "or later", which only the GNU licences tell apart.
 
 Defined results: null and empty texts have no units and no findings. A sentence that stands twice is found
 twice. Equal rows get equal findings. An identifier that no rule begins with at its place is passed over.
@@ -159,6 +161,31 @@ NOTICE_OPENS = re.compile(rf"^(?:licen[cs]ed|released|distributed|available)|(?:
 MOST_UNITS, MOST_NOTICE = 4, 600
 
 
+#: A plus that ends a version; a title, and a unit that says what licence a thing is.
+PLUS = re.compile(r"(?<=\d)\+(?![\w+])")
+TITLE = re.compile(r"(?:licen[cs]e )?(?:the )?")
+IS_UNDER = re.compile(rf"(?:this|the) (?:{THING}) is (?:an? )?(?=\w)")
+TITLED = re.compile(r"licen[cs]e|\bis\b", re.IGNORECASE)
+
+
+def longest_name(words: str, at: int) -> tuple[int, str] | None:
+    """Where the longest licence name that stands at a place ends, and which licence it is."""
+    end, licence = max(((m.end(), licence) for p, licence in NAMED if (m := p.match(words, at))), key=lambda x: x[0], default=(0, None))
+    if licence is None:
+        return None
+    # Licences without a form for later versions.
+    later = " or later"
+    return end + len(later) * words.startswith(later, end), licence
+
+
+def titled(words: str) -> str | None:
+    """Identifier of the licence that normalised words are a title of, or say that a thing is."""
+    for head, kind in ((IS_UNDER, "notice"), (TITLE, "title")):
+        if (m := head.match(words)) and (kind == "notice" or "licen" in words) and (own := longest_name(words, m.end())) and own[0] == len(words):
+            return f"{kind} {own[1]}"
+    return None
+
+
 def noticed(words: str) -> list[str]:
     """Identifiers of the licences that an SPDX line or a notice in normalised words names; none if it is neither."""
     spdx = SPDX.match(words)
@@ -166,9 +193,7 @@ def noticed(words: str) -> list[str]:
         return []
     at, found = head.end(), []
     while True:
-        # The longest name that stands here.
-        own = max(((m.end(), licence) for p, licence in NAMED if (m := p.match(words, at))), key=lambda x: x[0], default=None)
-        if own is None:
+        if (own := longest_name(words, at)) is None:
             return []
         at = own[0]
         found.append(f"{'spdx' if spdx else 'notice'} {own[1]}")
@@ -183,7 +208,9 @@ KNOWN = {" ".join(re.findall(r"[^\W_]+", x.lower())) for x in SENTENCES.values()
 MORE = [x for x in MORE if " ".join(re.findall(r"[^\W_]+", x[0].lower())) not in KNOWN]
 SENTENCES |= {text: text for text, _, _ in MORE}
 RULES += [(licence, rule, [text]) for text, licence, rule in MORE]
-RULES += [(licence, kind, [f"{kind} {licence}"]) for licence in sorted({x for _, x in NAMES}) for kind in ("spdx", "notice")]
+RULES += [(licence, kind, [f"{kind} {licence}"]) for licence in sorted({x for _, x in NAMES}) for kind in ("spdx", "notice", "title")]
+# Titles before a text belong to it.
+RULES[:0] = [(licence, rule, [f"title {licence}", *ids]) for licence, rule, ids in RULES if rule in ("mit-body", "mit-part", "isc-body", "bsd-3", "bsd-2")]
 
 #: Units end at line ends, and after a sentence mark before white space.
 UNIT = re.compile(r"\n+|(?<=[.!?;:])\s+")
@@ -219,6 +246,15 @@ class Sentences:
                 spelled[k] = normalised(units[k])
             return spelled[k]
 
+        def later(k: int) -> str:
+            return normalised(PLUS.sub(" or later", units[k])) if "+" in units[k] else words(k)
+
+        def title(k: int) -> tuple[str, int, int] | None:
+            # "License:" and the name after it are two units.
+            last = k + (words(k) in ("license", "licence") and units[k].endswith(":") and k + 1 < len(units))
+            own = titled(" ".join(later(j) for j in range(k, last + 1)))
+            return (own, k, last) if own else None
+
         while i < len(units):
             head = WORD.search(units[i])
             best = None
@@ -237,10 +273,13 @@ class Sentences:
             if best:
                 found.append(best)
                 i = best[2]
+            elif head and TITLED.search(units[i]) and (own := title(i)):
+                found.append(own)
+                i = own[2]
             elif hinted and head and ("spdx" in words(i) or " under" in words(i) + " " or " by" in words(i) + " " or NOTICE_OPENS.search(words(i))):
                 joined, last = "", None
                 for k in range(i, min(i + MOST_UNITS, len(units))):
-                    joined = f"{joined} {words(k)}".strip()
+                    joined = f"{joined} {later(k)}".strip()
                     if len(joined) > MOST_NOTICE:
                         break
                     if words(k) and (own := noticed(joined)):

@@ -60,6 +60,20 @@ def test_notices_and_spdx_lines():
     assert of("This project is not licensed under the MIT License.") == of("Released under the moon.") == of("We talk of MIT.") == []
 
 
+def test_titles_and_later_versions():
+    of = lambda text: [x for x, _ in names(text)]
+    assert of("SPDX-License-Identifier: GPL-2.0+") == ["GPL-2.0-or-later"]
+    assert of("SPDX-License-Identifier: (LGPL-2.1+ OR Apache-2.0+) */") == ["LGPL-2.1-or-later", "Apache-2.0"]
+    assert of("SPDX-License-Identifier: GPL-2.0") == ["GPL-2.0-only"]
+    assert of("This code is GPLv3+") == of("Licensed under GPLv3+.") == ["GPL-3.0-or-later"]
+    assert of("x\nMIT License\ny") == of("License: MIT") == of("## License: MIT") == ["MIT"]
+    assert of("BSD 3-Clause License") == ["BSD-3-Clause"] and of("Apache License 2.0") == ["Apache-2.0"]
+    s = m.SENTENCES
+    assert names("\n\n".join(["MIT License", "Copyright (c) 2020 Someone", s["mit-grant"], s["mit-notice"]])) == [("MIT", "mit-part")]
+    assert names("\n".join(["BSD 3-Clause License", s["bsd-grant"], s["bsd-source"], s["bsd-binary"], s["bsd-name"]])) == [("BSD-3-Clause", "bsd-3")]
+    assert of("We like the MIT License") == of("MIT") == of("License") == of("The MIT License is short.") == of("1+ licenses") == of("This code is GPLv3 and C++.") == []
+
+
 def test_recognition_against_all_spans():
     """The longest run of units that spells a sentence, from left to right."""
     rng = random.Random(3)
