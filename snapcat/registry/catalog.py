@@ -161,6 +161,22 @@ def snapshot_from_export(spark, sf):
     return reduce(DataFrame.unionByName, out)
 
 
+REDACTED = SnapshotConfig(schemas=SCHEMAS, include_views=True, include_routines=True, redact_comments=True, redact_definitions=True)
+
+
+def redacted(frame: str):
+    """A frame of the snapshot without the texts of definitions and comments."""
+    return lambda raw: snapshot(raw.r, REDACTED)[frame]
+
+
+def cat_triggers_redacted(raw: Raw):
+    return lists(redacted("triggers")(raw), "events")
+
+
+def cat_routines_redacted(raw: Raw):
+    return redacted("routines")(raw).withColumn("arguments", _arguments("arguments"))
+
+
 def _with(operator, *relations):
     """Query on raw relations alone."""
     return lambda raw: operator(*(raw.r[r] for r in relations))
@@ -194,6 +210,9 @@ ON_RAW = {
     "cat_column_stats": _with(c.column_stats, "pg_stats"),
     "cat_table_stats": cat_table_stats,
     "database_meta": _with(c.databases, "pg_database"),
+    "cat_views_redacted": redacted("views"),
+    "cat_triggers_redacted": cat_triggers_redacted,
+    "cat_routines_redacted": cat_routines_redacted,
 }
 
 
@@ -354,6 +373,12 @@ PARTS = {
     "database_meta": ("SELECT db_id, datname AS name, 'postgresql' AS engine, version FROM pg_database", ("pg_database",)),
 }
 
+# Without definitions and comments; triggers have none of the latter.
+for _name in ("cat_views", "cat_triggers", "cat_routines"):
+    _body, _needs = PARTS[_name]
+    _gone = "CAST(NULL AS VARCHAR) AS definition" + (", '' AS comment" if _name != "cat_triggers" else "")
+    PARTS[f"{_name}_redacted"] = (f"SELECT * REPLACE ({_gone}) FROM ({_body})", _needs)
+
 # Frames of the snapshot as queries over the parts above.
 SNAPSHOT = {
     "databases": "database_meta", "tables": "cat_tables", "constraints": "cat_constraints", "indexes": "cat_indexes",

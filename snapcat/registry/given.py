@@ -8,7 +8,7 @@ from __future__ import annotations
 from snapcat.registry import catalog, facts
 from snapcat.sources.given import given_cte, given_raw
 
-RAW = ("cat_tables", "cat_row_estimate", "cat_column_comments", "cat_constraints", "cat_indexes", "cat_foreign_keys", "cat_enums", "cat_views", "database_meta")
+RAW = ("cat_tables", "cat_row_estimate", "cat_column_comments", "cat_constraints", "cat_indexes", "cat_foreign_keys", "cat_enums", "cat_views", "cat_views_redacted", "database_meta")
 FACTS = ("fk_nullability", "fk_incoming", "fk_counts", "junction_tables", "fk_cardinality", "fk_scc", "table_tags", "db_domains", "domain_groups", "primary_keys",
          "db_index", "start_tables", "entry_points", "table_buckets", "column_semantics")
 
