@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from snapcat.registry import all_queries
 from snapcat.sources.given import RELATIONS, given_cte, given_raw
 from snapcat.sources.relations import CATALOG_COLUMNS
 
@@ -36,3 +37,18 @@ def test_object_ids_and_names_are_unique(spark, sf_dir):
     for name, key in (("pg_class", ["db_id", "oid"]), ("pg_constraint", ["db_id", "oid"]), ("pg_attribute", ["db_id", "attrelid", "attnum"]),
                       ("info_tables", ["db_id", "table_schema", "table_name"]), ("info_columns", ["db_id", "table_schema", "table_name", "column_name"])):
         assert raw[name].groupBy(*key).count().where("count > 1").isEmpty(), name
+
+
+def test_lines_are_joined_once(spark, sf_dir, capsys):
+    """What most relations start from is written once; plans read that, and broadcast none of it by the size of its files."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    try:
+        given_raw(spark, sf_dir)["pg_constraint"].explain()
+        raw = capsys.readouterr().out
+        all_queries()["given_fk_counts"](spark, sf_dir).explain()
+        frames = capsys.readouterr().out
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "lineitem.parquet" not in raw and "settled-" in raw
+    assert "lineitem.parquet" not in frames and "BroadcastHashJoin" not in frames
