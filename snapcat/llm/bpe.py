@@ -248,9 +248,13 @@ class Encoder:
 
     def ids_of(self, pieces: list[str]) -> bytes:
         """Ids of some pre-tokens one after the other, four bytes each."""
-        words = set(pieces)
-        self.learn(words, self.kept, lambda new: self.merge([w.encode() for w in new]))
-        return b"".join(map(self.kept.__getitem__, pieces))
+        return self.ids_of_each([pieces])[0]
+
+    def ids_of_each(self, lists: list[list[str]]) -> list[bytes]:
+        """The ids of several lists of pre-tokens, which are learnt together: a few words at a time cost as much as thousands."""
+        self.learn(set().union(*lists), self.kept, lambda new: self.merge([w.encode() for w in new]))
+        get = self.kept.__getitem__
+        return [b"".join(map(get, pieces)) for pieces in lists]
 
     @staticmethod
     def learn(wanted: set[str], kept: dict[str, bytes], merge) -> None:
@@ -281,8 +285,9 @@ class Encoder:
         plain = [len(t) <= 1 << 20 and not any(s in t for s in self.vocabulary.specials) and not self.wide.search(t) and (t.isascii() or not self.odd.search(t)) for t in texts]
         cut = [t.split(" ") if p else None for t, p in zip(texts, plain, strict=True)]
         self.learn(set().union(*(c[1:] for c in cut if c)), self.chunks, self.merge_chunks)
+        heads = self.ids_of_each([self.split.findall(c[0]) if c else [] for c in cut])
         get = self.chunks.__getitem__
-        return [self.ids_of(self.split.findall(c[0])) + b"".join(map(get, c[1:])) if c else self.other(t) for t, c in zip(texts, cut, strict=True)]
+        return [head + b"".join(map(get, c[1:])) if c else self.other(t) for t, c, head in zip(texts, cut, heads, strict=True)]
 
     def other(self, text: str) -> bytes:
         """As encode, for any text: cut at special tokens, a bounded number of pre-tokens at a time."""

@@ -81,3 +81,12 @@ def test_nulls_repeats_clashes_and_empty_tables(spark, vocabulary):
     assert [r.decoded for r in rows] == ["", "a b", "a b", ""]
     assert [len(r.ids) for r in rows] == [0, 2, 2, 0]
     assert bpe.decode(bpe.encode(docs.limit(0), vocabulary), vocabulary).count() == 0
+
+
+def test_first_words_of_many_texts_are_merged_together(vocabulary, monkeypatch):
+    calls, merge = [], bpe.Encoder.merge
+    monkeypatch.setattr(bpe.Encoder, "merge", lambda self, words: calls.append(len(words)) or merge(self, words))
+    texts = [f"first{i}x follows" for i in range(300)] + ["", " ", "one", "two  spaces", "a\nb"]
+    found = bpe.Encoder(vocabulary).encode(texts)
+    assert len(calls) <= 10
+    assert found == [bpe.Encoder(vocabulary).encode([t])[0] for t in texts]
