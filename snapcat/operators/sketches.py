@@ -25,31 +25,43 @@ DISTINCT_ERROR, RANK_ERROR = 0.05, 0.0165
 SKETCHES = ["distinct_sketch", "quantile_sketch", "frequent_sketch"]
 
 
-def _number() -> Column:
+def _present(slots: dict[str, Column]) -> Column:
+    return F.coalesce(*(slot.isNotNull() | F.lit(None) for slot in slots.values()), F.lit(False))
+
+
+def _number(slots: dict[str, Column]) -> Column:
     """A cell as a number; times as microseconds."""
-    local = F.unix_micros(F.col("local").cast("timestamp"))
-    return F.coalesce("fraction", F.col("whole").cast("double"), F.unix_micros("instant").cast("double"), local.cast("double"))
+    local = F.unix_micros(slots["local"].cast("timestamp"))
+    return F.coalesce(slots["fraction"], slots["whole"].cast("double"), F.unix_micros(slots["instant"]).cast("double"), local.cast("double"))
 
 
-def _shown() -> Column:
+def _shown(slots: dict[str, Column]) -> Column:
     """A cell as a text; long ones by their first characters and digest."""
-    times = [F.col(c).cast("string") for c in ("whole", "fraction", "instant", "local")]
-    return F.coalesce(*times, F.concat_ws("#", "text", "digest"))
+    times = [slots[c].cast("string") for c in ("whole", "fraction", "instant", "local")]
+    return F.coalesce(*times, F.concat_ws("#", slots["text"], slots["digest"]))
 
 
 def sketch_columns(df: DataFrame, by: Sequence[str] = (), cols: Sequence[str] | None = None) -> DataFrame:
-    """by, column_name, row_count, present_count and the sketches of every column of ``df`` but those of ``by``."""
+    """by, column_name, row_count, present_count and the sketches of every column of ``df`` but those of ``by``.
+
+    All columns of a row are taken up together: beyond a few groups a task sorts what it groups, and a row is one
+    entry to sort where its cells would be one each. The sketches become a row per column afterwards.
+    """
     fields = [df.schema[c] for c in (cols or [c for c in df.columns if c not in by])]
-    cells = df.select(*(F.col(c).alias(f"by_{i}") for i, c in enumerate(by)), F.inline(F.array(*map(row_facts.cell, fields))))
-    present = F.when(F.coalesce(*(F.col(s).isNotNull() | F.lit(None) for s in row_facts.SLOTS), F.lit(False)), True)
-    identity = F.when(present, F.xxhash64(*row_facts.SLOTS))
-    ready = cells.select(
-        *(F.col(f"by_{i}").alias(c) for i, c in enumerate(by)), "column_name", present.alias("present"), identity.alias("identity"),
-        _number().alias("number"), F.when(present, _shown()).alias("shown"))
-    frequent = F.expr(f"approx_top_k_accumulate(shown, {TRACKED}) FILTER (WHERE present)")
-    return ready.groupBy(*by, "column_name").agg(
-        F.count("*").alias("row_count"), F.count("present").alias("present_count"), F.hll_sketch_agg("identity", LG_K).alias("distinct_sketch"),
-        F.kll_sketch_agg_double("number", KLL_K).alias("quantile_sketch"), frequent.alias("frequent_sketch"))
+    slots = [{name: row_facts.cell(f)[name] for name in row_facts.SLOTS} for f in fields]
+    keys = [f"by_{i}" for i in range(len(by))]
+    ready = df.select(
+        *(F.col(c).alias(k) for c, k in zip(by, keys, strict=True)),
+        *(column for i, own in enumerate(slots) for column in (
+            F.when(_present(own), F.xxhash64(*own.values())).alias(f"identity_{i}"), _number(own).alias(f"number_{i}"), F.when(_present(own), _shown(own)).alias(f"shown_{i}"))))
+    sketched = [column for i, _ in enumerate(fields) for column in (
+        F.count(f"shown_{i}").alias(f"present_count_{i}"), F.hll_sketch_agg(f"identity_{i}", LG_K).alias(f"distinct_sketch_{i}"),
+        F.kll_sketch_agg_double(f"number_{i}", KLL_K).alias(f"quantile_sketch_{i}"),
+        F.expr(f"approx_top_k_accumulate(shown_{i}, {TRACKED}) FILTER (WHERE shown_{i} IS NOT NULL)").alias(f"frequent_sketch_{i}"))]
+    # Without keys there is a group of no rows.
+    grouped = ready.groupBy(*keys).agg(F.count("*").alias("row_count"), *sketched).where("row_count > 0")
+    each = (F.struct(F.lit(f.name).alias("column_name"), "row_count", *(F.col(f"{part}_{i}").alias(part) for part in ("present_count", *SKETCHES))) for i, f in enumerate(fields))
+    return grouped.select(*(F.col(k).alias(c) for c, k in zip(by, keys, strict=True)), F.inline(F.array(*each)))
 
 
 def merge(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -43,3 +43,14 @@ def test_coarser_parts(spark):
 
 def test_empty(spark):
     assert k.estimates(k.merge(k.sketch_columns(spark.createDataFrame([], "a int, b string")))).count() == 0
+
+
+def test_rows_are_grouped_not_cells(spark, capsys):
+    df = spark.range(10).selectExpr("id % 2 AS day", "id AS a", "CAST(NULL AS string) AS b")
+    kept = k.sketch_columns(df, ["day"])
+    kept.explain()
+    plan = capsys.readouterr().out
+    # Rows become one per column after the aggregation, so above it in the plan.
+    assert 0 <= plan.index("Generate inline") < plan.index("Aggregate")
+    out = by_column(k.estimates(k.merge(kept)))
+    assert (out["a"].row_count, out["b"].null_fraction, out["b"].frequent) == (10, 1.0, None)
