@@ -1,8 +1,11 @@
 """The fleet of given rows is as large and as skewed as it says."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from snapcat.registry import all_queries
+from snapcat.plans.snapshot import snapshot
+from snapcat.registry import all_queries, catalog
 from snapcat.sources.given import RELATIONS, given_cte, given_raw
 from snapcat.sources.relations import CATALOG_COLUMNS
 
@@ -52,3 +55,14 @@ def test_lines_are_joined_once(spark, sf_dir, capsys):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "lineitem.parquet" not in raw and "settled-" in raw
     assert "lineitem.parquet" not in frames and "BroadcastHashJoin" not in frames
+
+
+def test_keys_meet_columns_only_for_nullability(spark, sf_dir, capsys):
+    raw = given_raw(spark, sf_dir)
+    bare = snapshot(raw, replace(catalog.FULL, fk_nullable=False))["foreign_keys"]
+    full = snapshot(raw, catalog.FULL)["foreign_keys"]
+    assert set(bare.columns) == {*full.columns} - {"nullable"}
+    full.explain()
+    # Which columns are nullable no comment tells.
+    assert "p_type" not in capsys.readouterr().out
+    assert bare.count() == full.count()
