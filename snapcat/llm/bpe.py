@@ -196,7 +196,7 @@ def merge_long(vocabulary: Vocabulary, word: bytes) -> bytes:
 
 
 class Encoder:
-    """Encodes texts in a worker; the ids of recent pre-tokens, and of recent chunks between spaces, are kept."""
+    """Encodes texts in a worker; the ids of recent pre-tokens, and of recent chunks between spaces or their number, are kept."""
 
     def __init__(self, vocabulary: Vocabulary):
         from tokenizers.pre_tokenizers import ByteLevel
@@ -204,6 +204,7 @@ class Encoder:
         self.vocabulary = vocabulary
         self.kept: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
+        self.counts: dict[str, int] = {}
         self.wide = re.compile(r"\s\s")
         self.split = regex.compile(PATTERN)
         self.special = regex.compile("|".join(map(regex.escape, sorted(vocabulary.specials, key=len, reverse=True)))) if vocabulary.specials else None
@@ -220,6 +221,7 @@ class Encoder:
     def __exit__(self, *_) -> None:
         self.kept.clear()
         self.chunks.clear()
+        self.counts.clear()
         pa.default_memory_pool().release_unused()
 
     def pieces(self, text: str) -> Iterator[str]:
@@ -257,10 +259,10 @@ class Encoder:
         return [b"".join(map(get, pieces)) for pieces in lists]
 
     @staticmethod
-    def learn(wanted: set[str], kept: dict[str, bytes], merge) -> None:
+    def learn(wanted: set[str], kept: dict, merge, most: int = KEPT) -> None:
         """Adds what is wanted to what is kept; if that were too much, only what is wanted stays."""
         missing = wanted.difference(kept)
-        if len(kept) + len(missing) > KEPT:
+        if len(kept) + len(missing) > most:
             old = {w: kept[w] for w in wanted if w in kept}
             kept.clear()
             kept.update(old)

@@ -26,6 +26,8 @@ from snapcat.llm.common import documents, portions
 
 #: Chunks in a leaf at first; an edited leaf may have more.
 LEAF = 64
+#: Chunks whose number of tokens a task keeps.
+KEPT = 400_000
 #: Unicode white space, which is what the split of the vocabulary goes by.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
@@ -43,21 +45,29 @@ def is_simple(tool: Encoder, text: str) -> bool:
 def counted(tool: Encoder, texts: list[str]) -> list[tuple[list[str], list[int]]]:
     """Chunks and their tokens for each text. The chunks of all simple texts are learnt together."""
     cut = [t.split(" ") if is_simple(tool, t) else None for t in texts]
-    tool.learn(set().union(*(c[1:] for c in cut if c)), tool.chunks, tool.merge_chunks)
-    get, out = tool.chunks.__getitem__, []
-    for text, own in zip(texts, cut, strict=True):
+    tool.learn(set().union(*(c[1:] for c in cut if c)), tool.counts, lambda new: [len(ids) // 4 for ids in tool.merge_chunks(new)], KEPT)
+    heads = tool.ids_of_each([tool.split.findall(c[0]) if c else [] for c in cut])
+    get, out = tool.counts.__getitem__, []
+    for text, own, head in zip(texts, cut, heads, strict=True):
         if own is None:
             chunks = CHUNK.findall(text)
-            out.append((chunks, [len(tool.other(c)) // 4 for c in chunks]))
+            out.append((chunks, [chunk_tokens(tool, c) for c in chunks]))
         elif text:
             # The first chunk may be empty: the text begins with a space.
-            first = len(tool.ids_of(tool.split.findall(own[0]))) // 4
-            out.append(([own[0], *(" " + c for c in own[1:])], [first, *(len(get(c)) // 4 for c in own[1:])]))
+            tokens = [len(head) // 4, *map(get, own[1:])]
+            own[1:] = map(" ".__add__, own[1:])
+            out.append((own, tokens))
         else:
             out.append(([], []))
     return out
 
 
+def chunk_tokens(tool: Encoder, chunk: str) -> int:
+    """Tokens of a chunk; what follows a space in a simple text is known already, as its count holds anywhere."""
+    known = tool.counts.get(chunk[1:]) if chunk[0] == " " else None
+    return len(tool.other(chunk)) // 4 if known is None else known
+
+
 class CountedText:
     """A text as leaves of chunks, and sums of characters and tokens over them."""
 
@@ -130,7 +140,7 @@ class CountedText:
         chunks = CHUNK.findall(text)
         self.encoded += len(text)
         self.chunks[leaf][place] = chunks
-        self.tokens[leaf][place] = [len(self.tool.other(c)) // 4 for c in chunks]
+        self.tokens[leaf][place] = [chunk_tokens(self.tool, c) for c in chunks]
         self.update(leaf)
 
     def text(self) -> str:
@@ -159,6 +169,8 @@ def count_edited(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text"
 
 #: What the edits below mask: e-mail addresses, and runs of four digits or more.
 MASKED = re.compile(r"(?P<mail>[\w.+-]+@[\w-]+\.[\w.-]+)|[0-9]{4,}")
+#: The same where the text has no @: there the search for an address would read every word from each of its places.
+UNADDRESSED = re.compile(r"(?P<mail>(?!))|[0-9]{4,}")
 
 
 def masking(text_col: str, source_col: str) -> Column:
@@ -167,8 +179,10 @@ def masking(text_col: str, source_col: str) -> Column:
     @F.arrow_udf(EDITS)
     def edits(texts: pa.Array, sources: pa.Array) -> pa.Array:
         rows = []
-        for text, source in zip(texts, sources, strict=True):
-            found = [{"at": m.start(), "remove": m.end() - m.start(), "put": "[MAIL]" if m["mail"] else "[NUMBER]"} for m in MASKED.finditer(text.as_py() or "")]
+        for given, source in zip(texts, sources, strict=True):
+            text = given.as_py() or ""
+            masked = (MASKED if "@" in text else UNADDRESSED).finditer(text)
+            found = [{"at": m.start(), "remove": m.end() - m.start(), "put": "[MAIL]" if m["mail"] else "[NUMBER]"} for m in masked]
             rows.append([*reversed(found), {"at": 0, "remove": 0, "put": f"Source: {source.as_py() or 'unknown'}\n"}])
         return pa.array(rows, EDITS_ARROW)
 

@@ -57,6 +57,32 @@ def test_an_edit_encodes_little(vocabulary):
     assert own.encoded < 100
 
 
+def test_heads_of_texts_are_merged_together(vocabulary, monkeypatch):
+    """Texts that each begin with words of their own need a few merges, not one a text."""
+    calls = []
+    plain = bpe.Encoder.merge
+    monkeypatch.setattr(bpe.Encoder, "merge", lambda self, words: calls.append(len(words)) or plain(self, words))
+    with bpe.encoder(vocabulary) as tool:
+        texts = [f"head{k}qx and tail{k}" for k in range(200)]
+        found = t.counted(tool, texts)
+        assert len(calls) < 10
+        assert [sum(tokens) for _, tokens in found] == [len(ids) // 4 for ids in tool.encode(texts)]
+        # What is known of a chunk is not encoded again.
+        calls.clear()
+        own = t.CountedText(tool, *found[0])
+        own.edit(own.n_chars, 0, " tail7")
+        assert not calls and own.n_tokens == len(tool.encode([own.text()])[0]) // 4
+
+
+def test_masks_without_addresses():
+    """The shorter search finds what the whole one finds wherever there is no address."""
+    rng = random.Random(5)
+    for _ in range(2000):
+        text = "".join(rng.choice("ab.-+_1234567890 \n٣é") for _ in range(rng.randrange(40)))
+        assert [m.span() for m in t.UNADDRESSED.finditer(text)] == [m.span() for m in t.MASKED.finditer(text)]
+        assert not any(m["mail"] for m in t.UNADDRESSED.finditer(text))
+
+
 def test_query(spark, sf_dir, library):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = t.op4_edited_token_counts(spark, sf_dir).collect()
