@@ -1,9 +1,13 @@
-"""Near copies by the Jaccard similarity of their word shingles.
+"""Near copies by SimHash fingerprints and the Jaccard similarity of their word shingles.
 
-A text stands for the set of its runs of ``WIDTH`` words. Its sketch is ``BANDS`` bands of ``ROWS`` minima, each
+Texts are linked by the method of ``simhash``: fingerprints over runs of ``WIDTH`` words that differ in 3 bits at most meet at
+anchors of a covering code and form components. Texts of one component are candidates, and an exact check follows: a candidate becomes a
+link only if the sets of runs, compared whole, are ``SIMILAR`` or more.
+
+Most texts as similar as that are further than 3 bits apart, and anchors for many bits would need too many replicas. So more
+candidates stand beside those of the fingerprints, under the same check: the sketch of a set is ``BANDS`` bands of ``ROWS`` minima, each
 under a hash of its own; two texts of similarity s share a band with a chance of 1 - (1 - s ** ROWS) ** BANDS,
-which is 0.999995 at 0.8 and more above. Texts that share a band are candidates, and a candidate becomes a link
-only if the sets themselves, compared whole, are ``SIMILAR`` or more.
+which is 0.999995 at 0.8 and more above. A component of fingerprints is one more band.
 
 A band that k texts share does not give k * k pairs. First every member is held against one of them, another in
 each band; the links join them to components. Bands whose members are still apart do so once more with another one of them. What is
@@ -30,7 +34,8 @@ from pyspark.sql import functions as F
 
 from snapcat.llm.common import row_key, word_blocks
 from snapcat.llm.components import components
-from snapcat.llm.simhash import first_of_each
+from snapcat.llm.simhash import fingerprint, first_of_each
+from snapcat.llm.simhash import point_links as fingerprint_links
 from snapcat.llm.substring import BASES, HASHES, mixed, run_hashes
 from snapcat.session import settle
 
@@ -42,7 +47,7 @@ HELD = 1024
 #: Times that the members of a band are held against one of them; bytes of sets on a side of a tile.
 STARS, TILE_BYTES = 2, 8 << 20
 
-SKETCH = pa.struct([("point", pa.int64()), ("bands", pa.list_(pa.int64()))])
+SKETCH = pa.struct([("point", pa.int64()), ("bands", pa.list_(pa.int64())), ("fingerprint", pa.int64())])
 ODD = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.uint64(1)
 
 
@@ -73,9 +78,9 @@ def forgetting(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def sketches(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds ``point``, equal for equal sets, and ``bands``."""
+    """Adds ``point``, equal for equal sets, ``bands`` and ``fingerprint``."""
 
-    @F.arrow_udf("struct<point:long,bands:array<long>>")
+    @F.arrow_udf("struct<point:long,bands:array<long>,fingerprint:long>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield from forgetting(map(sketched, batches))
 
@@ -84,7 +89,8 @@ def sketches(texts: DataFrame, text_col: str = "text") -> DataFrame:
         points = pa.array(np.array([p for p, _ in found], np.uint64).view(np.int64))
         bands = np.concatenate([b for _, b in found] or [np.zeros(0, np.uint64)]).view(np.int64)
         ends = np.arange(len(found) + 1, dtype=np.int32) * BANDS
-        return pa.StructArray.from_arrays([points, pa.ListArray.from_arrays(pa.array(ends), pa.array(bands))], fields=list(SKETCH))
+        prints = pa.array([fingerprint(t.as_py(), WIDTH) for t in texts], pa.int64())
+        return pa.StructArray.from_arrays([points, pa.ListArray.from_arrays(pa.array(ends), pa.array(bands)), prints], fields=list(SKETCH))
 
     # So that the sketch is not made again for each of its fields.
     return texts.withColumn("sketch", of.asNondeterministic()(F.col(text_col))).select("*", "sketch.*").drop("sketch")
@@ -177,10 +183,18 @@ def rest_links(rooted: DataFrame, whole: DataFrame) -> DataFrame:
     return rows.unionByName(columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tile_links(keys), "a long, b long")
 
 
-def point_links(texts: DataFrame, points: DataFrame) -> DataFrame:
+def fingerprint_bands(printed: DataFrame) -> DataFrame:
+    """(point, band) of every point: a band for each component of the fingerprints of its rows, linked as ``simhash`` links them."""
+    printed = printed.select("point", "fingerprint").distinct()
+    found = components(fingerprint_links(settle(printed.select(F.col("fingerprint").alias("point")).distinct())))
+    root = F.coalesce("root", "fingerprint")
+    return printed.join(found, F.col("fingerprint") == F.col("node"), "left").select("point", F.xxhash64(F.lit("fingerprints"), root).alias("band")).distinct()
+
+
+def point_links(texts: DataFrame, points: DataFrame, more: DataFrame) -> DataFrame:
     """Links (a, b) that connect all similar points. ``points`` has point, row (the keys of a row that has the set) and
-    bands; ``texts`` has row_key_1, row_key_2 and text."""
-    members = points.select("point", F.explode("bands").alias("band"))
+    bands, ``more`` has point and band; ``texts`` has row_key_1, row_key_2 and text."""
+    members = points.select("point", F.explode("bands").alias("band")).unionByName(more)
     shared = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     rooted = settle(members.join(shared, "band").select("band", "point", F.col("point").alias("root")))
     wanted = points.join(rooted.select("point").distinct(), "point", "left_semi").select("point", "row.*")
@@ -206,7 +220,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *row_key(id_col, text_col))
     printed = settle(sketches(keyed).drop("text"))
     points = settle(printed.groupBy("point").agg(F.min(F.struct("row_key_1", "row_key_2")).alias("row"), F.first("bands").alias("bands")))
-    found = components(point_links(keyed, points)).withColumnRenamed("node", "point")
+    found = components(point_links(keyed, points, settle(fingerprint_bands(printed)))).withColumnRenamed("node", "point")
     return printed.drop("bands").join(found, "point", "left").select("doc_id", "row_key_1", "row_key_2", F.coalesce("root", "point").alias("root"))
 
 

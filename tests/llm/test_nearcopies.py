@@ -3,9 +3,11 @@
 import random
 
 import corpus_pipeline as p
+import numpy as np
 from pyspark.sql import functions as F
 
 from snapcat.llm import nearcopies as n
+from snapcat.llm import simhash
 
 
 def plain_set(text):
@@ -52,6 +54,20 @@ def test_pairs_about_the_limit(spark):
     assert {r.doc_id for r in p.near_duplicates(spark, docs, "").collect()} == expected
 
 
+def test_fingerprints_link(spark, monkeypatch):
+    """With bands that never meet, similar texts are linked by their fingerprints alone; equal fingerprints of unlike sets are not."""
+    repeated = " ".join(["the same five words again"] * 400)
+    rows = [(k, f"{repeated} {' '.join(f'{name}{k}x{i}' for i in range(40))}") for k, name in enumerate("abc")]
+    long = [f"w{i}" for i in range(4000)]
+    rows += [(10 + k, " ".join([*long, f"end{k}"])) for k in range(4)]
+    assert len({simhash.fingerprint(t, 5) for i, t in rows if i < 10}) == 1
+    apart = lambda own: (sketch(own)[0], np.array([hash((own.tobytes(), k)) for k in range(n.BANDS)], np.int64).view(np.uint64))
+    sketch = n.sketch
+    monkeypatch.setattr(n, "sketch", apart)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in n.keep_one(docs).collect()} == plain_kept(rows) == {0, 1, 2, 10}
+
+
 def test_chains_of_copies(spark):
     """Each copy is similar to its neighbours only; a band's first member does not know them all."""
     rng = random.Random(3)
