@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from schemas import frames
 
 from snapcat.operators import domains, overview, relations, semantics, tags
-from snapcat.operators.facts import table_facts
+from snapcat.operators.facts import table_facts, tag_facts
+from snapcat.registry import facts
 from snapcat.sources.fleet import template_frames
 
 
@@ -194,3 +195,20 @@ def test_schema_list(spark, schemas, text):
 def test_short_description(spark):
     df = spark.createDataFrame([("",), ("x" * 200,), ("y" * 201,)], "c string").select(overview.short_description(F.col("c")).alias("d"))
     assert [r.d for r in df.collect()] == [None, "x" * 200, "y" * 197 + "..."]
+
+
+def test_tags_by_their_own_facts(small, spark):
+    """Each tag out of the facts it draws on, with repeated rows, is that of all facts."""
+    twice = {n: small[n].unionByName(small[n]) for n in ("tables", "columns", "constraints", "foreign_keys")}
+    odd = spark.createDataFrame([(1, "public", "changes", "Action")], "db_id bigint, schema_name string, table_name string, column_name string")
+    for f in (small, twice, {**twice, "columns": small["columns"].select(*odd.columns).unionByName(odd)}):
+        flags = tags.tag_flags(facts_of(f)).collect()
+        for tag, rule in tags.RULES.items():
+            own = tag_facts(tag, f["tables"], f["columns"], f["foreign_keys"])
+            assert {r.table_name: r.on for r in own.select("table_name", rule().alias("on")).collect()} == {r.table_name: r[tag] for r in flags}, tag
+
+
+@pytest.mark.parametrize(("tag", "shuffles"), [("lookup", 1), ("audit", 2)])
+def test_rows_of_a_tag_are_shuffled_by_table(tag, shuffles, small, capsys):
+    facts.tag_query(tag)(facts.Fleet(small)).explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning") == shuffles
