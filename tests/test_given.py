@@ -4,9 +4,11 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from snapcat.operators.catalog import KEY
+from snapcat.operators.facts import table_facts
 from snapcat.plans.snapshot import snapshot
-from snapcat.registry import all_queries, catalog
-from snapcat.sources.given import RELATIONS, given_cte, given_raw
+from snapcat.registry import all_queries, catalog, given
+from snapcat.sources.given import COLUMNS, RELATIONS, dealt, given_cte, given_raw, merged
 from snapcat.sources.relations import CATALOG_COLUMNS
 
 
@@ -66,3 +68,25 @@ def test_keys_meet_columns_only_for_nullability(spark, sf_dir, capsys):
     # Which columns are nullable no comment tells.
     assert "p_type" not in capsys.readouterr().out
     assert bare.count() == full.count()
+
+
+def test_table_facts_read_names_and_primary_keys_alone(spark, sf_dir, capsys):
+    """What a query on table facts does not read is not joined, and the facts are the same."""
+    raw = given_raw(spark, sf_dir)
+    less = snapshot(raw, replace(catalog.FULL, fk_nullable=False, **given.ON_FACTS))
+    full = snapshot(raw, replace(catalog.FULL, fk_nullable=False))
+    less["tables"].explain()
+    assert "documents.parquet" not in capsys.readouterr().out
+    assert "to_columns" not in less["foreign_keys"].columns
+    assert {r.constraint_type for r in less["constraints"].select("constraint_type").distinct().collect()} == {"PRIMARY KEY"}
+    few, all_ = (f.select(*KEY, "fk_out", "fk_in", "n_columns", "n_payload", "n_key_columns", "n_own_key_columns") for f in
+                 (table_facts(x["tables"], x["columns"], x["constraints"], x["foreign_keys"]) for x in (less, full)))
+    assert not few.isEmpty() and few.exceptAll(all_).isEmpty() and all_.exceptAll(few).isEmpty()
+
+
+def test_lines_are_shuffled_once(spark, sf_dir, capsys):
+    """Lines are dealt by order before they are grouped, not once for the groups and again for their orders."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    read = {"orders": spark.read.parquet(f"{sf_dir}/orders.parquet"), "lineitem": dealt(lines)}
+    merged(spark.sql(f"SELECT * FROM {COLUMNS} c".format(**{n: "{" + n + "}" for n in read}), **read)).explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning") == 2
