@@ -90,3 +90,12 @@ def test_lines_are_shuffled_once(spark, sf_dir, capsys):
     read = {"orders": spark.read.parquet(f"{sf_dir}/orders.parquet"), "lineitem": dealt(lines)}
     merged(spark.sql(f"SELECT * FROM {COLUMNS} c".format(**{n: "{" + n + "}" for n in read}), **read)).explain()
     assert capsys.readouterr().out.count("Exchange hashpartitioning") == 2
+
+
+def test_scope_meets_tables_only(spark, sf_dir, capsys):
+    """Indexes, two fifths of the classes, are not shuffled to find the tables in scope."""
+    scope = catalog.Raw(given_raw(spark, sf_dir)).scope()
+    scope.explain()
+    assert "ix_" not in capsys.readouterr().out
+    assert scope.count() == given_raw(spark, sf_dir)["info_tables"].where("table_type = 'BASE TABLE' AND table_schema IN ('public', 'app')").join(
+        spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS db_id"), "db_id").count()
