@@ -10,6 +10,7 @@ from snapcat.plans import files
 from snapcat.plans import fragments as fr
 from snapcat.plans.artifacts import snapshot_fragments
 from snapcat.plans.snapshot import SnapshotConfig, snapshot
+from snapcat.session import merged, tidy
 
 
 def write_fragments(frames: Mapping[str, DataFrame], root: str) -> None:
@@ -20,7 +21,8 @@ def write_fragments(frames: Mapping[str, DataFrame], root: str) -> None:
     """
     for kind, frame in frames.items():
         ordered = frame.select(*fr.FRAGMENT).repartitionByRange(*fr.DOC, *fr.ORDER).sortWithinPartitions(*fr.DOC, *fr.ORDER)
-        ordered.write.mode("overwrite").parquet(f"{root}/kind={kind}")
+        with tidy(frame.sparkSession):
+            ordered.write.mode("overwrite").parquet(f"{root}/kind={kind}")
 
 
 def read_fragments(spark: SparkSession, root: str) -> DataFrame:
@@ -30,7 +32,8 @@ def read_fragments(spark: SparkSession, root: str) -> DataFrame:
 def write_docs(spark: SparkSession, fragment_root: str, root: str) -> None:
     """Assembled documents as Parquet rows ``(db_id, path, part, doc)``."""
     docs = fr.assemble(read_fragments(spark, fragment_root))
-    docs.write.mode("overwrite").parquet(root)
+    with tidy(spark):
+        docs.write.mode("overwrite").parquet(root)
 
 
 def write_text(docs: DataFrame, root: str) -> None:
@@ -47,7 +50,8 @@ def generate(raw: Mapping[str, DataFrame], cfg: SnapshotConfig, root: str) -> No
     spark = raw["pg_database"].sparkSession
     planned = snapshot(raw, cfg)
     for name, frame in planned.items():
-        frame.write.mode("overwrite").parquet(f"{root}/frames/{name}")
-    frames = {name: spark.read.parquet(f"{root}/frames/{name}") for name in planned}
+        with tidy(spark):
+            frame.write.mode("overwrite").parquet(f"{root}/frames/{name}")
+    frames = {name: merged(spark.read.parquet(f"{root}/frames/{name}")) for name in planned}
     write_fragments(snapshot_fragments(frames, cfg), f"{root}/fragments")
     write_docs(spark, f"{root}/fragments", f"{root}/docs")

@@ -3,6 +3,7 @@
 import pathlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from snapcat import session
 from snapcat.operators import relations
@@ -58,3 +59,30 @@ def test_local_warehouse_on_a_cluster(spark):
         session.shared_folder(Cluster())
     Context.master = "local[8]"
     assert session.shared_folder(Cluster()) == "file:/somewhere/warehouse/_settled"
+
+
+def test_shuffles_of_a_written_frame_go(spark, monkeypatch):
+    """What is settled takes the files of its shuffles with it, and the session is as it was."""
+    modes, write = [], session.shared_folder
+    monkeypatch.setattr(session, "shared_folder", lambda s: modes.append(s.conf.get(session.CLEANUP)) or write(s))
+    before = spark.conf.get(session.CLEANUP, "false")
+    with session.tidy(spark):
+        assert spark.conf.get(session.CLEANUP) == "true"
+    frame = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    first = session.settle(frame)
+    # The frame itself can be asked again, and shared parts of it written twice.
+    assert sorted(first.collect()) == sorted(frame.collect()) == sorted(session.settle(frame.unionByName(first)).distinct().collect())
+    assert spark.conf.get(session.CLEANUP, "false") == before and modes
+
+
+def test_large_settled_frames_are_not_broadcast(spark, monkeypatch, capsys):
+    """Files are a few bytes a row: what they hold can be far larger than the planner takes it for."""
+    rows = spark.range(50).selectExpr("id AS k")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    try:
+        for small, said in ((1 << 18, True), (0, False)):
+            monkeypatch.setattr(session, "SMALL_FILES", small)
+            session.settle(rows).join(session.settle(rows), "k").explain()
+            assert ("BroadcastHashJoin" in capsys.readouterr().out) == said
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
