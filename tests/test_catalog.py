@@ -117,3 +117,30 @@ def test_key_names(spark):
     got = with_key_names(keyed, "id", {"names": ("rel", "key"), "to": ("target", "refs")}, attributes)
     assert {(r.db_id, r.id): (r.names, r.to) for r in got.collect()} == {
         (1, 1): (["b", "a"], ["x", "y"]), (1, 2): (["a"], []), (1, 3): ([], []), (1, 4): (["a", "a"], []), (2, 1): (["other"], [])}
+
+
+def plan_of(frame, capsys):
+    frame.explain()
+    return capsys.readouterr().out
+
+
+def test_an_export_is_not_broadcast(spark, sf_dir, tmp_path, capsys):
+    """Files of an export are a few bytes a row; the planner's threshold must not collect them on the driver."""
+    write_catalog(fleet_raw(spark, sf_dir), str(tmp_path))
+    frames = snapshot(read_catalog(spark, str(tmp_path)), SnapshotConfig(schemas=SCHEMAS, include_views=True, include_routines=True, include_stats=True))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    try:
+        assert [name for name in frames if "BroadcastHashJoin" in plan_of(frames[name], capsys)] == []
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+
+
+def test_keys_are_shuffled_once_for_names_and_scope(spark, capsys):
+    attributes = spark.createDataFrame([(1, 10, "a", 1), (1, 10, "b", 2)], "db_id bigint, attrelid bigint, attname string, attnum int")
+    keyed = spark.createDataFrame([(1, 1, 10, [2, 1]), (1, 1, 10, [2, 1]), (1, None, 10, [1])], "db_id bigint, id bigint, conrelid bigint, key array<int>")
+    scope = spark.createDataFrame([(1, 10, "t")], "db_id bigint, conrelid bigint, table_name string")
+    got = with_key_names(keyed, "id", {"names": ("conrelid", "key")}, attributes).join(scope, ["db_id", "conrelid"])
+    # Keys, attributes and scope: each is dealt out once, by relation.
+    assert plan_of(got, capsys).count("Exchange hashpartitioning(db_id") == 3
+    # Rows with the same identity share their slots, rows without one have none.
+    assert sorted((r.id or 0, r.names) for r in got.collect()) == [(0, []), (1, ["b", "b", "a", "a"]), (1, ["b", "b", "a", "a"])]
