@@ -212,3 +212,18 @@ def test_tags_by_their_own_facts(small, spark):
 def test_rows_of_a_tag_are_shuffled_by_table(tag, shuffles, small, capsys):
     facts.tag_query(tag)(facts.Fleet(small)).explain()
     assert capsys.readouterr().out.count("Exchange hashpartitioning") == shuffles
+
+
+def test_rows_of_a_table_are_shuffled_once(spark, capsys):
+    """Facts of names and of tables come out of one shuffle by table; ends of foreign keys are counted before it."""
+    f = template_frames(spark)
+    table_facts(f["tables"], f["columns"], f["constraints"], f["foreign_keys"]).explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning") == 2
+
+
+def test_foreign_keys_are_shuffled_once_for_their_cardinality(spark, capsys):
+    """Uniqueness goes by table, as junctions do, so a foreign key is dealt out once for both."""
+    f = template_frames(spark)
+    unique = relations.with_fk_unique(f["foreign_keys"], f["constraints"], f["indexes"])
+    unique.explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning") == 2
