@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from snapcat.functions import toon
 from snapcat.plans import files
 from snapcat.plans import fragments as fr
 from snapcat.plans import sink
@@ -151,3 +152,24 @@ def test_failed_files_leave_no_mark(spark, tmp_path):
     assert not (tmp_path / "out/_SUCCESS").exists()
     files.write_files(spark.createDataFrame([], files.SCHEMA), str(tmp_path / "none"))
     assert json.loads((tmp_path / "none/_SUCCESS").read_text()) == {"documents": 0, "bytes": 0}
+
+
+def test_positions_of_short_and_long_documents(spark, monkeypatch):
+    """Whether a document goes through one task or by ranges, its places are the same; short ones are shuffled once."""
+    rows = [(db, f"{db}/x", k % 3, f"k{k % 5}", float(k % 7), str(k), f"t{k}") for db, n in ((1, 40), (2, 3), (3, 11)) for k in range(n)]
+    rows.append((4, None, 0, "", 0.0, "", "nowhere"))
+    frame = spark.createDataFrame(rows, "db_id bigint, path string, section int, k1 string, ord double, k2 string, text string")
+    want = [(r[0], r[1], n, r[6]) for db in (1, 2, 3) for n, r in enumerate(sorted(x for x in rows if x[0] == db), 1)]
+    for most in (0, 5, 100_000):
+        monkeypatch.setattr(fr, "LONG_DOCUMENT", most)
+        placed = fr.with_positions(frame)
+        assert sorted((r.db_id, r.path, r.position, r.text) for r in placed.collect()) == sorted(want)
+    assert placed._jdf.queryExecution().executedPlan().toString().rpartition("Initial Plan")[2].count("Exchange") == 1
+
+
+def test_heads_of_named_lists(spark):
+    """A list that is named has a head with its count, whether it has rows or not, and one for each time it is named."""
+    rows = spark.createDataFrame([(1, "a", 0, "l", "", 0.0, "x", "v")] * 2, "db_id bigint, path string, section int, list_name string, k1 string, ord double, k2 string, name string")
+    docs = spark.createDataFrame([(1, "a", 0, "l"), (1, "b", 0, "l"), (1, "b", 0, "l"), (2, None, 0, "l")], "db_id bigint, path string, section int, list_name string")
+    heads = fr.object_list(rows, (toon.Field("name"),), docs).where(F.col("ord") == fr.FIRST)
+    assert sorted((r.db_id, r.path or "", r.text) for r in heads.collect()) == [(1, "a", "\nl:[2]{name}:"), (1, "b", "\nl:[0]:"), (1, "b", "\nl:[0]:"), (2, "", "\nl:[0]:")]
